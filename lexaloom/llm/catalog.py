@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import decontam, exact_dedup, token_store
+from . import chat, decontam, exact_dedup, langid, licenses, packing, token_store
 from .tokens import public_path
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,11 +22,60 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(table(spark, sf_dir, "documents"), public_path(), end_id=2)
 
 
+def op6_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_path(), end_id=0, capacity=2048)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_automaton, op5_token_store, op9_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
+        op9_exact_dedup,
+    )
+}
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(licenses.TEMPLATES))
+LICENSE_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM doc
+), word AS (
+  SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE contains(t, 'license')
+), base AS (
+  SELECT r, i - 1 AS place, CASE WHEN ws[i] = 'mit' AND ws[i + 1] = 'license' THEN 'mit' WHEN ws[i] = 'apache' AND ws[i + 1] = 'license' THEN 'apache'
+    WHEN ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license' THEN 'gpl' END AS label FROM word
+), base_by AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM base WHERE label IS NOT NULL GROUP BY r
+), line AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM doc),
+block AS (
+  SELECT r, list_distinct(list_filter(regexp_split_to_array(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS b FROM line
+), template AS (
+  SELECT label, list_distinct(string_split(words, ' ')) AS tw FROM (VALUES {_TEMPLATE_ROWS}) v(k, label, words)
+), hit AS (
+  SELECT r, label, len(list_intersect(tw, b)) / len(tw) AS c FROM block, template
+  WHERE len(list_intersect(tw, b)) >= ceil({licenses.THRESHOLD} * len(tw))
+), label_by AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM hit UNION ALL SELECT r, label FROM base WHERE label IS NOT NULL) GROUP BY r
+), best AS (SELECT r, max(c) AS c FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(c, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN base_by USING (r) LEFT JOIN label_by USING (r) LEFT JOIN best USING (r)
+"""
 
 ORACLE_SQL = {
     "op4_suffix_automaton": r"""
@@ -52,4 +105,19 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
+    "op3_snapshot_collapse": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+step AS (
+  SELECT conv_id, turn, role, text,
+    coalesce(length(role) || ';' || role, '-;') || coalesce(length(text) || ';' || text, '-;') AS part,
+    row_number() OVER o AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), prefix AS (SELECT conv_id, k, n, sha256(string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY k)) AS h FROM step),
+whole AS (SELECT h, min(conv_id) AS conv_id, max(n) AS n, count(*) AS n_copies FROM prefix WHERE k = n GROUP BY h),
+kept AS (SELECT * FROM whole WHERE h NOT IN (SELECT h FROM prefix WHERE k < n))
+SELECT conv_id, n AS n_turns, n_copies,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
+FROM kept JOIN step USING (conv_id, n) GROUP BY conv_id, n, n_copies
+""",
+    "op7_license_join": LICENSE_SQL,
 }
