@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import chat, decontam, exact_dedup, langid, licenses, packing, token_store
+from . import chat, decontam, exact_dedup, langid, licenses, near_dup, packing, token_store
 from .tokens import public_path
 
 
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -41,7 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
+        op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
         op9_exact_dedup,
     )
 }
