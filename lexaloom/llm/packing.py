@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_store import grouped
+from .token_store import parts
 from .tokens import encoder
 from .work import batch, materialize
 
@@ -52,10 +52,9 @@ def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), end_id.to_bytes(4, "little")
         for b in batches:
-            texts, own = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
             out: list[list[int]] = [[], [], [], [], []]
-            for lo, hi in grouped(texts):
-                for key, x in zip(own[lo:hi], enc.encode(texts[lo:hi]), strict=True):
+            for own, texts in parts(b):
+                for key, x in zip(own, enc.encode(texts), strict=True):
                     data = memoryview(x + end)
                     n = len(data) // 4
                     at = cuts(n, capacity)

@@ -118,16 +118,20 @@ def shard_row(keys: list[int], ids: list[bytes], width: int) -> list:
     return [keys[0], keys[-1], len(keys), int(lengths.sum()), width, own, seeds.astype("<u4").tobytes(), prints.tobytes(), at.tobytes(), size.tobytes(), payload]
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of ROWS rows and about CHARS characters at most."""
-    start = held = 0
-    for k, t in enumerate(texts):
-        if k > start and (k - start >= ROWS or held + len(t) > CHARS):
-            yield start, k
-            start, held = k, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
+    """Keys and texts (null as empty) of a batch, in parts of ROWS rows and about CHARS characters at most."""
+    for at in range(0, b.num_rows, ROWS):
+        keys, texts, held = [], [], 0
+        part = b.slice(at, ROWS)
+        for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            text = text.as_py() or ""
+            if keys and held + len(text) > CHARS:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+        yield keys, texts
 
 
 def _writer(path: str, end_id: int, shard_ids: int):
@@ -142,9 +146,8 @@ def _writer(path: str, end_id: int, shard_ids: int):
             return batch(_SHARD, *[[x] for x in shard_row(keys, ids, width)])
 
         for b in batches:
-            texts, own = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
-            for first, last in grouped(texts):
-                for key, x in zip(own[first:last], enc.encode(texts[first:last]), strict=True):
+            for own, texts in parts(b):
+                for key, x in zip(own, enc.encode(texts), strict=True):
                     if keys and held + len(x) // 4 + 1 > shard_ids and key != keys[-1]:
                         yield made()
                         keys, ids, held = [], [], 0
