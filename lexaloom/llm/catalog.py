@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import chat, decontam, exact_dedup, langid, licenses, near_dup, packing, token_store
+from . import chat, decontam, exact_dedup, langid, licenses, near_dup, packing, pii, token_store, warc
 from .tokens import public_path
 
 
+#: The key of the example query; a deployment passes its own.
+EXAMPLE_KEY = b"lexaloom example key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize_documents(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,11 +50,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
-        op9_exact_dedup,
+        op1_feistel_pseudonyms, op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
+        op9_exact_dedup, op10_warc_segments,
     )
 }
 
@@ -124,4 +136,12 @@ SELECT conv_id, n AS n_turns, n_copies,
 FROM kept JOIN step USING (conv_id, n) GROUP BY conv_id, n, n_copies
 """,
     "op7_license_join": LICENSE_SQL,
+    "op10_warc_segments": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""",
 }
