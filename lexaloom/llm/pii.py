@@ -204,16 +204,16 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)", day),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     ("phone", r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d.]\d|\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)", phone),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
+    ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])", card),
 ]
 
 _ALL = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in KINDS), re.ASCII)
 _REPLACE = {name: replace for name, _, replace in KINDS}
-_HINT = re.compile("[0-9@]")
+_HINT = re.compile("[0-9@=]|AKIA")
 
 
 def pseudonymize(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[str]]:
-    """text with every valid value replaced, and the kinds found, in order. Only lines with a digit or an @ are searched."""
+    """text with every valid value replaced, and the kinds found, in order. Only lines with a hint of any kind are searched."""
     kinds: list[str] = []
 
     def one(m: re.Match) -> str:
