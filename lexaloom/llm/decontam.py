@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import raw
+from .work import fresh, raw
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -176,7 +176,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
-    """docs (without text if so asked) with the columns of _FOUND.
+    """docs (without text if so asked) with the columns of _FOUND (underscores before a name that docs has).
 
     A pass is a narrow map; the next block's pass takes the columns that the
     one before has found and adds to them.
@@ -184,16 +184,17 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(Automaton(block, window)) for block in _blocks(benchmark, block_words)]
     names = docs.columns
+    added = T.StructType([T.StructField(fresh(names, f.name), f.dataType) for f in _FOUND])
     out = docs
     for k, automaton in enumerate(shared):
         last = k == len(shared) - 1
         kept = [n for n in names if keep_text or n != "text" or not last]
-        schema = T.StructType([docs.schema[n] for n in kept] + _FOUND.fields)
-        out = out.mapInArrow(_scanner(automaton, names.index("text"), [names.index(n) for n in kept], k > 0), schema)
+        schema = T.StructType([docs.schema[n] for n in kept] + added.fields)
+        out = out.mapInArrow(_scanner(automaton, names.index("text"), [names.index(n) for n in kept], k > 0, added.names), schema)
     return out
 
 
-def _scanner(shared, text: int, kept: list[int], more: bool):
+def _scanner(shared, text: int, kept: list[int], more: bool, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for b in batches:
@@ -209,7 +210,7 @@ def _scanner(shared, text: int, kept: list[int], more: bool):
                 spans.append(united(at).ravel())
                 items.append(sorted(found))
             new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + new, [b.schema.names[i] for i in kept] + _FOUND.names)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + new, [b.schema.names[i] for i in kept] + added)
 
     return run
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(names: list[str], name: str) -> str:
+    """name, with underscores before it until it is not among names (ignoring case)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column of an Arrow batch."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -48,3 +60,31 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
     )
+
+
+#: Bits of a sieve: 8 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test that every key of a long column passes and most other numbers fail: a Bloom filter of fixed size.
+
+    Two bits stand for a key. The bits are gathered by Spark and broadcast as
+    8 MB at most; with more keys than they can hold the test passes more
+    numbers, never fewer, so an exact join must follow it.
+    """
+    spots = F.transform(F.array(F.lit(1), F.lit(2)), lambda seed: F.pmod(F.xxhash64(F.col(name), seed), F.lit(SIEVE_BITS)))
+    bits = keys.select(F.explode(spots).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    words = bits.agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def there(first: pd.Series, second: pd.Series) -> pd.Series:
+        x, y = first.to_numpy(), second.to_numpy()
+        found = (shared.value[x >> 6] >> (x & 63)) & (shared.value[y >> 6] >> (y & 63)) & 1
+        return pd.Series(found.astype(bool))
+
+    spot = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(SIEVE_BITS))
+    return lambda c: there(spot(c, 1), spot(c, 2))
