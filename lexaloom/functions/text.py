@@ -75,7 +75,7 @@ def array_field(content: Column, name: str) -> Column:
     listed = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]*(.+?)[ \t]*$"), F.lit(1))
     line = F.coalesce(F.regexp_extract(front_matter(content), rf"(?m)^{re.escape(name)}:[ \t]*(\S.*?)[ \t]*$", 1), F.lit(""))
     inner = F.regexp_extract(line, r"^\[(.*)\]$", 1)
-    inline = F.regexp_extract_all(inner, F.lit("(\"[^\"]*\"|'[^']*'|[^,]+)"), F.lit(1))
+    inline = F.regexp_extract_all(inner, F.lit("\\s*(\"[^\"]*\"|'[^']*'|[^,]+)"), F.lit(1))
     values = F.when(F.size(listed) > 0, listed).when(line.startswith("["), inline).when(line != "", F.array(line)).otherwise(F.array().cast("array<string>"))
     clean = F.transform(values, lambda v: F.regexp_replace(F.trim(v), "^[\"']|[\"']$", ""))
     return F.filter(clean, lambda v: v != "")

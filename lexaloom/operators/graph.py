@@ -128,11 +128,11 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node and community by synchronous label propagation on weighted undirected edges (a, b, weight).
 
     A node takes the label with the greatest weight around it, its own label
-    counting half an average edge, ties to the smaller label. Rounds are cut by
+    counting as an average edge, ties to the smaller label. Rounds are cut by
     reliable checkpoints where a checkpoint folder is set.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
-    own = both.groupBy("u").agg((F.avg("weight") / 2).alias("weight"))
+    own = both.groupBy("u").agg(F.avg("weight").alias("weight"))
     label = own.select("u", F.col("u").alias("label"))
     for k in range(rounds):
         votes = both.join(label.select(F.col("u").alias("v"), "label"), "v").select("u", "label", "weight")
