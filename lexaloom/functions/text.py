@@ -103,7 +103,7 @@ def page_type(content: Column) -> Column:
 def link_targets(content: Column) -> Column:
     """Targets of wiki links, trimmed, in order."""
     found = F.regexp_extract_all(content, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda t: t != "")
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def image_urls(content: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
 from lexaloom.operators import changes, chunking, dedup, graph, quality, retrieval
+from lexaloom.plans import maintenance
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
 from lexaloom.streaming import feed
@@ -552,3 +553,7 @@ def task_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("s") == "F", "failed").when(F.col("s") == "O", "pending").otherwise("processing")
     q = o.select(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("path"), status.alias("status"), (F.col("n") % 5).cast("int").alias("retry_count"), F.lit(False).alias("needs_rerun"))
     return changes.upsert_tasks(q, table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_custkey").cast("string")).alias("path")))
+
+
+QUERIES.update(maintenance.QUERIES)
+ORACLE_SQL.update(maintenance.ORACLE_SQL)
