@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-from lexaloom.operators import changes, chunking, dedup, graph, quality, retrieval
+from lexaloom.operators import changes, chunking, dedup, graph, matching, quality, retrieval
 from lexaloom.plans import maintenance
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
@@ -431,16 +431,11 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT b.item_id, count(*) AS n_documents, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id"""
 )
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test items that documents hold word for word.
-
-    Texts are cut where an item could start, at its first 24 characters: documents meet items on those, and only such pairs are compared.
-    """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("head"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda i: F.substring("text", i, F.lit(24)))
-    heads = d.where(F.length("text") >= 24).select("doc_id", F.explode(F.array_distinct(at)).alias("head"))
-    pairs = heads.join(b.select("item_id", "head", "item"), "head").join(d, "doc_id").where(F.contains("text", F.col("item")))
-    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc"))
+    """Test items that documents hold word for word."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("part"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    pairs = matching.containing(d, b)
+    return pairs.groupBy(F.col("key").alias("item_id")).agg(F.count(F.lit(1)).alias("n_documents"), F.min("id").alias("first_doc"))
 
 
 @query(

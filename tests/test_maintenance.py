@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions import markup as M
 from lexaloom.functions import paths as P
-from lexaloom.operators import evals, listing, reviews, vectors
+from lexaloom.operators import evals, listing, matching, reviews, vectors
 
 
 def one(spark, f, *values):
@@ -76,3 +76,11 @@ def test_vectors_and_scores(spark):
     assert one(spark, lambda a, b: evals.choice_score(a, b), " b", "B") == 5.0
     rows = spark.createDataFrame([("s", 9.0, 1.0, False), ("s", 3.0, 3.0, False), ("t", 1.0, 5.0, True)], "skill string, wiki double, baseline double, failed boolean")
     assert {r["skill"]: (r["n"], r["delta"]) for r in evals.summary(rows).collect()} == {"s": (2, 2.0), None: (2, 2.0)}
+
+
+def test_containing(spark):
+    texts = [(1, "xa b c d ey"), (2, "a b c d"), (3, "zz"), (4, ""), (5, None), (6, "q a  b r"), (7, "a b c d e a b c d e")]
+    parts = [(1, "a b c d e"), (2, "z"), (3, "b c"), (4, "a  b"), (5, ""), (6, "b c d"), (7, None), (8, "nope at all")]
+    got = matching.containing(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(parts, "key int, part string"))
+    want = {(i, k) for i, t in texts for k, p in parts if t and p and p in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
