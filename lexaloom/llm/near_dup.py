@@ -15,10 +15,11 @@ share is not expanded into pairs:
    bands leads to and whose estimate passes; confirmed links give components;
 2. the classes that are still apart are compared with their bands' smallest;
 3. in bands that still hold several components, classes outside of the
-   component of the band's smallest class are compared, block by block on
-   signatures, with all classes of other components. What passes is confirmed.
+   component of the band's smallest class are compared, block by block, with
+   all classes of other components: on signatures, then on whole sets.
 Links inside a component need no test, so no link between components is lost.
-Work on a hot band is split into blocks of BLOCK classes, dealt over tasks.
+Work on a hot band is split into blocks of BLOCK classes, dealt over tasks, and
+pairs of classes are never written as rows but for the stars and the links.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import batch, materialize, raw
+from .work import batch, materialize, raw, sieve
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 48, 6
 K = BANDS * ROWS
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
-BLOCK, SALT_ROWS = 256, 64
+BLOCK, BLOCK_SHINGLES, SALT_ROWS = 256, 200_000, 64
 #: Distinct words whose hashes a Python worker keeps.
 CACHE_WORDS = 500_000
 
@@ -173,83 +174,140 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be similar, of rows (band, i, j, left, class_id, component, n, sig) sorted by group, left rows first."""
-    held: list[tuple] = []
-    now = None
+class _Block:
+    """Rows of one group, on one side."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.ids = np.array([r["class_id"] for r in rows], np.int64)
+        self.comps = np.array([r["component"] for r in rows], np.int64)
+        self.ns = np.array([r["n_shingles"] for r in rows], np.int64)
+        self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, K)
+
+    def likely(self, k: int, other: _Block, own: bool) -> np.ndarray:
+        """Places in other of classes of other components that may be similar to class k."""
+        at = np.flatnonzero((self.comps[k] != other.comps) & close(self.ns[k], other.ns) & ((other.ids > self.ids[k]) if own else True))
+        return at[estimate(self.sigs[k][None, :], np.ascontiguousarray(other.sigs[at])) >= THRESHOLD - MARGIN] if len(at) else at
 
-    def pairs(rows: list[tuple]):
-        own = now is not None and now[1] == now[2]
-        left = [r for r in rows if r[0]]
-        right = left if own else [r for r in rows if not r[0]]
-        if not left or not right:
-            return [], []
-        ids, comps, ns = (np.array([r[k] for r in left], np.int64) for k in (1, 2, 3))
-        sigs = np.frombuffer(b"".join(r[4] for r in left), np.uint8).reshape(-1, K)
-        jds, jcomps, jns = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
-        jsigs = sigs if own else np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, K)
-        a, b = [], []
-        for k in range(len(left)):
-            at = np.flatnonzero((comps[k] != jcomps) & close(ns[k], jns) & ((jds > ids[k]) if own else True))
-            if len(at):
-                at = at[estimate(sigs[k][None, :], np.ascontiguousarray(jsigs[at])) >= THRESHOLD - MARGIN]
-                a += [max(int(ids[k]), int(x)) for x in jds[at]]
-                b += [min(int(ids[k]), int(x)) for x in jds[at]]
-        return a, b
 
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Block, _Block]]:
+    """first, whether both sides are one, and the sides of each group of rows (first, i, j, left, ...) that come sorted by group."""
+    held: list[dict] = []
+    now = None
+
+    def sides():
+        own = now[1] == now[2]
+        left = [r for r in held if r["left"]]
+        right = left if own else [r for r in held if not r["left"]]
+        return (now[0], own, _Block(left), _Block(right)) if left and right else None
 
     for b in batches:
-        found: tuple[list[int], list[int]] = ([], [])
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for band, i, j, *row in zip(*cols, strict=True):
-            if now != (band, i, j):
-                x, y = pairs(held)
-                found[0].extend(x)
-                found[1].extend(y)
-                held, now = [], (band, i, j)
-            held.append(tuple(row))
-        yield out(found)
-    yield out(pairs(held))
-
-
-def leftover_pairs(bands: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a band and may be similar.
-
-    bands has band, class_id and first (the band's smallest class). In a band,
-    ``rest`` are the classes outside of first's component. They are compared
-    with each other and with first's component, in blocks: a group is a block
-    of the rest with one other block. A class of the rest is sent to as many
-    groups as its band has blocks, one of first's component to as many as the
-    rest has.
+        for row in b.to_pylist():
+            key = (row["first"], row["i"], row["j"])
+            if key != now:
+                if held and (found := sides()):
+                    yield found
+                held, now = [], key
+            held.append(row)
+    if held and (found := sides()):
+        yield found
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """first and class_id of classes with a likely partner of another component, each pair at its smallest common first only."""
+    for first, own, left, right in _groups(batches):
+        sets = [set(r["firsts"]) for r in right.rows]
+        live: set[int] = set()
+        for k, row in enumerate(left.rows):
+            mine = set(row["firsts"])
+            for x in left.likely(k, right, own).tolist():
+                if min(mine & sets[x]) == first:
+                    live.update((row["class_id"], right.rows[x]["class_id"]))
+        if live:
+            yield pa.RecordBatch.from_arrays([pa.array([first] * len(live), pa.int64()), pa.array(sorted(live), pa.int64())], ["first", "class_id"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links between classes of different components, one for each class and component in a group."""
+    for _, own, left, right in _groups(batches):
+        sets: dict[int, np.ndarray] = {}
+
+        def of(row: dict, sets=sets) -> np.ndarray:
+            if row["class_id"] not in sets:
+                sets[row["class_id"]] = shingles(row["text"].encode())
+            return sets[row["class_id"]]
+
+        a, b = [], []
+        for k, row in enumerate(left.rows):
+            linked: set[int] = set()
+            for x in left.likely(k, right, own).tolist():
+                other = right.rows[x]
+                if other["component"] in linked:
+                    continue
+                mine, its = of(row), of(other)
+                shared = len(np.intersect1d(mine, its, assume_unique=True))
+                if 100 * shared >= 75 * (len(mine) + len(its) - shared):
+                    linked.add(other["component"])
+                    a.append(max(row["class_id"], other["class_id"]))
+                    b.append(min(row["class_id"], other["class_id"]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def blocks(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (first, class_id, other columns) of groups with several components, dealt into pairs of blocks.
+
+    In a group, ``rest`` are the classes outside of the component of first.
+    They are compared with each other and with first's component: a row goes to
+    (first, i, j) for block i of the rest and another block j. A class of the
+    rest is sent to as many pairs as its group has blocks, one of first's
+    component to as many as the rest has. A block has about BLOCK classes and
+    BLOCK_SHINGLES shingles at most (or one class).
     """
-    named = bands.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     named = named.withColumn("component", F.coalesce("component", "class_id"))
     of_first = comps.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
-    named = named.join(of_first, "first", "left").withColumn("first_component", F.coalesce("first_component", "first"))
-    named = named.withColumn("rest", F.col("component") != F.col("first_component"))
-    sizes = named.groupBy("band").agg(
-        F.sum(F.col("rest").cast("int")).alias("n_rest"), F.sum((~F.col("rest")).cast("int")).alias("n_core")
-    ).where("n_rest > 0")
-    named = named.join(materialize(sizes, "mixed"), "band")
-    nr, nc = F.ceil(F.col("n_rest") / BLOCK).cast("int"), F.ceil(F.col("n_core") / BLOCK).cast("int")
+    named = named.join(of_first, "first", "left").withColumn("rest", F.col("component") != F.coalesce("first_component", "first"))
+    named = materialize(named.drop("first_component").join(classes.select("class_id", "n_shingles"), "class_id"), "named")
+    parts = lambda own: F.greatest(
+        F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)
+    ).cast("int")
+    sizes = named.groupBy("first").agg(parts(F.col("rest")).alias("nr"), parts(~F.col("rest")).alias("nc"))
+    sizes = materialize(sizes.where("nr > 0"), "mixed")
     spread = F.xxhash64("class_id")
-    own = F.when(F.col("rest"), F.pmod(spread, nr)).otherwise(F.pmod(spread, nc)).cast("int")
-    x = named.select("band", "class_id", "component", "rest", own.alias("x"), nr.alias("nr"), nc.alias("nc"))
+    own = F.when(F.col("rest"), F.pmod(spread, F.col("nr"))).otherwise(F.pmod(spread, F.greatest("nc", F.lit(1)))).cast("int")
+    x = named.join(sizes, "first").withColumn("x", own)
     to = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
-    # j counts the rest's blocks from 0 and the core's from nr on
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda k: k < F.col(n))
+    # j counts the rest's blocks from 0 and the others' from nr on
     rest_to = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: to(F.least(k, F.col("x")), F.greatest(k, F.col("x")), F.col("x") <= k)),
-        F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda k: to(F.col("x"), k + F.col("nr"), F.lit(True))),
-    )
-    core_to = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: to(k, F.col("x") + F.col("nr"), F.lit(False)))
-    dealt = x.select("band", "class_id", "component", F.explode(F.when(F.col("rest"), rest_to).otherwise(core_to)).alias("g"))
-    rows = dealt.join(classes.select("class_id", "n_shingles", "sig"), "class_id").select(
-        "band", "g.i", "g.j", "g.left", "class_id", "component", "n_shingles", "sig"
+        F.transform(upto("nr"), lambda k: to(F.least(k, F.col("x")), F.greatest(k, F.col("x")), F.col("x") <= k)),
+        F.transform(upto("nc"), lambda k: to(F.col("x"), k + F.col("nr"), F.lit(True))),
     )
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return rows.mapInArrow(_crossed, "a long, b long").distinct()
+    core_to = F.transform(upto("nr"), lambda k: to(k, F.col("x") + F.col("nr"), F.lit(False)))
+    g = F.explode(F.when(F.col("rest"), rest_to).otherwise(core_to)).alias("g")
+    return x.select(*members.columns, "component", "n_shingles", g).select(*members.columns, "component", "n_shingles", "g.i", "g.j", "g.left")
+
+
+def leftover_links(bands: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links between classes of different components that share a band.
+
+    Classes that share a band share the band's smallest class, so groups are
+    made by that class, not by band. Signatures tell which classes have any
+    likely partner; the texts of these only are brought together and compared
+    whole, inside the task of a pair of blocks. Pairs are not written as rows.
+    """
+    members = bands.select("first", "class_id").distinct()
+    firsts = members.groupBy("class_id").agg(F.collect_set("first").alias("firsts"))  # a class has BANDS bands
+    dealt = blocks(members, comps, classes)
+    rows = dealt.join(firsts, "class_id").join(classes.select("class_id", "sig"), "class_id")
+    sort = lambda d: d.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
+    live = materialize(sort(rows).mapInArrow(_live, "first long, class_id long").distinct(), "live")
+    if not live.take(1):
+        return live.select(F.col("class_id").alias("a"), F.col("first").alias("b"))
+    # first itself stays the mark of its group's main component, whether it is live or not
+    texts = _texts(docs, live)
+    whole = blocks(live, comps, classes).join(texts, "class_id").join(classes.select("class_id", "sig"), "class_id")
+    return sort(whole).mapInArrow(_links, "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -259,10 +317,14 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """class_id and text of the classes in pairs, written once; a class is named by its smallest doc_id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_id and text of the wanted classes, written once; a class is named by its smallest doc_id.
+
+    A filter of fixed size keeps most other texts from being shuffled; the join behind it is exact.
+    """
+    wanted = wanted.select("class_id").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    own = own.where(sieve(wanted, "class_id")(F.col("class_id")))
     return materialize(own.join(wanted, "class_id", "left_semi").dropDuplicates(["class_id"]), "texts")
 
 
@@ -285,19 +347,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))
     rows = classes.select("class_id", F.explode(keys).alias("band"))
     firsts = rows.groupBy("band").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last")
-    bands = materialize(rows.join(firsts.select("band", "first"), "band").select("band", "class_id", "first"), "bands")
+    firsts = materialize(firsts.select("band", "first"), "firsts")
+    rows = rows.where(sieve(firsts, "band")(F.col("band")))
+    bands = materialize(rows.join(firsts, "band").select("band", "class_id", "first"), "bands")
     stars = bands.where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()
     stars = materialize(estimated(stars, classes), "stars")
-    texts = _texts(docs, stars)
+    texts = _texts(docs, stars.select(F.explode(F.array("a", "b")).alias("class_id")))
     links = materialize(confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts), "links")
     comps = materialize(components(links), "components")
     later = materialize(_apart(stars, comps), "later")
     if later.take(1):
         links = links.unionByName(materialize(confirmed(later, texts), "links"))
         comps = materialize(components(links), "components")
-    left = materialize(leftover_pairs(bands, classes, comps), "leftover")
+    left = materialize(leftover_links(bands, classes, comps, docs), "leftover")
     if left.take(1):
-        links = links.unionByName(materialize(confirmed(left, _texts(docs, left)), "links"))
+        links = links.unionByName(left)
         comps = materialize(components(links), "components")
     of_class = grouped.join(comps, grouped["class_id"] == comps["node"], "left").select(
         "set_hash", F.coalesce("component", "class_id").alias("component")
