@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that a query's tokens leave out.
 STOP_EN = (
@@ -18,6 +21,17 @@ SEPARATORS = "，。！？、；：“”‘’（）·～…"
 _SPLIT = re.compile(r"[\s!-/:-@\[-`{-~" + SEPARATORS + "]+")
 
 
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """text with compatibility forms normalised. Spark has no function for it; texts in ASCII are passed to Python as null."""
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
+
+
 def query_tokens(query: str) -> list[str]:
     """Sorted distinct tokens of a query; a CJK token longer than two characters adds its pairs and single characters."""
     stop = {*STOP_EN, *STOP_CN}
@@ -119,7 +133,7 @@ def hyphenated(text: Column) -> Column:
 def page_id(name: Column, most: int = 80) -> Column:
     """A slug: camel case is split, other than letters and digits become single hyphens, and at most 80 characters stay.
 
-    A longer slug is cut at its last hyphen within the limit. Compatibility forms are expected to be normalised before.
+    A longer slug is cut at its last hyphen within the limit. Pass nfkc(name) where compatibility forms may occur.
     """
     split = F.regexp_replace(name, r"([\p{Ll}\p{N}])(\p{Lu})", "$1-$2")
     slug = F.regexp_replace(F.regexp_replace(F.lower(split), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
+from lexaloom.session import cut_lineage
 
 # The affinity of page types (row: first page, column: second).
 TYPES = ["entity", "concept", "source", "query", "synthesis"]
@@ -128,8 +129,8 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node and community by synchronous label propagation on weighted undirected edges (a, b, weight).
 
     A node takes the label with the greatest weight around it, its own label
-    counting as an average edge, ties to the smaller label. Rounds are cut by
-    reliable checkpoints where a checkpoint folder is set.
+    counting as an average edge, ties to the smaller label. Every second round
+    ends in a reliable checkpoint.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
     own = both.groupBy("u").agg(F.avg("weight").alias("weight"))
@@ -139,11 +140,74 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
         votes = votes.unionByName(own.join(label, "u").select("u", "label", "weight"))
         sums = votes.groupBy("u", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         label = sums.groupBy("u").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select("u", (-F.col("m.l")).alias("label"))
-        if k % 2 and edges.sparkSession.sparkContext.getCheckpointDir():
-            label = label.checkpoint()
+        if k % 2:
+            label = cut_lineage(label)
     return label.select(F.col("u").alias("node"), F.col("label").alias("community"))
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Modularity of a partition (node, community) of weighted undirected edges (a, b, weight)."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    e = edges.join(of("a"), "a").join(of("b"), "b")
+    ends = e.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "weight"), F.struct(F.col("cb").alias("c"), "weight"))).alias("x"))
+    total = e.agg(F.sum("weight"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0))).first()
+    squares = ends.groupBy("x.c").agg(F.sum("x.weight").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    return 0.0 if not total[0] else total[1] / total[0] - squares / (2 * total[0]) ** 2
+
+
+def louvain(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
+    """node and community (its smallest member) by greedy modularity, level by level, on edges (a, b, weight).
+
+    In a round every node looks for the neighbouring community that raises
+    modularity most; of those that would move, a half chosen by a hash of node
+    and round does, so that neighbours do not swap for ever. A level's
+    communities are the nodes of the next one. Each round is joins and grouped
+    sums on edges, and ends in a reliable checkpoint.
+    """
+    now = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    total = now.agg(F.sum("weight")).first()[0]
+    nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    where = nodes.withColumn("community", F.col("node"))
+    if not total:
+        return where
+    for level in range(levels):
+        own = now.where("a = b").select(F.col("a").alias("u"), F.col("weight").alias("loop"))
+        both = now.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(now.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+        both = cut_lineage(both.groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+        degree = both.groupBy("u").agg(F.sum("weight").alias("k")).join(own.groupBy("u").agg(F.sum("loop").alias("loop")), "u", "full_outer")
+        degree = cut_lineage(degree.select("u", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k")))
+        label = degree.select("u", "k", F.col("u").alias("c"))
+        for k in range(rounds):
+            sums = label.groupBy("c").agg(F.sum("k").alias("total"))
+            near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
+            tried = near.unionByName(label.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+            mine = label.select("u", "k", F.col("c").alias("old"))
+            scored = tried.join(mine, "u").join(sums, "c")
+            others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - F.col("k") * others / (2 * total), 9)
+            best = scored.groupBy("u", "k", "old").agg(
+                F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("old")).alias("stay"), (-F.col("c")).alias("c"))).alias("m")
+            )
+            moves = F.pmod(F.xxhash64("u", F.lit(k), F.lit(level)), F.lit(2)) == 0
+            label = cut_lineage(best.select("u", "k", "old", F.when(moves, -F.col("m.c")).otherwise(F.col("old")).alias("c"), (-F.col("m.c") != F.col("old")).alias("wants")))
+            if not label.where("wants").take(1):
+                break
+            label = label.select("u", "k", "c")
+        found = label.select(F.col("u").alias("community"), F.col("c").alias("next"))
+        where = cut_lineage(where.join(found, "community").select("node", F.col("next").alias("community")))
+        to = lambda c, found=found: found.select(F.col("community").alias(c), F.col("next").alias(f"n{c}"))
+        merged = now.join(to("a"), "a").join(to("b"), "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("weight").alias("weight"))
+        now = cut_lineage(merged)
+    first = where.groupBy("community").agg(F.min("node").alias("first"))
+    return where.join(first, "community").select("node", F.col("first").alias("community"))
+
+
+def numbered(labels: DataFrame) -> DataFrame:
+    """community, number (0 is the largest, ties by name) and size of a partition; one row for each community is ranked."""
+    size = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return size.select("community", (F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1).alias("number"), "size")
+
+
 def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """community, n_nodes, n_inner and cohesion; nodes: id, community; edges: a, b undirected and distinct."""
     of = lambda c: nodes.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))

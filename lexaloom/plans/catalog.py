@@ -309,6 +309,12 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(edges)
 
 
+@query()
+def graph_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_relevance(spark, sf_dir).select("a", "b", F.col("relevance").alias("weight"))
+    return graph.louvain(edges)
+
+
 @query(
     f"""SELECT 'orphan' AS rule, 'info' AS severity, CAST(id AS VARCHAR) AS subject, '' AS detail FROM {_NODES} WHERE id NOT IN (SELECT dst FROM {_EDGES})
     UNION ALL SELECT 'no-outlinks', 'info', CAST(id AS VARCHAR), '' FROM {_NODES} WHERE id NOT IN (SELECT src FROM {_EDGES})

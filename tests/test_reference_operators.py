@@ -97,6 +97,23 @@ def test_graph(spark):
     assert found[1] == found[2] == found[3] != found[4] and found[4] == found[5]
 
 
+def test_louvain(spark):
+    cliques = [(10 * c + i, 10 * c + j) for c in range(5) for i in range(6) for j in range(i)]
+    ring = [(10 * c, 10 * ((c + 1) % 5) + 1) for c in range(5)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in cliques + ring], "a long, b long, weight double")
+    got = graph.louvain(edges)
+    found = dict(got.collect())
+    assert len(set(found.values())) == 5 and all(found[10 * c + i] == 10 * c for c in range(5) for i in range(6))
+    assert graph.modularity(edges, got) >= graph.modularity(edges, graph.communities(edges)) - 1e-9 and graph.modularity(edges, got) > 0.7
+    assert [(r["number"], r["size"]) for r in graph.numbered(got).orderBy("number").collect()] == [(k, 6) for k in range(5)]
+    assert graph.louvain(edges.limit(0)).count() == 0
+
+
+def test_nfkc(spark):
+    df = spark.createDataFrame([("ﬁne Ｗide",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.nfkc(F.col("t"))).collect()] == ["fine Wide", "plain", None]
+
+
 def test_quality(pages, spark):
     rules = {(r["rule"], r["subject"]) for r in quality.audit(pages).collect()}
     assert ("DUP-SLUG-VERSION-NUMBER", "gpt4") in rules and ("FRONTMATTER-INCONSISTENT-LIST", "wiki/entities/transformer.md") in rules
