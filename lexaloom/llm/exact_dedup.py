@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import batch, materialize, raw
+from .work import batch, fresh, materialize, raw
 
 #: Cut points: a boundary where the low MASK_BITS bits of the rolling hash are 0, chunks of MIN to MAX bytes.
 MASK_BITS, MIN_BYTES, MAX_BYTES = 11, 512, 16384
@@ -113,7 +113,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     made = materialize(recipes(docs), "recipes")
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    many = groups.where("group_size > 1")
+    many = materialize(groups.where("group_size > 1"), "groups")
     joined = made.join(many, "recipe", "left")
     keep = F.coalesce("keep_id", "doc_id")
     return joined.select(
@@ -132,6 +132,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    own = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    on = own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own["_sha"] == kept["_kept_sha"])
-    return own.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*names)
+    sha = fresh(names, "_sha")
+    own = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    on = own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own[sha] == kept["_kept_sha"])
+    return own.join(kept, on, "left_semi").dropDuplicates(["doc_id", sha]).select(*names)
