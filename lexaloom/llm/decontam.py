@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import fresh, raw
+from .work import fresh, materialize, raw
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Passes in one stage; each has an automaton in the memory of its own worker.
+CHAIN = 4
 
 #: Upper case to lower case; ASCII that is neither letter nor digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -187,6 +189,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     added = T.StructType([T.StructField(fresh(names, f.name), f.dataType) for f in _FOUND])
     out = docs
     for k, automaton in enumerate(shared):
+        if k and k % CHAIN == 0:
+            out = materialize(out, "annotated")
         last = k == len(shared) - 1
         kept = [n for n in names if keep_text or n != "text" or not last]
         schema = T.StructType([docs.schema[n] for n in kept] + added.fields)

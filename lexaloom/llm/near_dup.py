@@ -333,17 +333,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Null texts and
     texts without words are linked with nothing. Equal sets are linked. Rows
-    that repeat a doc_id are reported each; should their words differ, the
-    links of one of them count. Rows without a doc_id are linked with nothing.
+    that repeat a doc_id are reported each; should their words differ, links of
+    all of them count for the document. Rows without a doc_id are linked with nothing.
     Other columns are not read. An empty table gives an empty result.
     """
     signed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED_DDL), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    grouped = full.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    grouped = materialize(grouped, "groups")
-    first_rows = full.join(grouped, "set_hash").where("doc_id = class_id")
-    one = first_rows.groupBy("class_id").agg(F.max(F.struct("set_hash", "n_shingles", "sig")).alias("one"))
-    classes = materialize(one.select("class_id", "one.n_shingles", "one.sig"), "classes")
+    own = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
+    grouped = materialize(own.select("set_hash", F.col("m.doc_id").alias("class_id"), "m.n_shingles", "m.sig"), "classes")
+    classes = grouped.drop("set_hash")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))
     rows = classes.select("class_id", F.explode(keys).alias("band"))
     firsts = rows.groupBy("band").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last")
@@ -363,6 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if left.take(1):
         links = links.unionByName(left)
         comps = materialize(components(links), "components")
+    grouped = grouped.select("set_hash", "class_id")
     of_class = grouped.join(comps, grouped["class_id"] == comps["node"], "left").select(
         "set_hash", F.coalesce("component", "class_id").alias("component")
     )

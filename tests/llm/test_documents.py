@@ -110,7 +110,9 @@ def test_estimate_takes_chance_out():
         assert abs(near_dup.estimate(x, y) - shared / (4000 - shared)) < 0.13
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)]
     up = {k: k for e in edges for k in e}
