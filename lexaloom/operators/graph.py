@@ -155,7 +155,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return 0.0 if not total[0] else total[1] / total[0] - squares / (2 * total[0]) ** 2
 
 
-def louvain(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame:
     """node and community (its smallest member) by greedy modularity, level by level, on edges (a, b, weight).
 
     In a round every node looks for the neighbouring community that raises
@@ -164,7 +164,7 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
     communities are the nodes of the next one. Each round is joins and grouped
     sums on edges, and ends in a reliable checkpoint.
     """
-    now = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    now = cut_lineage(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
     total = now.agg(F.sum("weight")).first()[0]
     nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     where = nodes.withColumn("community", F.col("node"))
