@@ -227,12 +227,12 @@ def community_members(nodes: DataFrame, k: int = 5) -> DataFrame:
 
 def surprising(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """a, b, score of the k most surprising edges; nodes: id, type, community, n_links; edges: a, b, weight."""
-    most = nodes.agg(F.greatest(F.max("n_links"), F.lit(1)).alias("most"))
+    most = max(nodes.agg(F.max("n_links")).first()[0] or 0, 1)
     of = lambda c: nodes.select(F.col("id").alias(c), *[F.col(x).alias(x + c) for x in ("type", "community", "n_links")])
-    e = edges.join(of("a"), "a").join(of("b"), "b").join(F.broadcast(most), F.lit(True))  # most is one row
+    e = edges.join(of("a"), "a").join(of("b"), "b")
     kinds = F.array_sort(F.array("typea", "typeb"))
     far = F.array(*[F.array(*map(F.lit, sorted(p))) for p in (("source", "concept"), ("source", "synthesis"), ("query", "entity"))])
-    hub = (F.least("n_linksa", "n_linksb") <= 2) & (F.greatest("n_linksa", "n_linksb") * 2 >= F.col("most"))
+    hub = (F.least("n_linksa", "n_linksb") <= 2) & (F.greatest("n_linksa", "n_linksb") * 2 >= most)
     score = (
         F.when(F.col("communitya") != F.col("communityb"), 3).otherwise(0)
         + F.when(F.array_contains(far, kinds), 2).when(F.col("typea") != F.col("typeb"), 1).otherwise(0)

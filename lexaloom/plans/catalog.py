@@ -366,7 +366,7 @@ def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, lang, count(*) AS n, count(DISTINCT text) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "lang", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"), F.length("text").alias("c"))
+    d = table(spark, sf_dir, "documents").select("source", "lang", F.sha2("text", 256).alias("s"), F.length("text").alias("c"))
     return d.groupingSets([("source", "lang"), ("source",), ("lang",), ()], "source", "lang").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("n_texts"), F.sum("c").alias("n_chars")
     )
