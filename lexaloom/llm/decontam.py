@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import fresh, materialize, raw
+from .work import fresh, materialize, raw, tidied
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -194,7 +194,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
         last = k == len(shared) - 1
         kept = [n for n in names if keep_text or n != "text" or not last]
         schema = T.StructType([docs.schema[n] for n in kept] + added.fields)
-        out = out.mapInArrow(_scanner(automaton, names.index("text"), [names.index(n) for n in kept], k > 0, added.names), schema)
+        out = out.mapInArrow(tidied(_scanner(automaton, names.index("text"), [names.index(n) for n in kept], k > 0, added.names)), schema)
     return out
 
 
@@ -282,4 +282,4 @@ def decontaminate(
     names = docs.columns
     plain = docs.withColumn("text", F.col("text").cast("string"))
     found = annotate(plain, benchmark, window, block_words)
-    return found.mapInArrow(_remover(names.index("text"), len(names), max_coverage), plain.schema).select(*names)
+    return found.mapInArrow(tidied(_remover(names.index("text"), len(names), max_coverage)), plain.schema).select(*names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import batch, fresh, materialize, raw
+from .work import batch, fresh, materialize, raw, tidied
 
 #: Cut points: a boundary where the low MASK_BITS bits of the rolling hash are 0, chunks of MIN to MAX bytes.
 MASK_BITS, MIN_BYTES, MAX_BYTES = 11, 512, 16384
@@ -78,7 +78,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 and recipe (binary) of each row; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _recipes, "doc_id long, text_sha256 string, recipe binary"
+        tidied(_recipes), "doc_id long, text_sha256 string, recipe binary"
     )
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .token_store import parts
 from .tokens import encoder
-from .work import batch, materialize
+from .work import batch, materialize, tidied
 
 CAPACITY = 2048
 BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 3, 6
@@ -68,7 +68,7 @@ def _cutter(path: str, end_id: int, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece; a null text counts as empty and has the end id alone."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cutter(tokenizer, end_id, capacity), _PIECE_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_cutter(tokenizer, end_id, capacity)), _PIECE_DDL)
 
 
 def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:

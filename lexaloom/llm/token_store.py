@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .work import batch, work_path
+from .work import batch, tidied, work_path
 
 #: Ids in a shard at most, if it has more than one document.
 SHARD_IDS = 1 << 20
@@ -169,7 +169,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_i
     """
     keyed = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), F.col("text").cast("string"))
     ranged = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARD_DDL).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(tidied(_writer(tokenizer, end_id, shard_ids)), SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

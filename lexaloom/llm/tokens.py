@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Units kept in each of two generations by a Python worker (about 100 bytes each).
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 #: Longer units are encoded but not kept.
 LONGEST_UNIT = 64
 

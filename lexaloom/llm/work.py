@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,6 +65,29 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+def tidy() -> None:
+    """Give memory that Arrow's pool and the C library hold in reserve back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches after which the worker, that later stages use again, is small again."""
+
+    @functools.wraps(run)
+    def made(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return made
+
+
 #: Bits of a sieve: 8 MB, whatever the number of keys.
 SIEVE_BITS = 1 << 26
 

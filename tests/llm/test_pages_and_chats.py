@@ -5,6 +5,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexaloom.llm import chat, warc
 
@@ -111,3 +112,12 @@ def test_catalog_names_every_operator():
     from lexaloom.llm import catalog
 
     assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11)) and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_sieve_passes_every_key(spark):
+    from lexaloom.llm.work import sieve
+
+    keys = spark.range(0, 40_000, 7).withColumnRenamed("id", "k")
+    test = sieve(keys, "k")
+    passed = {r[0] for r in spark.range(40_000).where(test(F.col("id"))).collect()}
+    assert passed >= set(range(0, 40_000, 7)) and len(passed) < 6000
