@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import batch, materialize, raw, sieve
+from .work import batch, materialize, raw, sieve, tidied
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 48, 6
 K = BANDS * ROWS
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
-BLOCK, BLOCK_SHINGLES, SALT_ROWS = 256, 200_000, 64
+BLOCK, BLOCK_SHINGLES, SALT_ROWS = 1024, 200_000, 64
 #: Distinct words whose hashes a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _U64 = np.uint64
 _rng = np.random.default_rng(2)
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     firsts = salted.select("b", "salt").distinct().join(texts, F.col("b") == texts["class_id"])
     firsts = firsts.select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = members.unionByName(firsts).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "a long, b long")
+    return rows.mapInArrow(tidied(_confirm), "a long, b long")
 
 
 class _Block:
@@ -301,13 +301,13 @@ def leftover_links(bands: DataFrame, classes: DataFrame, comps: DataFrame, docs:
     dealt = blocks(members, comps, classes)
     rows = dealt.join(firsts, "class_id").join(classes.select("class_id", "sig"), "class_id")
     sort = lambda d: d.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    live = materialize(sort(rows).mapInArrow(_live, "first long, class_id long").distinct(), "live")
+    live = materialize(sort(rows).mapInArrow(tidied(_live), "first long, class_id long").distinct(), "live")
     if not live.take(1):
         return live.select(F.col("class_id").alias("a"), F.col("first").alias("b"))
     # first itself stays the mark of its group's main component, whether it is live or not
     texts = _texts(docs, live)
     whole = blocks(live, comps, classes).join(texts, "class_id").join(classes.select("class_id", "sig"), "class_id")
-    return sort(whole).mapInArrow(_links, "a long, b long").distinct()
+    return sort(whole).mapInArrow(tidied(_links), "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all of them count for the document. Rows without a doc_id are linked with nothing.
     Other columns are not read. An empty table gives an empty result.
     """
-    signed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED_DDL), "signatures")
+    signed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_sign), _SIGNED_DDL), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     own = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
     grouped = materialize(own.select("set_hash", F.col("m.doc_id").alias("class_id"), "m.n_shingles", "m.sig"), "classes")
