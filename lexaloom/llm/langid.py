@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import batch
+from .work import batch, tidied
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Below this score the two best codewords count as equally near.
 AMBIGUOUS = 0.02
+#: accept() drops texts with a score below this one. It is lower than AMBIGUOUS, as texts in two languages are no junk.
+REJECTED = 0.005
 #: accept() does not judge ambiguity on texts with fewer n-grams: one or two words are often good in several languages.
 FEWEST_NGRAMS = 400
 #: Bytes of a text that are hashed at a time.
@@ -65,8 +67,8 @@ def histogram(text: str | None) -> np.ndarray | None:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = histogram(text)
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            found = histogram(text.as_py())
             if found is not None:
                 if lang in sums:
                     sums[lang] += found
@@ -136,7 +138,7 @@ def fit(labelled: DataFrame) -> Model:
     """Learn from the text and lang of all rows given, of which those without lang or letters teach nothing."""
     sums = (
         labelled.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-        .mapInArrow(_count, "lang string, bucket int, n long")
+        .mapInArrow(tidied(_count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
     rows = sums.toArrow()
@@ -159,10 +161,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(histogram(t)) for t in b.column(1).to_pylist()]
+            found = [m.predict(histogram(t.as_py())) for t in b.column(1)]
             yield batch(schema, b.column(0), *(list(c) for c in zip(*found, strict=True))) if found else batch(schema, b.column(0), [], [], [])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {_PREDICTED_DDL}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), f"doc_id long, {_PREDICTED_DDL}")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -183,7 +185,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame) -> DataFrame:
     """docs without the rows that language identification rejects; columns as given.
 
-    These are the rows with `und` and those that are ambiguous in spite of at least FEWEST_NGRAMS n-grams.
+    These are the rows without a letter and those whose best two languages are as good as each other (a score
+    below REJECTED) in spite of at least FEWEST_NGRAMS n-grams. Without labelled rows only the former go.
     """
     model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -194,10 +197,9 @@ def accept(docs: DataFrame) -> DataFrame:
         m = shared.value
         for b in batches:
             keep = []
-            for t in b.column(at).to_pylist():
-                found = histogram(t)
-                lang, _, ambiguous = m.predict(found)
-                keep.append(lang != "und" and not (ambiguous and found.sum() >= FEWEST_NGRAMS))
+            for t in b.column(at):
+                found = histogram(t.as_py())
+                keep.append(found is not None and not (m.langs and m.predict(found)[1] < REJECTED and found.sum() >= FEWEST_NGRAMS))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema)
+    return plain.mapInArrow(tidied(run), plain.schema)
