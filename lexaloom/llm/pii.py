@@ -4,7 +4,9 @@ Values are found by pattern and validated: card numbers by their check digit,
 account numbers by their remainder, dates by the calendar, addresses by their
 octets. A valid value is permuted with a keyed Feistel network over exactly the
 values of its format: digits stay digits, letters letters of their case, a date
-a date, and check digits are made to fit again. Separators stay. The
+a date, and check digits are made to fit again. Separators stay. A phone number
+or an address is replaced by its form alone: numbers that are never given out
+(area codes from 0 or 1, reserved octets) are permuted among themselves. The
 permutation depends on the key and the format only, so a value has the same
 pseudonym in every document and different values have different ones; who has
 the key can invert it. The work is one narrow pass.
@@ -110,15 +112,13 @@ def card(f: Feistel, value: str, back: bool) -> str | None:
     return _fill(value, body + str(luhn(body)))
 
 
-def phone(f: Feistel, value: str, back: bool) -> str | None:
+def phone(f: Feistel, value: str, back: bool) -> str:
     digits = re.sub(r"\D", "", value)
-    if not 9 <= len(digits) <= 15:
-        return None
-    if len(digits) == 11 and digits[0] == "1":  # area code and exchange start with 2 to 9
-        if digits[1] in "01" or digits[4] in "01":
-            return None
-        own = f.text(digits[1:], "phone-1", lambda v: v[0] not in "01" and v[3] not in "01", back)
-        return _fill(value, "1" + own)
+    if len(digits) == 11 and digits[0] == "1":  # area code and exchange start with 2 to 9, or the number is of the other class
+        given = lambda v: v[0] not in "01" and v[3] not in "01"
+        if given(digits[1:]):
+            return _fill(value, "1" + f.text(digits[1:], "phone-1", given, back))
+        return _fill(value, "1" + f.text(digits[1:], "phone-1-other", lambda v: not given(v), back))
     return _fill(value, digits[:2] + f.text(digits[2:], f"phone-{digits[:2]}", back=back))
 
 
@@ -129,14 +129,22 @@ def ssn(f: Feistel, value: str, back: bool) -> str | None:
 
 
 def ipv4(f: Feistel, value: str, back: bool) -> str | None:
+    """Addresses of public octets, of each reserved network, and with leading zeros are classes of their own."""
     octets = [int(x) for x in value.split(".")]
-    if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
+    if max(octets) > 255:
         return None
+    padded = lambda v: any(len(x) > 1 and x[0] == "0" for x in v.split("."))
+    if padded(value):
+        return f.text(value, "ipv4-padded", lambda v: padded(v) and max(map(int, v.split("."))) <= 255, back)
     good = lambda v: v >> 24 not in (0, 10, 127) and v >> 24 < 224
     number = int.from_bytes(bytes(octets), "big")
-    if not good(number):
-        return None
-    return ".".join(map(str, f.number(number, 1 << 32, "ipv4", good, back).to_bytes(4, "big")))
+    if good(number):
+        new = f.number(number, 1 << 32, "ipv4", good, back)
+    elif octets[0] < 224:  # the network's number stays
+        new = (octets[0] << 24) + f.number(number & 0xFFFFFF, 1 << 24, f"ipv4-{octets[0]}", back=back)
+    else:
+        new = (224 << 24) + f.number(number - (224 << 24), 32 << 24, "ipv4-224", back=back)
+    return ".".join(map(str, new.to_bytes(4, "big")))
 
 
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()

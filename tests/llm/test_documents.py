@@ -320,6 +320,34 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.pseudonymize("4451718024887799 27.65.93.188 +1 (863) 555-9426 70.1.2.3", f)[1] == ["card", "ipv4", "phone", "ipv4"]
 
 
+#: Forms of a phone number or an address whose area code, exchange or octets are never given out.
+UNASSIGNED = [
+    "+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (988) 055-2485", "+1 (000) 000-0000", "+290 1234", "233.254.104.120", "248.40.198.62", "255.255.255.255",
+    "10.0.0.1", "127.0.0.1", "0.1.2.3", "192.168.001.010",
+]
+
+
+def test_unassigned_numbers_are_permuted_in_their_class(spark):
+    f = pii.Feistel(b"a key")
+    ungiven = lambda v: any(re.sub(r"\D", "", v)[k] in "01" for k in (1, 4))
+    network = lambda v: min(int(v.split(".")[0]), 224)
+    made = set()
+    for v in UNASSIGNED:
+        new, kinds = pii.pseudonymize(f"x {v} y", f)
+        assert kinds == ["phone" if v[0] == "+" else "ipv4"] and new != f"x {v} y", v
+        assert pii.pseudonymize(new, f, back=True)[0] == f"x {v} y"
+        made.add(new)
+        assert v == "192.168.001.010" or (ungiven(new[2:-2]) if v.startswith("+1") else v[0] == "+" or network(new[2:-2]) == network(v)), (v, new)
+    assert len(made) == len(UNASSIGNED)
+    for k in range(300):
+        a, b = f"+1 ({k:03d}) 555-{k:04d}", f"{k % 256}.{k % 7}.0.{k % 251}"
+        text = f"{a}, {b}"
+        new, kinds = pii.pseudonymize(text, f)
+        assert kinds == ["phone", "ipv4"] and a not in new and pii.pseudonymize(new, f, back=True)[0] == text
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(UNASSIGNED)], "doc_id long, text string")
+    assert all(r["n_found"] == 1 and r["changed"] for r in pii.pseudonymize_documents(rows, b"k").collect())
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     assert sorted(f.number(v, 1000, "t") for v in range(1000)) == list(range(1000))
