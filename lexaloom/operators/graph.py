@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-from lexaloom.session import cut_lineage
+from lexaloom.session import cut_lineage, cut_statistics
 
 # The affinity of page types (row: first page, column: second).
 TYPES = ["entity", "concept", "source", "query", "synthesis"]
@@ -126,23 +126,39 @@ def top_related(scored: DataFrame, k: int) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node and community by synchronous label propagation on weighted undirected edges (a, b, weight).
+    """node and community by label propagation on weighted undirected edges (a, b, weight), until no label changes.
 
     A node takes the label with the greatest weight around it, its own label
-    counting as an average edge, ties to the smaller label. Every second round
-    ends in a reliable checkpoint.
+    counting as an average edge, ties to the smaller label. The first rounds
+    are synchronous, so that labels spread fast but may swap for ever; in later
+    ones no two neighbours change at once, so each change raises the weight of
+    edges within labels and the rounds come to an end. Every second round ends
+    in a reliable checkpoint, each later one in a table in the shared folder.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
     own = both.groupBy("u").agg(F.avg("weight").alias("weight"))
     label = own.select("u", F.col("u").alias("label"))
-    for k in range(rounds):
+
+    def voted(label: DataFrame) -> DataFrame:
         votes = both.join(label.select(F.col("u").alias("v"), "label"), "v").select("u", "label", "weight")
         votes = votes.unionByName(own.join(label, "u").select("u", "label", "weight"))
         sums = votes.groupBy("u", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        label = sums.groupBy("u").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select("u", (-F.col("m.l")).alias("label"))
+        return sums.groupBy("u").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select("u", (-F.col("m.l")).alias("label"))
+
+    for k in range(rounds):
+        label = voted(label)
         if k % 2:
             label = cut_lineage(label)
-    return label.select(F.col("u").alias("node"), F.col("label").alias("community"))
+    k = rounds
+    while True:
+        label = cut_statistics(label.join(voted(label).withColumnRenamed("label", "next"), "u"))
+        wants = label.where("label <> next").select("u", F.struct(F.xxhash64("u", F.lit(k)).alias("h"), "u").alias("turn"))
+        if not wants.take(1):
+            return label.select(F.col("u").alias("node"), F.col("label").alias("community"))
+        first = both.where("u <> v").join(wants.select(F.col("u").alias("v"), "turn"), "v").groupBy("u").agg(F.min("turn").alias("first"))
+        moves = wants.join(first, "u", "left").where("first IS NULL OR turn < first").select("u", F.lit(True).alias("moves"))
+        label = label.join(moves, "u", "left").select("u", F.when(F.col("moves"), F.col("next")).otherwise(F.col("label")).alias("label"))
+        k += 1
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -155,49 +171,91 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return 0.0 if not total[0] else total[1] / total[0] - squares / (2 * total[0]) ** 2
 
 
-def louvain(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame:
+#: Gains are rounded to 9 places; a move must gain more than that hides.
+LEAST_GAIN = 1.5e-9
+
+
+def _apart(tried: DataFrame) -> DataFrame:
+    """Of the nodes that want to move, u of those with the largest gain in both communities that they touch.
+
+    No community takes part in two such moves, so their gains add up exactly.
+    """
+    wants = tried.where("wants").select("u", "old", "c", F.struct("gain", "u").alias("turn"))
+    most = wants.select("turn", F.explode(F.array("old", "c")).alias("at")).groupBy("at").agg(F.max("turn").alias("most"))
+    for end in ("old", "c"):
+        wants = wants.join(most.select(F.col("at").alias(end), F.col("most").alias(f"most_{end}")), end)
+    return wants.where("turn = most_old AND turn = most_c").select("u", F.lit(True).alias("moves"))
+
+
+def louvain(edges: DataFrame, levels: int | None = None, rounds: int | None = None) -> DataFrame:
     """node and community (its smallest member) by greedy modularity, level by level, on edges (a, b, weight).
 
     In a round every node looks for the neighbouring community that raises
     modularity most; of those that would move, a half chosen by a hash of node
-    and round does, so that neighbours do not swap for ever. A level's
-    communities are the nodes of the next one. Each round is joins and grouped
-    sums on edges, and ends in a reliable checkpoint.
+    and round does, so that neighbours do not swap for ever. If modularity does
+    not rise, the round is taken back, the moves that do not touch each other's
+    communities are made in its place, and from then on a smaller share moves.
+    So every round kept raises modularity, and a level ends when no node wants
+    to move. A level's communities are the nodes of the next one; the last
+    level is the one that merges nothing. levels and rounds (of a level) stop
+    it earlier if given. Each round is joins and grouped sums on edges, and
+    ends in a table in the shared folder.
     """
-    now = cut_lineage(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
+    now = cut_statistics(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
     total = now.agg(F.sum("weight")).first()[0]
     nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     where = nodes.withColumn("community", F.col("node"))
     if not total:
         return where
-    for level in range(levels):
+    level = 0
+    while levels is None or level < levels:
         own = now.where("a = b").select(F.col("a").alias("u"), F.col("weight").alias("loop"))
         both = now.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(now.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
-        both = cut_lineage(both.groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+        both = cut_statistics(both.groupBy("u", "v").agg(F.sum("weight").alias("weight")))
         degree = both.groupBy("u").agg(F.sum("weight").alias("k")).join(own.groupBy("u").agg(F.sum("loop").alias("loop")), "u", "full_outer")
-        degree = cut_lineage(degree.select("u", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k")))
+        degree = cut_statistics(degree.select("u", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k")))
         label = degree.select("u", "k", F.col("u").alias("c"))
-        for k in range(rounds):
+        last, reached, share, k = None, 0.0, 2, 0
+        while True:
             sums = label.groupBy("c").agg(F.sum("k").alias("total"))
             near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
             tried = near.unionByName(label.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
             mine = label.select("u", "k", F.col("c").alias("old"))
+            stays = F.col("c") == F.col("old")
             scored = tried.join(mine, "u").join(sums, "c")
-            others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+            others = F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)
             gain = F.round(F.col("w") - F.col("k") * others / (2 * total), 9)
             best = scored.groupBy("u", "k", "old").agg(
-                F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("old")).alias("stay"), (-F.col("c")).alias("c"))).alias("m")
+                F.max(F.struct(gain.alias("g"), stays.alias("stay"), (-F.col("c")).alias("c"))).alias("m"),
+                F.max(F.when(stays, gain)).alias("g"),
+                # twice this, summed over nodes, is modularity times total weight, but for the loops
+                F.max(F.when(stays, F.col("w") - F.col("k") * F.col("total") / (2 * total))).alias("part"),
             )
-            moves = F.pmod(F.xxhash64("u", F.lit(k), F.lit(level)), F.lit(2)) == 0
-            label = cut_lineage(best.select("u", "k", "old", F.when(moves, -F.col("m.c")).otherwise(F.col("old")).alias("c"), (-F.col("m.c") != F.col("old")).alias("wants")))
-            if not label.where("wants").take(1):
+            best = best.select("u", "k", "old", (-F.col("m.c")).alias("c"), (F.col("m.g") - F.col("g")).alias("gain"), "part")
+            best = cut_statistics(best.withColumn("wants", F.col("gain") > LEAST_GAIN))
+            value, wanting = best.agg(F.sum("part"), F.count_if("wants")).first()
+            taken_back = last is not None and value <= reached + 1e-9 * total
+            if taken_back:
+                best, wanting, share = *last, 2 * share
+            if not wanting or (rounds is not None and k >= rounds):
+                label = best.select("u", "k", F.col("old").alias("c"))
                 break
-            label = label.select("u", "k", "c")
+            if taken_back or share > wanting:
+                chosen = best.join(_apart(best), "u", "left")
+                last = None
+            else:
+                chosen = best.withColumn("moves", F.col("wants") & (F.pmod(F.xxhash64("u", F.lit(k), F.lit(level)), F.lit(share)) == 0))
+                last, reached = (best, wanting), value
+            label = chosen.select("u", "k", F.when(F.col("moves"), F.col("c")).otherwise(F.col("old")).alias("c"))
+            k += 1
         found = label.select(F.col("u").alias("community"), F.col("c").alias("next"))
-        where = cut_lineage(where.join(found, "community").select("node", F.col("next").alias("community")))
+        if not found.where("community <> next").take(1):
+            break
+        where = cut_statistics(where.join(found, "community").select("node", F.col("next").alias("community")))
         to = lambda c, found=found: found.select(F.col("community").alias(c), F.col("next").alias(f"n{c}"))
         merged = now.join(to("a"), "a").join(to("b"), "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("weight").alias("weight"))
-        now = cut_lineage(merged)
+        now = cut_statistics(merged)
+        level += 1
     first = where.groupBy("community").agg(F.min("node").alias("first"))
     return where.join(first, "community").select("node", F.col("first").alias("community"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a local session, whose executors are the driver's own process, may go without that setting.
-    """
+def _shared_folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lexaloom-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session, whose executors are the driver's own process, may go without that setting.
+    """
+    _shared_folder(df)
     return df.checkpoint()
+
+
+def cut_statistics(df: DataFrame) -> DataFrame:
+    """df written to that folder and read again, for loops without a fixed end.
+
+    A checkpoint keeps the size that its plan was estimated at; over many rounds of joins the estimate outgrows any number.
+    """
+    path = f"{_shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

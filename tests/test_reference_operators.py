@@ -109,6 +109,44 @@ def test_louvain(spark):
     assert graph.louvain(edges.limit(0)).count() == 0
 
 
+def test_louvain_and_labels_settle(spark):
+    """A long chain of planted pairs needs more levels and rounds than any fixed few."""
+    import random
+
+    rng, weight = random.Random(3), {}
+    for c in range(10):  # groups of 8, some edges between neighbouring groups
+        for i in range(8):
+            for j in range(i):
+                if rng.random() < 0.6 or j == i - 1:
+                    weight[8 * c + j, 8 * c + i] = 1.0
+        weight[8 * c + rng.randrange(8), 8 * (c + 1) + rng.randrange(8)] = 1.0
+    for k in range(1000, 1060):  # a chain
+        weight[k, k + 1] = 1.0
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "a long, b long, weight double")
+    of = dict(graph.louvain(edges).collect())
+    total, degree, size = sum(weight.values()), dict.fromkeys(of, 0.0), {}
+    for (a, b), w in weight.items():
+        degree[a] += w
+        degree[b] += w
+    for n, c in of.items():
+        size[c] = size.get(c, 0.0) + degree[n]
+    between = {}
+    for (a, b), w in weight.items():
+        if of[a] != of[b]:
+            pair = tuple(sorted((of[a], of[b])))
+            between[pair] = between.get(pair, 0.0) + w
+    assert all(w - size[a] * size[b] / (2 * total) < 1e-6 for (a, b), w in between.items())  # no merge raises modularity
+    label = dict(graph.communities(edges).collect())
+    near = {n: {} for n in of}
+    for (a, b), w in weight.items():
+        for u, v in ((a, b), (b, a)):
+            near[u].setdefault(label[v], 0.0)
+            near[u][label[v]] += w
+    for n, votes in near.items():
+        votes[label[n]] = votes.get(label[n], 0.0) + 1.0
+        assert min(votes, key=lambda x: (-votes[x], x)) == label[n]
+
+
 def test_nfkc(spark):
     df = spark.createDataFrame([("ﬁne Ｗide",), ("plain",), (None,)], "t string")
     assert [r[0] for r in df.select(T.nfkc(F.col("t"))).collect()] == ["fine Wide", "plain", None]
