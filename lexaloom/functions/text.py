@@ -177,34 +177,73 @@ def snippet(text: Column, anchors: list[str], around: int = 80) -> Column:
 
 # Scripts by Unicode range, in order of precedence.
 SCRIPTS = {
-    "Japanese": r"[\x{3040}-\x{30FF}]", "Korean": r"[\x{AC00}-\x{D7AF}]", "Chinese": r"[\x{4E00}-\x{9FFF}]", "Russian": r"[\x{0400}-\x{04FF}]",
-    "Greek": r"[\x{0370}-\x{03FF}]", "Hebrew": r"[\x{0590}-\x{05FF}]", "Arabic": r"[\x{0600}-\x{06FF}]", "Hindi": r"[\x{0900}-\x{097F}]",
+    "Japanese": r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}]", "Korean": r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]",
+    "Chinese": r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}]", "Russian": r"[\x{0400}-\x{052F}]",
+    "Greek": r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]", "Hebrew": r"[\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}]",
+    "Arabic": r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]", "Hindi": r"[\x{0900}-\x{097F}]",
     "Bengali": r"[\x{0980}-\x{09FF}]", "Tamil": r"[\x{0B80}-\x{0BFF}]", "Telugu": r"[\x{0C00}-\x{0C7F}]", "Thai": r"[\x{0E00}-\x{0E7F}]",
-    "Georgian": r"[\x{10A0}-\x{10FF}]", "Armenian": r"[\x{0530}-\x{058F}]",
+    "Georgian": r"[\x{10A0}-\x{10FF}\x{2D00}-\x{2D2F}]", "Armenian": r"[\x{0530}-\x{058F}]", "Kannada": r"[\x{0C80}-\x{0CFF}]",
+    "Malayalam": r"[\x{0D00}-\x{0D7F}]", "Gujarati": r"[\x{0A80}-\x{0AFF}]", "Punjabi": r"[\x{0A00}-\x{0A7F}]", "Burmese": r"[\x{1000}-\x{109F}]",
+    "Khmer": r"[\x{1780}-\x{17FF}]", "Lao": r"[\x{0E80}-\x{0EFF}]", "Amharic": r"[\x{1200}-\x{137F}]", "Tibetan": r"[\x{0F00}-\x{0FFF}]",
+    "Sinhala": r"[\x{0D80}-\x{0DFF}]",
 }
-# Marks of languages in Latin script, in order of precedence: letters, then words.
+# Marks of languages in Latin script, in order of precedence: letters and words, both of which must occur if both are given.
+# Two marks differ from the reference: Spanish letters come first, as French and Spanish share "la"; Polish goes without ó, which Spanish has.
 LATIN = [
-    ("Vietnamese", "[ăơưđạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]", ""),
-    ("Turkish", "[ğış]", ""),
-    ("Polish", "[ąęłńśźż]", ""),
-    ("Czech", "[ěřů]", ""),
-    ("Romanian", "[țș]", ""),
+    ("Vietnamese", "[ảạắằẳẵặấầẩẫậđẻẽẹếềểễệỉĩịỏọốồổỗộơớờởỡợủũụưứừửữựỳỷỹỵ]", ""),
+    ("Turkish", "[ğış]", "bir|ve|için|ile|bu|da|de|değil|ama"),
+    ("Polish", "[ąćęłńśźż]", ""),
+    ("Czech", "[ěšžřďťňů]", ""),
+    ("Romanian", "[ăâîșț]", "și|este|sau|care|pentru"),
     ("Hungarian", "[őű]", ""),
-    ("German", "[äöüß]", "und|der|die|das|ist|nicht"),
-    ("French", "[àâæçèêëîïôœùûÿ]", "le|la|les|des|est|une"),
-    ("Portuguese", "[ãõ]", "não|uma|para|com"),
-    ("Spanish", "[ñ¿¡]", "el|los|las|una|que|por"),
-    ("Italian", "[ìò]", "il|che|della|sono"),
+    ("Spanish", "[ñ¿¡]", ""),
+    ("German", "", "und|der|die|das|ist"),
+    ("French", "", "le|la|les|est|une|des"),
+    ("Portuguese", "[ãõç]", "o|a|os|as|de|do|da|é|em|um|uma|não|que"),
+    ("Spanish", "", "el|los|las|del|por"),
+    ("Italian", "", "il|della|gli|che|è"),
+    ("Dutch", "", "het|een|van|dat"),
+    ("Swedish", "[åäö]", "och|att|det|en|ett|är|för|med"),
+    ("Norwegian", "[åæø]", "og|er|det|en|et|for|med|på"),
+    ("Danish", "[åæø]", "og|er|det|en|et|til|med|af"),
+    ("Finnish", "[äö]", "ja|on|ei|se|että|tai|kun|niin"),
+    ("Indonesian", "", "yang|dari|untuk|dengan|adalah"),
+    ("Swahili", "", "na|ya|wa|ni|kwa|katika|hii|hiyo"),
 ]
+# Letters that decide where no word does and none of these English words occurs.
+LETTERS = [("Turkish", "[ğış]"), ("Romanian", "[țș]"), ("German", "[äöüß]"), ("French", "[àâæçèêëîïôœùûÿ]"), ("Portuguese", "[ãõ]"), ("Italian", "[ìò]")]
+ENGLISH = "the|and|of|to|is|was|were|with|this|that"
+# Letters (with their weight) and words that tell Persian from Arabic.
+PERSIAN = ([("[پچژگ]", 3), ("[کی]", 1)], "این است که برای های را در به از می یک".split())
+ARABIC = ([("[كيةىإأؤئ]", 1)], "ال في من على هذا هذه إلى التي الذي كان".split())
+
+
+def _has_word(text: Column, words: str) -> Column:
+    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])")
+
+
+def _arabic_score(text: Column, letters: list[tuple[str, int]], words: list[str]) -> Column:
+    out = F.lit(0)
+    for pattern, weight in letters:
+        out = out + weight * F.regexp_count(text, F.lit(pattern))
+    for w in words:
+        out = out + 2 * _has_word(text, w).cast("int")
+    return out
 
 
 def detect_language(text: Column) -> Column:
-    """A language name: by script where two or more letters of one stand out, else by Latin marks, else English."""
+    """A language name: by script where two or more letters of one stand out, else by Latin letters and function words, else English."""
     low = F.lower(text)
     n = [F.regexp_count(text, F.lit(p)) for p in SCRIPTS.values()]
     most = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, c) in enumerate(zip(SCRIPTS, n, strict=True))]))
     kana = text.rlike(SCRIPTS["Japanese"]) & text.rlike(SCRIPTS["Chinese"])
-    out = F.when(kana, F.lit("Japanese")).when(most["n"] >= 2, most["name"])
-    for name, letters, _ in LATIN:
+    persian = _arabic_score(text, *PERSIAN)
+    script = F.when((most["name"] == "Arabic") & (persian >= 3) & (persian > _arabic_score(text, *ARABIC)), "Persian").otherwise(most["name"])
+    out = F.when(kana, F.lit("Japanese")).when(most["n"] >= 2, script)
+    for name, letters, words in LATIN:
+        found = low.rlike(letters) if letters else F.lit(True)
+        out = out.when(found & _has_word(low, words) if words else found, F.lit(name))
+    out = out.when(_has_word(low, ENGLISH), F.lit("English"))
+    for name, letters in LETTERS:
         out = out.when(low.rlike(letters), F.lit(name))
     return out.otherwise(F.lit("English"))

@@ -59,6 +59,22 @@ def test_language(spark, text, language):
     assert spark.createDataFrame([(text,)], "t string").select(T.detect_language(F.col("t"))).first()[0] == language
 
 
+def test_language_by_words(spark):
+    """The reference's sentences, and one for each language that only words tell."""
+    want = {
+        "der Hund und die Katze sind nicht das Problem": "German", "le chat noir et les chiens blancs, un homme et une femme": "French",
+        "le chat est là, les étudiants préfèrent le café": "French", "el nino y los libros del colegio que son para todos": "Spanish",
+        "o coração do Brasil é um lugar de paz e que encanta": "Portuguese", "dzień dobry świat": "Polish", "Xử lý nước thải": "Vietnamese",
+        "Việt Nam là một quốc gia xinh đẹp": "Vietnamese", "سلام دنیا، این یک متن فارسی برای آزمایش است": "Persian", "اللغة العربية مهمة في العالم": "Arabic",
+        "سلام": "Arabic", "مرحبا بالعالم": "Arabic", "机器学习 machine learning 深度学习 神经网络": "Chinese", "x中": "English", "abc xyz 123": "English", "123 !@#$": "English",
+        "il gatto che dorme": "Italian", "het huis van mijn vader": "Dutch", "jag är här och du är där": "Swedish", "jeg er på vei og kommer": "Norwegian",
+        "tid til æbler": "Danish", "tämä ja tuo": "Finnish", "buku yang baik": "Indonesian", "habari ya leo": "Swahili", "ನಮಸ್ಕಾರ": "Kannada",
+        "The Märklin train was late": "English", "forever and a day": "English",
+    }
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.detect_language(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == want
+
+
 def test_keyword_search(spark):
     rows = [("wiki/a/attention.md", "Attention", "attention.md", "about attention heads, attention"), ("wiki/a/other.md", "Other", "other.md", "nothing"), ("wiki/a/t.md", "Transformer", "t.md", "attention is used")]
     df = spark.createDataFrame(rows, "path string, title string, file_name string, content string")
