@@ -50,12 +50,12 @@ def cuts(n: int, capacity: int) -> list[int]:
 
 def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), end_id.to_bytes(4, "little")
+        enc, end = encoder(path), np.array([end_id], "<u4")
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for own, texts in parts(b):
                 for key, x in zip(own, enc.encode(texts), strict=True):
-                    data = memoryview(x + end)
+                    data = memoryview(np.concatenate((x, end))).cast("B")
                     n = len(data) // 4
                     at = cuts(n, capacity)
                     for k, (start, stop) in enumerate(zip(at, [*at[1:], n], strict=True)):

@@ -8,11 +8,12 @@ fall into groups, and each group has a seed under which its keys take slots of
 their own, so that n keys fill exactly n slots. A slot stores a fingerprint of
 its key and the place of the ids, so a lookup is two hashes, one comparison and
 one slice, and an absent key is told apart with probability 1 - 2^-32.
-Shards cover disjoint ranges of doc_id; the first and last key of a shard are
-columns with Parquet statistics, so a lookup by key reads one row group.
+Shards follow each other in the order of doc_id; the first and last key of a
+shard are columns with Parquet statistics, so a lookup by key reads one row group.
 
-Documents are range-partitioned on doc_id as texts, once; encoding and writing
-happen behind that shuffle, and a row is bounded by ``shard_ids``.
+Texts are encoded where they are read. Their ids, 2 or 4 bytes each, are written
+once and range-partitioned by doc_id and row, so rows of one doc_id, however
+many, are spread over tasks and shards too; a shard is bounded by ``shard_ids``.
 """
 
 from __future__ import annotations
@@ -22,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder
-from .work import batch, tidied, work_path
+from .tokens import TOGETHER, encoder
+from .work import batch, materialize, tidied, work_path
 
 #: Ids in a shard at most, if it has more than one document.
 SHARD_IDS = 1 << 20
-#: Texts encoded together: rows, and characters at most.
-ROWS, CHARS = 256, 2_000_000
 
 _U64 = np.uint64
 
@@ -90,20 +90,20 @@ def slots_of(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
 
 _SHARD = pa.schema(
     [
-        ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
+        ("shard", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
         ("keys", pa.binary()), ("seeds", pa.binary()), ("prints", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary()),
         ("payload", pa.binary()),
     ]
 )
 SHARD_DDL = (
-    "first_key long, last_key long, n_docs long, n_ids long, width int, "
+    "shard long, first_key long, last_key long, n_docs long, n_ids long, width int, "
     "keys binary, seeds binary, prints binary, offsets binary, lengths binary, payload binary"
 )
 
 
-def shard_row(keys: list[int], ids: list[bytes], width: int) -> list:
-    """A shard of documents in order; ids are 4 bytes wide. A key that repeats has one slot, with all its ids."""
-    lengths = np.array([len(x) // 4 for x in ids], np.int64)
+def shard_row(shard: int, keys: list[int], ids: list[bytes], width: int) -> list:
+    """A shard of documents in order; ids are width bytes wide. A key that repeats has one slot, with all its ids."""
+    lengths = np.array([len(x) // width for x in ids], np.int64)
     k = np.array(keys, np.int64)
     distinct, first = np.unique(k, return_index=True)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
@@ -113,47 +113,74 @@ def shard_row(keys: list[int], ids: list[bytes], width: int) -> list:
     at[slots] = offsets[first]
     size[slots] = np.add.reduceat(lengths, first)
     prints[slots] = fingerprints(distinct.view(_U64))
-    payload = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
     own = np.stack((k, lengths), 1).astype("<i8").tobytes()
-    return [keys[0], keys[-1], len(keys), int(lengths.sum()), width, own, seeds.astype("<u4").tobytes(), prints.tobytes(), at.tobytes(), size.tobytes(), payload]
+    head = [shard, keys[0], keys[-1], len(keys), int(lengths.sum()), width]
+    return [*head, own, seeds.astype("<u4").tobytes(), prints.tobytes(), at.tobytes(), size.tobytes(), b"".join(ids)]
 
 
 def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
-    """Keys and texts (null as empty) of a batch, in parts of ROWS rows and about CHARS characters at most."""
-    for at in range(0, b.num_rows, ROWS):
-        keys, texts, held = [], [], 0
-        part = b.slice(at, ROWS)
-        for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-            text = text.as_py() or ""
-            if keys and held + len(text) > CHARS:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-            keys.append(key)
-            texts.append(text)
-            held += len(text)
+    """Keys and texts (null as empty) of a batch, in parts of about as many characters as are encoded together."""
+    keys, texts, held = [], [], 0
+    for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        text = text.as_py() or ""
+        if keys and held + len(text) > TOGETHER:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+        keys.append(key)
+        texts.append(text)
+        held += len(text)
+    if keys:
         yield keys, texts
 
 
-def _writer(path: str, end_id: int, shard_ids: int):
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+#: Bytes of ids in a batch of encoded documents.
+HELD_BYTES = 8_000_000
+
+
+def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), end_id.to_bytes(4, "little")
+        enc = encoder(path)
         width = 2 if max(enc.size - 1, end_id) < 1 << 16 else 4
+        end = end_id.to_bytes(width, "little")
+        for b in batches:
+            for keys, texts in parts(b):
+                ids = [x.astype(f"<u{width}").tobytes() + end for x in enc.encode(texts)]
+                first = held = 0
+                for at, x in enumerate(ids):
+                    if at > first and held + len(x) > HELD_BYTES:
+                        yield batch(_ENCODED, keys[first:at], [width] * (at - first), ids[first:at])
+                        first, held = at, 0
+                    held += len(x)
+                yield batch(_ENCODED, keys[first:], [width] * (len(keys) - first), ids[first:])
+
+    return run
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, width and ids (little-endian, width bytes each, end_id last) of every whole text; a null text counts as empty."""
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidied(_encode(tokenizer, end_id)), "doc_id long, width int, ids binary")
+
+
+def _shards(shard_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         keys: list[int] = []
         ids: list[bytes] = []
-        held = 0
+        held = width = 0
 
         def made():
-            return batch(_SHARD, *[[x] for x in shard_row(keys, ids, width)])
+            return batch(_SHARD, *[[x] for x in shard_row(number, keys, ids, width)])
 
         for b in batches:
-            for own, texts in parts(b):
-                for key, x in zip(own, enc.encode(texts), strict=True):
-                    if keys and held + len(x) // 4 + 1 > shard_ids and key != keys[-1]:
-                        yield made()
-                        keys, ids, held = [], [], 0
-                    keys.append(key)
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
+            for key, width, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if keys and held + len(x) // width > shard_ids:
+                    yield made()
+                    number += 1
+                    keys, ids, held = [], [], 0
+                keys.append(key)
+                ids.append(x)
+                held += len(x) // width
         if keys:
             yield made()
 
@@ -164,12 +191,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_i
     """Encode every whole text, append end_id to each, and write the shards in ascending doc_id order.
 
     Null texts count as empty. Rows without a doc_id have no key; they are
-    refused with an error rather than dropped. Rows that repeat a doc_id lie
-    together in one shard, in no set order, and one slot covers them.
+    refused with an error rather than dropped. Rows that repeat a doc_id follow
+    each other, in no set order; one slot of each shard that holds any covers them.
     """
-    keyed = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), F.col("text").cast("string"))
-    ranged = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(tidied(_writer(tokenizer, end_id, shard_ids)), SHARD_DDL).write.option("compression", "zstd").parquet(path)
+    keyed = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), "text")
+    rows = materialize(encoded(keyed, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "encoded", "zstd")
+    ranged = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "width", "ids")
+    ranged.mapInArrow(tidied(_shards(shard_ids)), SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -220,38 +248,38 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("an index entry does not match its shard")
             wide = shard.payload.astype("<u4")
             crcs = [zlib.crc32(wide[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            yield batch(_LOOKED, key, np.full(len(key), row["first_key"]), at, length, crcs)
+            yield batch(_LOOKED, key, np.full(len(key), row["shard"]), at, length, crcs)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from a store through its indexes.
 
-    Starts are running sums over shards: shards are summed within ranges of
-    keys in parallel, and only one total for each file goes through a single
-    window (a few hundred bytes for each GB written).
+    Starts are running sums over shards: shards are summed within the task that
+    wrote them in parallel, and only one total for each such task goes through
+    a single window.
     """
-    shards = read_store(spark, path).select("first_key", "n_ids", F.input_file_name().alias("file"))
-    files = shards.groupBy("file").agg(F.min("first_key").alias("file_key"), F.sum("n_ids").alias("file_ids"))
-    before = F.sum("file_ids").over(_running("file_key"))
-    files = files.select("file", (F.coalesce(before, F.lit(0))).alias("file_start"))
-    inner = F.sum("n_ids").over(_running("first_key", "file"))
-    starts = shards.withColumn("inner", F.coalesce(inner, F.lit(0))).join(files, "file")
-    starts = starts.select(F.col("first_key").alias("shard"), (F.col("file_start") + F.col("inner")).alias("base"))
+    shards = read_store(spark, path).select("shard", F.shiftright("shard", 32).alias("task"), "n_ids")
+    tasks = shards.groupBy("task").agg(F.sum("n_ids").alias("task_ids"))
+    tasks = tasks.select("task", F.coalesce(F.sum("task_ids").over(_running("task")), F.lit(0)).alias("task_start"))
+    inner = F.sum("n_ids").over(_running("shard", "task"))
+    starts = shards.withColumn("inner", F.coalesce(inner, F.lit(0))).join(tasks, "task")
+    starts = starts.select("shard", (F.col("task_start") + F.col("inner")).alias("base"))
     found = read_store(spark, path).mapInArrow(_digests, "doc_id long, shard long, shard_start long, n_tokens long, ids_crc32 long")
     return found.join(starts, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _running(order: str, *by: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def lookup(spark: SparkSession, path: str, key: int) -> list[int] | None:
-    """The ids of one document: one shard row is read, by the statistics of its key range."""
-    rows = read_store(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).take(1)
-    ids = Shard(rows[0]).ids(key) if rows else None
-    return None if ids is None else ids.tolist()
+    """The ids of one document, or None: a shard row is read by the statistics of its key range.
+
+    If rows repeat the key, their ids follow each other; they may lie in several shards.
+    """
+    rows = read_store(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard").toLocalIterator()
+    found = [ids for ids in (Shard(row).ids(key) for row in rows) if ids is not None]
+    return np.concatenate(found).tolist() if found else None
 
 
 def store_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:

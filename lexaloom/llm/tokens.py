@@ -1,27 +1,37 @@
 """Tokenizer access inside tasks: whole texts to ids, exactly as the tokenizer itself gives them.
 
 A byte-level BPE splits a text into pieces before it merges, and a single space
-before a visible character always starts a piece. Text is therefore cut there
-into units, and each distinct unit is encoded once and kept: prose repeats its
-words. Units not seen before are encoded together, in one call for a batch of
-documents, and told apart by the bytes that their ids stand for.
+before a visible character always starts a piece. Texts are therefore cut there
+into units, and Arrow lists the distinct units of a batch of texts: prose repeats
+its words, so a unit is encoded once and its ids are put in place by position.
+Latin letters are one piece, which the tokenizer's BPE model takes as it is, and
+so are the marks and the line end behind them; units of another form go through
+the whole tokenizer. Ids of pieces are kept between batches.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept in each of two generations by a Python worker (about 100 bytes each).
 CACHE_UNITS = 200_000
 #: Longer units are encoded but not kept.
 LONGEST_UNIT = 64
+#: Characters that are cut together, and units whose ids are put in place together.
+TOGETHER, PLACED = 1 << 23, 1 << 19
 
 #: Where a text may be cut, and a space where it may not.
-_CUT = re.compile(" (?=[!-~\u00a1-\u167f])")
-_ODD = re.compile(" (?![!-~\u00a1-\u167f])")
+_CUT = re.compile(" (?=[!-~¡-ᙿ])")
+_ODD = re.compile(" (?![!-~¡-ᙿ])")
+#: A word with marks behind it, and perhaps one more on the next line; these are letters in every version of Unicode.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", "[!-/:-@\\[-`{-~]*"
+_PIECES = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
 
 def _bytes_of_units() -> dict[str, int]:
@@ -31,6 +41,18 @@ def _bytes_of_units() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _stretches(text: str) -> list[str]:
+    """text in parts of at most about TOGETHER characters, each of which is encoded as if alone."""
+    out, start = [], 0
+    while len(text) - start > TOGETHER:
+        m = _CUT.search(text, start + TOGETHER)
+        if m is None:
+            break
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]]
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library (byte-level BPE)."""
 
@@ -39,18 +61,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         alphabet = _bytes_of_units()
         self.size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
-        self.ends = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.shown = {b: c for c, b in alphabet.items()}  # for str.translate of bytes read as Latin-1
+        self.space = self.shown[32]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made["pre_tokenizer"] or {}
+        #: Whether a space and letters are one piece, given to the model byte by byte.
+        self.direct = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        self.line = self._whole("\n")
+        self.marks: dict[str, bytes] = {"": b""}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode_units(self, units: list[str]) -> None:
-        """Keep the ids of units, each preceded by its space."""
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, before: str, word: str) -> bytes:
+        """The ids of letters, with a space or a line start before them."""
+        key = before + word
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                packed = self.packed
+                ids = b"".join([packed[t.id] for t in self.model.tokenize(shown if before else self.space + shown)])
+            if len(word) <= LONGEST_UNIT:
+                self.young[key] = ids
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        """The ids of marks alone."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._whole(marks)
+            if len(marks) < 8:
+                self.marks[marks] = ids
+        return ids
+
+    def _keep(self, units: list[str]) -> None:
+        """Keep the ids of units, each preceded by its space; they are told apart by the bytes that ids stand for."""
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum([len(u.encode()) + 1 for u in units])
         at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
@@ -59,45 +117,94 @@ class Encoder:
             self.young[u] = data[4 * start : 4 * end]
             start = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, each preceded by its space."""
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        young[""] = b""
-        get, parts, holes, ends = young.get, [], [], self.ends
-        missing: dict[str, None] = {}
-        long: dict[str, bytes] = {}
-        heads = []
-        for t in texts:
-            units = t.split(" ") if _ODD.search(t) is None else _CUT.split(t)
-            heads.append(units[0])
-            units[0] = ""
-            found = [*map(get, units)]
-            parts.append(found)
-            if None not in found:
+        young, old, pieces = self.young, self.old, _PIECES.fullmatch
+        found = [*map(young.get, units)]
+        holes: list[int] = []
+        for at, ids in enumerate(found):
+            if ids is not None:
                 continue
-            for at in [k for k, ids in enumerate(found) if ids is None]:
-                u, tail = units[at], b""
-                if u[-1] in ends and u[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
-                    tail = ends[u[-1]]
-                    u = u[:-1]
-                ids = get(u)
-                if ids is None and u in old:
-                    ids = young[u] = old[u]
-                if ids is not None:
-                    found[at] = ids + tail
-                else:
-                    holes.append((found, at, u, tail))
-                    (missing if len(u) <= LONGEST_UNIT else long)[u] = b""
-        if missing:
-            self._encode_units(list(missing))
-        for u in long:
-            long[u] = np.array(self.tokenizer.encode(" " + u, add_special_tokens=False).ids, "<u4").tobytes()
-        for found, at, u, tail in holes:
-            found[at] = (young[u] if u in young else long[u]) + tail
-        firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() + b"".join(found) for f, found in zip(firsts, parts, strict=True)]
+            u = units[at]
+            m = pieces(u) if self.direct and "<|" not in u else None
+            if m is not None:
+                first, marks, second, last = m.groups()
+                ids = self._word("", first) + self._marks(marks)
+                if second:
+                    ids += self.line + self._word("\n", second) + self._marks(last)
+                found[at] = ids
+            elif u in old:
+                found[at] = young[u] = old[u]
+            elif len(u) > LONGEST_UNIT:
+                found[at] = self._whole(" " + u)
+            else:
+                holes.append(at)
+        if holes:
+            self._keep([units[at] for at in holes])
+            for at in holes:
+                found[at] = young[units[at]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers.
+
+        A longer text than TOGETHER is cut where a text may be cut, and its parts are encoded one by one.
+        """
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for at, text in enumerate(texts):
+            for part in _stretches(text):
+                if size + len(part) > TOGETHER:
+                    self._put(held, out)
+                    held, size = [], 0
+                held.append((at, part))
+                size += len(part)
+        self._put(held, out)
+        return [found[0] if len(found) == 1 else np.concatenate(found) for found in out]
+
+    def _put(self, held: list[tuple[int, str]], out: list[list[np.ndarray]]) -> None:
+        for (at, _), ids in zip(held, self._together([t for _, t in held]), strict=True):
+            out[at].append(ids)
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts."""
+        if not texts:
+            return []
+        odd = [_ODD.search(t) is not None for t in texts]
+        plain = pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.large_string()), " ")
+        other = [_CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
+        order = np.argsort(odd, kind="stable")  # plain texts first
+        counts = np.concatenate((pc.list_value_length(plain).to_numpy(zero_copy_only=False), [len(x) for x in other])).astype(np.int64)
+        cut = pa.concat_arrays([plain.flatten(), pa.array([u for x in other for u in x], pa.large_string())]).dictionary_encode()
+        codes, units = cut.indices.to_numpy().astype(np.int64), cut.dictionary
+        heads = np.cumsum(counts) - counts
+        first = [f.ids for f in self.tokenizer.encode_batch_fast(units.take(pa.array(codes[heads])).to_pylist(), add_special_tokens=False)]
+        inner = np.ones(len(codes), bool)
+        inner[heads] = False
+        used = np.unique(codes[inner])
+        kept = self._ids_of(units.take(pa.array(used)).to_pylist())
+        place = np.zeros(len(units), np.int64)
+        place[used] = np.arange(len(used))
+        codes = place[codes]
+        codes[heads] = len(used) + np.arange(len(heads))
+        sizes = np.array([len(x) // 4 for x in kept] + [len(f) for f in first], np.int64)
+        data = np.concatenate((np.frombuffer(b"".join(kept), "<u4"), np.array([i for f in first for i in f], "<u4")))
+        starts = np.cumsum(sizes) - sizes
+        placed = []
+        for at in range(0, len(codes), PLACED):
+            own = codes[at : at + PLACED]
+            n = sizes[own]
+            ends = np.cumsum(n)
+            placed.append(data[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1])])
+        ids = np.concatenate(placed) if placed else data
+        ends = np.add.reduceat(sizes[codes], heads).cumsum() if len(heads) else heads
+        out: list[np.ndarray] = [ids[:0]] * len(texts)
+        for text, start, end in zip(order.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[text] = ids[start:end]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

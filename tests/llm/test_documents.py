@@ -363,3 +363,34 @@ def test_pii_documents(docs, corpus, no_docs, spark):
     assert [r["text"] for r in pii.pseudonymize_documents(pii.pseudonymize_documents(some, b"k"), b"k", back=True).collect()] == [r["text"] for r in some.collect()]
     assert pii.pseudonymize_documents(no_docs, b"k").count() == 0
     assert Counter(r["kinds"] for r in rows) == {"phone": 2, "": 1}
+
+
+def test_encoder_gives_the_ids_of_the_library(tokenizer, monkeypatch):
+    """Random texts of hard pieces, whole and cut into stretches."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from lexaloom.llm import tokens
+
+    rng, t = random.Random(3), Tokenizer.from_file(tokenizer)
+    bits = [" ", "  ", "\n", " \n", "a", "Zoë", "naïve,", "it's", "don't.", "12,", "3.14", "x" * 70, "ß.", "—", " —", "　", "漢字", "🙂", "<|endoftext|>", " <|endoftext|> "]
+    bits += ["_", "|", "ǃǀ", "é", "\t", "\xa0", "..", ",,", "'s", "Ġ", "\x00", "\x7f", "İ", "ª", "µ", ".\nFor", "foo!!!", "bar$$$", "<|", "\nx", "n\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["", " ", " a", "a "]
+    for together in (tokens.TOGETHER, 30):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        for text, ids in zip(texts, tokens.Encoder(tokenizer).encode(texts), strict=True):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert tokens.Encoder(tokenizer).encode([]) == []
+
+
+def test_rows_of_one_doc_id_fill_several_shards(spark, tokenizer, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(7, f"word {k} again") for k in range(60)] + [(k, "other") for k in (1, 9)], "doc_id long, text string").repartition(3)
+    token_store.write_store(rows, path, tokenizer, 2, shard_ids=40)
+    store = token_store.read_store(spark, path).collect()
+    assert sum(r["first_key"] == r["last_key"] == 7 for r in store) > 4 and max(r["n_ids"] for r in store) <= 40
+    got = sorted(token_store.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1] + [7] * 60 + [9]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert len(token_store.lookup(spark, path, 7)) == sum(r["n_tokens"] for r in got if r["doc_id"] == 7)
