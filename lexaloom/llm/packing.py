@@ -8,10 +8,13 @@ islands evolve packings of each block. An individual is a list of whole bins
 drops the bins that hold an injected item again, and places the displaced
 documents by best fit; mutation dissolves the emptiest bins and some others.
 After each epoch the best individual of an island migrates to the next island
-of its block. The best packing of each block counts. Its bins that are not
-nearly full are opened again and packed together with those of other blocks,
-level by level, until one block is left, so that the number of part-filled
-sequences does not grow with the number of blocks.
+of its block. Every island runs all its generations, also when no packing with
+fewer bins can exist: then the sum of squared fills still gathers the free room
+in few bins. The best packing of each block counts. Its bins that are not nearly
+full are opened again and packed together with those of other blocks, level by
+level, until one block is left or a level saves less than LEAST_SAVED of the
+sequences still open, as where no two open sequences have room for each other's
+documents.
 
 Each task holds one block; blocks have BLOCK_ITEMS items on average whatever
 the input's size. Results depend only on items and seeds, so a recomputed task
@@ -34,7 +37,9 @@ from .tokens import encoder
 from .work import batch, materialize, tidied
 
 CAPACITY = 2048
-BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 3, 6
+BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 8, 24
+#: A level that saves a smaller share of the open sequences is the last.
+LEAST_SAVED = 0.001
 #: A bin counts as well filled with at most this share of its room free.
 SLACK = 0.004
 
@@ -141,19 +146,19 @@ def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
 
 
 def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, population: int, generations: int, rng: random.Random) -> list[list[int]]:
-    """The best packing after some generations, from the seeds and from best-fit packings in perturbed orders."""
+    """The best packing after all generations, from the seeds and from best-fit packings in perturbed orders.
+
+    Of a generation's two parents the fitter takes the other's well-filled bins in; the child replaces the least fit.
+    """
     people = list(seeds)
-    bound = -(-sum(sizes) // capacity)
     while len(people) < population:
         spread = 0.0 if not people else 0.15
         order = sorted(range(len(sizes)), key=lambda i: sizes[i] * (1 + rng.uniform(-spread, spread)), reverse=True)
         people.append(best_fit(sizes, order, [], capacity))
     scored = sorted(((fitness(p, sizes), k, p) for k, p in enumerate(people)), reverse=True)
     for g in range(generations):
-        if -scored[0][0][0] <= bound:
-            break
-        a, b = rng.sample(range(len(scored)), 2)
-        child = mutate(crossover(scored[min(a, b)][2], scored[max(a, b)][2], sizes, capacity, rng), sizes, capacity, rng)
+        a, b = sorted(rng.sample(range(len(scored)), 2))
+        child = mutate(crossover(scored[a][2], scored[b][2], sizes, capacity, rng), sizes, capacity, rng)
         scored = sorted([*scored[:-1], (fitness(child, sizes), len(people) + g, child)], reverse=True)
     return scored[0][2]
 
@@ -219,9 +224,9 @@ def pack_items(
     epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS,
 ) -> DataFrame:
     """item, length, sequence_id, offset and filled of items (item unique, length from 1 to capacity)."""
-    done, left, level, last = [], items.select("item", F.col("length").cast("int")), 0, 0
+    done, left, level = [], items.select("item", F.col("length").cast("int")), 0
+    n, open_before = left.count(), None
     while True:
-        n = left.count()
         blocks = max(1, -(-n // block_items))
         block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks))
         dealt = left.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("item", "length"))).alias("items"))
@@ -238,12 +243,15 @@ def pack_items(
             F.max(F.struct(-F.col("n_bins"), "filled", -F.col("island"))).alias("best")
         ).select("block", (-F.col("best")["col3"]).alias("island"))
         placed = materialize(state.join(best, ["block", "island"]).select("items", "elite").mapInArrow(_places, _PLACED_DDL), "packed")
-        if blocks == 1 or blocks == last:
+        closed = F.col("filled") >= capacity * (1 - SLACK)
+        first = F.col("offset") == 0
+        n, n_open, total = placed.agg(F.count_if(~closed), F.count_if(first & ~closed), F.count_if(first)).first()
+        saved = 1.0 if open_before is None else (open_before - total) / max(open_before, 1)
+        if blocks == 1 or not n or saved < LEAST_SAVED:
             done.append(placed)
             break
-        closed = F.col("filled") >= capacity * (1 - SLACK)
         done.append(placed.where(closed))
-        left, level, last = placed.where(~closed).select("item", F.col("length").cast("int")), level + 1, blocks
+        left, level, open_before = placed.where(~closed).select("item", F.col("length").cast("int")), level + 1, n_open
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
