@@ -1,13 +1,13 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text is cut where a rolling hash of its last bytes meets a condition, so
-equal stretches of different texts give equal chunks. A chunk's identifier is
-its SHA-256 digest and length together with an independent 64-bit fingerprint;
-``chunk_store`` lists each identifier once and verifies that no digest stands
-for two different fingerprints. A text is then its recipe, the ordered list of
-its chunk identifiers, and texts are equal exactly when their recipes are: the
-comparison groups on the whole list. Long texts never leave the task that read
-them; only recipes (48 bytes for each chunk of about 2 KB) are shuffled.
+equal stretches of different texts give equal chunks. The chunk store lists
+each distinct chunk once: by SHA-256 digest and length, checked against an
+independent 64-bit fingerprint, with a number of its own as identifier. A text
+is then its recipe, the ordered list of its chunks' identifiers, and texts are
+equal exactly when their recipes are. Long texts never leave the task that read
+them: of a chunk of about 2 KB, 56 bytes are shuffled to find its identifier,
+and 16 to put it in its recipe.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from .work import batch, fresh, materialize, raw, tidied
 
 #: Cut points: a boundary where the low MASK_BITS bits of the rolling hash are 0, chunks of MIN to MAX bytes.
 MASK_BITS, MIN_BYTES, MAX_BYTES = 11, 512, 16384
-IDENTIFIER_BYTES = 48
 
 _GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -52,54 +51,67 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
-def identifier(chunk: bytes) -> bytes:
-    """SHA-256, length (8 bytes) and an independent fingerprint (8 bytes) of a chunk."""
-    return hashlib.sha256(chunk).digest() + len(chunk).to_bytes(8, "big") + xxhash.xxh3_64_digest(chunk)
+def chunks(data: bytes) -> list[bytes]:
+    """data's chunks, in order."""
+    ends = cut_points(data)
+    return [data[start:end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def recipe(data: bytes) -> bytes:
-    """The identifiers of data's chunks, in order."""
-    start, out = 0, []
-    for end in cut_points(data):
-        out.append(identifier(data[start:end]))
-        start = end
-    return b"".join(out)
+_CUT = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())),
+        ("prints", pa.list_(pa.int64())),
+    ]
+)
+_CUT_DDL = "doc_id long, text_sha256 string, digests array<binary>, sizes array<int>, prints array<long>"
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary())])
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        shas, digests, sizes, prints = [], [], [], []
+        for text in raw(b.column(1)):
+            own = chunks(text or b"")
+            sha = hashlib.sha256(text or b"")
+            shas.append(sha.hexdigest())
+            digests.append([sha.digest()] if len(own) == 1 else [hashlib.sha256(c).digest() for c in own])
+            sizes.append([len(c) for c in own])
+            prints.append([xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in own])
+        yield batch(_CUT, b.column(0), shas, digests, sizes, prints)
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t or b"" for t in raw(b.column(1))]
-        yield batch(_SCHEMA, b.column(0), [hashlib.sha256(t).hexdigest() for t in texts], [recipe(t) for t in texts])
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, text_sha256 and the digests, sizes and prints of the chunks of each row's text; null counts as empty."""
+    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_cut), _CUT_DDL)
+    return materialize(cut.withColumn("row", F.monotonically_increasing_id()), "chunked")
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 and recipe (binary) of each row; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        tidied(_recipes), "doc_id long, text_sha256 string, recipe binary"
-    )
+def placed_chunks(cut: DataFrame) -> DataFrame:
+    """row, at (place in the text), digest, n_bytes and print of each chunk."""
+    each = F.posexplode(F.arrays_zip("digests", "sizes", "prints")).alias("at", "c")
+    return cut.select("row", each).select("row", "at", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n_bytes"), F.col("c.prints").alias("print"))
 
 
-def chunk_store(made: DataFrame) -> DataFrame:
-    """Each distinct chunk identifier of some recipes: digest, n_bytes, n_places, verified.
+def chunk_store(placed: DataFrame) -> DataFrame:
+    """digest, n_bytes, n_places, verified and chunk_id of each distinct chunk.
 
-    ``verified`` is false for a digest that occurs with another length or
-    fingerprint; recipes still tell such chunks apart, as identifiers hold both.
+    ``verified`` is false for a digest that occurs with several lengths or
+    fingerprints: then one digest stands for different chunks.
     """
-    at = F.expr(f"sequence(1, length(recipe), {IDENTIFIER_BYTES})")
-    ids = made.where(F.length("recipe") > 0).select(F.explode(at).alias("at"), "recipe").select(
-        F.expr("substring(recipe, at, 32)").alias("digest"), F.expr("substring(recipe, at + 32, 16)").alias("rest")
-    )
-    return ids.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_places"), F.min("rest").alias("least"), F.max("rest").alias("most")
-    ).select(
-        "digest",
-        F.conv(F.hex(F.expr("substring(least, 1, 8)")), 16, 10).cast("long").alias("n_bytes"),
-        "n_places",
-        (F.col("least") == F.col("most")).alias("verified"),
+    held = placed.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n_places"), F.min("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("most"), F.min("print").alias("print"), F.max("print").alias("last")
     )
+    same = (F.col("n_bytes") == F.col("most")) & (F.col("print") == F.col("last"))
+    store = held.select("digest", "n_bytes", "n_places", same.alias("verified"), F.monotonically_increasing_id().alias("chunk_id"))
+    return materialize(store, "chunk-store")
+
+
+def recipes(cut: DataFrame) -> DataFrame:
+    """row and recipe (array of chunk ids in order) of each row of cut_texts(); a chunk that is not verified is an error."""
+    placed = placed_chunks(cut)
+    ids = chunk_store(placed).select("digest", F.expr("if(verified, chunk_id, raise_error('a digest stands for different chunks'))").alias("chunk_id"))
+    found = materialize(placed.select("row", "at", "digest").join(ids, "digest").select("row", "at", "chunk_id"), "chunk-ids")
+    listed = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "chunk_id"))).alias("c"))
+    return listed.select("row", F.col("c.chunk_id").alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -108,10 +120,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     The row with the largest doc_id of a group is kept. Null texts equal empty
     ones. Rows that repeat a doc_id with the same text each count in group_size
     and all carry kept; an empty table gives an empty result. Other columns are
-    not read. Counts are pre-aggregated on the map side, and the join back on
-    the recipe can be split by adaptive execution when one text is very common.
+    not read. Counts are pre-aggregated on the map side, and the joins on chunk
+    and recipe can be split by adaptive execution when one is very common.
     """
-    made = materialize(recipes(docs), "recipes")
+    cut = cut_texts(docs)
+    made = materialize(cut.select("row", "doc_id", "text_sha256").join(recipes(cut), "row").drop("row"), "recipes")
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     many = materialize(groups.where("group_size > 1"), "groups")
     joined = made.join(many, "recipe", "left")

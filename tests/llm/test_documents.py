@@ -39,12 +39,27 @@ def test_chunks_depend_on_content():
     assert exact_dedup.cut_points(b"") == [0]
 
 
-def test_chunk_store(docs):
-    made = exact_dedup.recipes(docs)
-    store = exact_dedup.chunk_store(made)
-    total = sum(len(r["recipe"]) // exact_dedup.IDENTIFIER_BYTES for r in made.collect())
-    rows = store.collect()
-    assert sum(r["n_places"] for r in rows) == total and all(r["verified"] for r in rows)
+def test_chunk_store(docs, corpus, spark):
+    """Each distinct chunk is listed once, verified, and a text's recipe is the list of its chunks' numbers."""
+    cut = exact_dedup.cut_texts(docs)
+    store = exact_dedup.chunk_store(exact_dedup.placed_chunks(cut)).collect()
+    each = Counter(c for _, t, *_ in corpus for c in exact_dedup.chunks((t or "").encode()))
+    assert {bytes(r["digest"]): (r["n_bytes"], r["n_places"]) for r in store} == {hashlib.sha256(c).digest(): (len(c), n) for c, n in each.items()}
+    assert all(r["verified"] for r in store) and len({r["chunk_id"] for r in store}) == len(store)
+    row = {r["row"]: r["text_sha256"] for r in cut.collect()}
+    found = {(row[r["row"]], tuple(r["recipe"])) for r in exact_dedup.recipes(cut).collect()}
+    texts = {(t or "").encode() for _, t, *_ in corpus}
+    assert len(found) == len({tuple(r) for _, r in found}) == len(texts)
+    assert {sha: len(r) for sha, r in found} == {hashlib.sha256(t).hexdigest(): len(exact_dedup.chunks(t)) for t in texts}
+    odd = spark.createDataFrame([(1, 0, b"d", 3, 5), (2, 0, b"d", 3, 6)], "row long, at int, digest binary, n_bytes int, print long")
+    assert [r["verified"] for r in exact_dedup.chunk_store(odd).collect()] == [False]
+
+
+def test_result_rests_on_the_chunk_store(docs, monkeypatch):
+    """Were the store to give all chunks one number, texts of as many chunks would be equal."""
+    store = exact_dedup.chunk_store
+    monkeypatch.setattr(exact_dedup, "chunk_store", lambda placed: store(placed).withColumn("chunk_id", F.lit(1).cast("long")))
+    assert exact_dedup.exact_dedup(docs).select("keep_id").distinct().count() < 10
 
 
 def brute_sets(corpus):
