@@ -1,8 +1,9 @@
 """Connected components of an edge table.
 
-Up to SMALL edges one task settles them in arrays of a few MB, as many short
-jobs would take longer; that bound does not depend on the input. More edges go
-through alternating star contraction, in jobs that are spread over the cluster.
+Every round contracts the edges of each partition where they lie, in slices of
+SLICE edges, to links to the smallest node of a slice's components, and then
+takes a large-star and a small-star step over all partitions. The same rounds
+run at every size; they end when the links are stars.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .work import materialize
 
-#: Edges that one task may settle (16 bytes each).
-SMALL = 1_000_000
+#: Edges that a task holds at a time (16 bytes each).
+SLICE = 1 << 20
 
 
 def settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +39,22 @@ def settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if held:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u and v of links to the smallest node of each component of a slice of the edges (u, v)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def made() -> pa.RecordBatch:
         nodes, label = settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "component"])
+        inner = nodes != label
+        return pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(label[inner])], ["u", "v"])
+
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(u) for u, _ in held) >= SLICE:
+            yield made()
+            held = []
+    if held:
+        yield made()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,28 +62,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large-star step links every larger neighbour of a node to the smallest
     node around it, a small-star step the smaller ones; both keep components.
-    The number of rounds grows with the logarithm of the longest path. Edges
-    are made distinct in each round and written to the shared folder; only
-    their count and a checksum reach the driver. The joins are on edges made
-    distinct and can be split where one node has very many neighbours.
+    The number of rounds grows with the logarithm of the longest path at most.
+    Edges are made distinct in each round and written to the shared folder. The
+    joins are on edges made distinct and can be split where one node has very
+    many neighbours.
     """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    if now.count() <= SMALL:
-        return now.coalesce(1).mapInArrow(_settled, "node long, component long")
-    mark = None
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
+        now = materialize(now.mapInArrow(_contracted, "u long, v long"), "contracted")
+        tops = now.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("most"))
+        inner = now.select(F.col("v").alias("u")).distinct().withColumn("inner", F.lit(True))
+        if not tops.join(inner, "u", "left").where("v <> most OR inner").take(1):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("v")).first())
-        if seen == mark:
-            break
-        mark = seen
-    pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now = small.select("e.u", "e.v").where("u <> v").distinct()
+    pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

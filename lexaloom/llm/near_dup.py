@@ -1,10 +1,10 @@
 """Near-duplicate detection with b-bit MinHash.
 
-A document's set is its distinct 5-word shingles, hashed to 64 bits. Of K
-minima under K permutations only the low 8 bits are kept; they are packed into
+A document's set is its distinct 5-word shingles, hashed to 64 bits. The K
+minima under K permutations are mixed and 8 bits of each are kept, packed into
 one signature of K bytes. Bands of ROWS consecutive bytes give candidates. The
 share of equal bytes of two signatures, counted on their xor, estimates their
-similarity once the chance of equal low bits is taken out; candidates below the
+similarity once the chance of equal bytes is taken out; candidates below the
 threshold by more than MARGIN (five standard deviations) go. The others are
 confirmed on whole sets, made again from the texts. A pair at similarity 0.75
 shares no band with probability 8e-5, one at 0.8 with 4e-7.
@@ -14,12 +14,14 @@ share is not expanded into pairs:
 1. each class is compared with one class only, the smallest that any of its
    bands leads to and whose estimate passes; confirmed links give components;
 2. the classes that are still apart are compared with their bands' smallest;
-3. in bands that still hold several components, classes outside of the
-   component of the band's smallest class are compared, block by block, with
-   all classes of other components: on signatures, then on whole sets.
+3. the classes of bands that still hold several components are joined by their
+   rarest shingles: two sets can only be similar enough if they share one of
+   the n - ceil(0.75 n) + 1 rarest shingles of each (prefix filter), with enough
+   others behind it in both (positional filter). A class goes to the tasks of
+   its own rarest shingles, so what is sent grows with the texts' lengths and
+   not with how many classes share a band; a band or passage that many texts
+   share is not among the rarest.
 Links inside a component need no test, so no link between components is lost.
-Work on a hot band is split into blocks of BLOCK classes, dealt over tasks, and
-pairs of classes are never written as rows but for the stars and the links.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 48, 6
 K = BANDS * ROWS
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
-BLOCK, BLOCK_SHINGLES, SALT_ROWS = 1024, 200_000, 64
+SALT_ROWS = 64
+#: Counters of shingle frequencies, and rare shingles in a task's part.
+COUNTERS, PART_SHINGLES = 1 << 20, 1 << 19
 #: Distinct words whose hashes a Python worker keeps.
 CACHE_WORDS = 100_000
 
@@ -82,7 +86,7 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """The low 8 bits of the K minima of a set."""
+    """8 bits of each of the K mixed minima of a set."""
     x = (found >> _U64(32)).astype(np.uint32)
     least = np.full((K, 1), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
@@ -109,15 +113,15 @@ def close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * 100 >= np.maximum(n, m) * 75
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
-_SIGNED_DDL = "doc_id long, n_shingles long, set_hash binary, sig binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
+_SIGNED_DDL = "doc_id long, text_hash long, n_shingles long, set_hash binary, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t) for t in raw(b.column(1))]
         yield batch(
-            _SIGNED, b.column(0), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+            _SIGNED, b.column(0), b.column(2), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
             [signature(s) if len(s) else None for s in sets],
         )
 
@@ -174,140 +178,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(_confirm), "a long, b long")
 
 
-class _Block:
-    """Rows of one group, on one side."""
-
-    def __init__(self, rows: list[dict]):
-        self.rows = rows
-        self.ids = np.array([r["class_id"] for r in rows], np.int64)
-        self.comps = np.array([r["component"] for r in rows], np.int64)
-        self.ns = np.array([r["n_shingles"] for r in rows], np.int64)
-        self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, K)
-
-    def likely(self, k: int, other: _Block, own: bool) -> np.ndarray:
-        """Places in other of classes of other components that may be similar to class k."""
-        at = np.flatnonzero((self.comps[k] != other.comps) & close(self.ns[k], other.ns) & ((other.ids > self.ids[k]) if own else True))
-        return at[estimate(self.sigs[k][None, :], np.ascontiguousarray(other.sigs[at])) >= THRESHOLD - MARGIN] if len(at) else at
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Block, _Block]]:
-    """first, whether both sides are one, and the sides of each group of rows (first, i, j, left, ...) that come sorted by group."""
-    held: list[dict] = []
-    now = None
-
-    def sides():
-        own = now[1] == now[2]
-        left = [r for r in held if r["left"]]
-        right = left if own else [r for r in held if not r["left"]]
-        return (now[0], own, _Block(left), _Block(right)) if left and right else None
-
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles of each counter occur in the texts of rows (class_id, component, text)."""
+    total = np.zeros(COUNTERS, np.int64)
     for b in batches:
-        for row in b.to_pylist():
-            key = (row["first"], row["i"], row["j"])
-            if key != now:
-                if held and (found := sides()):
-                    yield found
-                held, now = [], key
-            held.append(row)
-    if held and (found := sides()):
-        yield found
-
-
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """first and class_id of classes with a likely partner of another component, each pair at its smallest common first only."""
-    for first, own, left, right in _groups(batches):
-        sets = [set(r["firsts"]) for r in right.rows]
-        live: set[int] = set()
-        for k, row in enumerate(left.rows):
-            mine = set(row["firsts"])
-            for x in left.likely(k, right, own).tolist():
-                if min(mine & sets[x]) == first:
-                    live.update((row["class_id"], right.rows[x]["class_id"]))
-        if live:
-            yield pa.RecordBatch.from_arrays([pa.array([first] * len(live), pa.int64()), pa.array(sorted(live), pa.int64())], ["first", "class_id"])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links between classes of different components, one for each class and component in a group."""
-    for _, own, left, right in _groups(batches):
-        sets: dict[int, np.ndarray] = {}
-
-        def of(row: dict, sets=sets) -> np.ndarray:
-            if row["class_id"] not in sets:
-                sets[row["class_id"]] = shingles(row["text"].encode())
-            return sets[row["class_id"]]
-
-        a, b = [], []
-        for k, row in enumerate(left.rows):
-            linked: set[int] = set()
-            for x in left.likely(k, right, own).tolist():
-                other = right.rows[x]
-                if other["component"] in linked:
-                    continue
-                mine, its = of(row), of(other)
-                shared = len(np.intersect1d(mine, its, assume_unique=True))
-                if 100 * shared >= 75 * (len(mine) + len(its) - shared):
-                    linked.add(other["component"])
-                    a.append(max(row["class_id"], other["class_id"]))
-                    b.append(min(row["class_id"], other["class_id"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def blocks(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (first, class_id, other columns) of groups with several components, dealt into pairs of blocks.
-
-    In a group, ``rest`` are the classes outside of the component of first.
-    They are compared with each other and with first's component: a row goes to
-    (first, i, j) for block i of the rest and another block j. A class of the
-    rest is sent to as many pairs as its group has blocks, one of first's
-    component to as many as the rest has. A block has about BLOCK classes and
-    BLOCK_SHINGLES shingles at most (or one class).
-    """
-    named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "class_id"))
-    of_first = comps.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
-    named = named.join(of_first, "first", "left").withColumn("rest", F.col("component") != F.coalesce("first_component", "first"))
-    named = materialize(named.drop("first_component").join(classes.select("class_id", "n_shingles"), "class_id"), "named")
-    parts = lambda own: F.greatest(
-        F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)
-    ).cast("int")
-    sizes = named.groupBy("first").agg(parts(F.col("rest")).alias("nr"), parts(~F.col("rest")).alias("nc"))
-    sizes = materialize(sizes.where("nr > 0"), "mixed")
-    spread = F.xxhash64("class_id")
-    own = F.when(F.col("rest"), F.pmod(spread, F.col("nr"))).otherwise(F.pmod(spread, F.greatest("nc", F.lit(1)))).cast("int")
-    x = named.join(sizes, "first").withColumn("x", own)
-    to = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda k: k < F.col(n))
-    # j counts the rest's blocks from 0 and the others' from nr on
-    rest_to = F.concat(
-        F.transform(upto("nr"), lambda k: to(F.least(k, F.col("x")), F.greatest(k, F.col("x")), F.col("x") <= k)),
-        F.transform(upto("nc"), lambda k: to(F.col("x"), k + F.col("nr"), F.lit(True))),
-    )
-    core_to = F.transform(upto("nr"), lambda k: to(k, F.col("x") + F.col("nr"), F.lit(False)))
-    g = F.explode(F.when(F.col("rest"), rest_to).otherwise(core_to)).alias("g")
-    return x.select(*members.columns, "component", "n_shingles", g).select(*members.columns, "component", "n_shingles", "g.i", "g.j", "g.left")
+        for text in raw(b.column(2)):
+            total += np.bincount((shingles(text) % _U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
+
+
+_RARE = pa.schema(
+    [("part", pa.int32()), ("class_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("places", pa.binary())]
+)
+
+
+def _rarest(frequency, parts: int):
+    """For each class and part the class's rarest shingles in it and their places in the order by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in _RARE]
+            for key, component, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
+                own = shingles(text)
+                n = len(own)
+                order = np.argsort(frequency.value[(own % _U64(COUNTERS)).astype(np.int64)], kind="stable")  # own is sorted: ties by hash
+                first = own[order[: n - (3 * n + 3) // 4 + 1]]
+                part = ((first >> _U64(32)) % _U64(parts)).astype(np.int32)
+                for k in np.unique(part).tolist():
+                    at = np.flatnonzero(part == k)
+                    for column, v in zip(out, (k, key, component, n, first[at].tobytes(), at.astype(np.int32).tobytes()), strict=True):
+                        column.append(v)
+            yield batch(_RARE, *out)
+
+    return run
+
+
+def _meetings(rows: list[tuple]) -> pa.RecordBatch:
+    """a > b of classes of different components that share a rare shingle of a part and can be similar enough."""
+    counts = np.array([len(r[3]) // 8 for r in rows])
+    token = np.frombuffer(b"".join(r[3] for r in rows), _U64)
+    place = np.frombuffer(b"".join(r[4] for r in rows), np.int32).astype(np.int64)
+    ids, comps, ns = (np.repeat(np.array([r[k] for r in rows], np.int64), counts) for k in range(3))
+    order = np.argsort(token, kind="stable")
+    token, place, ids, comps, ns = (x[order] for x in (token, place, ids, comps, ns))
+    pairs = np.zeros((0, 2), np.int64)
+    held: list[np.ndarray] = []
+    left, far = np.arange(len(token)), 1
+    while True:
+        left = left[left + far < len(token)]
+        left = left[token[left] == token[left + far]]
+        if not len(left):
+            break
+        x, y = left, left + far
+        need = (3 * (ns[x] + ns[y]) + 6) // 7  # shared shingles at similarity 0.75
+        good = (comps[x] != comps[y]) & close(ns[x], ns[y]) & (np.minimum(ns[x] - place[x], ns[y] - place[y]) >= need)
+        x, y = ids[x[good]], ids[y[good]]
+        held.append(np.stack((np.maximum(x, y), np.minimum(x, y)), 1))
+        far += 1
+        if sum(map(len, held)) > 1 << 20:
+            pairs, held = np.unique(np.concatenate((pairs, *held)), axis=0), []
+    pairs = np.unique(np.concatenate((pairs, *held)), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The meetings of each part of rows that come sorted by part."""
+    now, held = None, []
+    for b in batches:
+        for part, *row in zip(*(b.column(k).to_pylist() for k in range(len(_RARE))), strict=True):
+            if part != now:
+                if held:
+                    yield _meetings(held)
+                now, held = part, []
+            held.append(tuple(row))
+    if held:
+        yield _meetings(held)
 
 
 def leftover_links(bands: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links between classes of different components that share a band.
-
-    Classes that share a band share the band's smallest class, so groups are
-    made by that class, not by band. Signatures tell which classes have any
-    likely partner; the texts of these only are brought together and compared
-    whole, inside the task of a pair of blocks. Pairs are not written as rows.
-    """
-    members = bands.select("first", "class_id").distinct()
-    firsts = members.groupBy("class_id").agg(F.collect_set("first").alias("firsts"))  # a class has BANDS bands
-    dealt = blocks(members, comps, classes)
-    rows = dealt.join(firsts, "class_id").join(classes.select("class_id", "sig"), "class_id")
-    sort = lambda d: d.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    live = materialize(sort(rows).mapInArrow(tidied(_live), "first long, class_id long").distinct(), "live")
-    if not live.take(1):
-        return live.select(F.col("class_id").alias("a"), F.col("first").alias("b"))
-    # first itself stays the mark of its group's main component, whether it is live or not
-    texts = _texts(docs, live)
-    whole = blocks(live, comps, classes).join(texts, "class_id").join(classes.select("class_id", "sig"), "class_id")
-    return sort(whole).mapInArrow(tidied(_links), "a long, b long").distinct()
+    """Confirmed links between classes of different components, among the classes of bands that hold several components."""
+    members = bands.select("first", "class_id").distinct().join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    members = materialize(members.withColumn("component", F.coalesce("component", "class_id")), "members")
+    mixed = members.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("first")
+    apart = members.join(materialize(mixed, "mixed"), "first").select("class_id", "component").distinct()
+    apart = materialize(apart.join(classes.select("class_id", "doc_id", "text_hash", "n_shingles"), "class_id"), "apart")
+    rare = apart.agg(F.sum(F.floor(F.col("n_shingles") / 4) + 1)).first()[0]
+    if not rare:
+        return apart.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    texts = _texts(docs, apart)
+    rows = texts.join(apart.select("class_id", "component"), "class_id").select("class_id", "component", "text")
+    counted = rows.mapInArrow(tidied(_count), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(COUNTERS, np.int64)
+    frequency[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    parts = -(-rare // PART_SHINGLES)
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    found = rows.mapInArrow(tidied(_rarest(shared, parts)), "part int, class_id long, component long, n long, found binary, places binary")
+    pairs = found.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(_meet), "a long, b long").distinct()
+    return confirmed(materialize(estimated(materialize(pairs, "meetings"), classes), "likely"), texts)
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -318,14 +286,23 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class_id and text of the wanted classes, written once; a class is named by its smallest doc_id.
+    """class_id and text of the wanted classes (class_id, doc_id, text_hash), written once.
 
-    A filter of fixed size keeps most other texts from being shuffled; the join behind it is exact.
+    A filter keeps most other texts from being shuffled; the join behind it is exact.
     """
-    wanted = wanted.select("class_id").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    own = own.where(sieve(wanted, "class_id")(F.col("class_id")))
-    return materialize(own.join(wanted, "class_id", "left_semi").dropDuplicates(["class_id"]), "texts")
+    wanted = wanted.select("class_id", "doc_id", "text_hash").distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    own = own.where(sieve(wanted, "doc_id")(F.col("doc_id"))).withColumn("text_hash", F.xxhash64("text"))
+    return materialize(own.join(wanted, ["doc_id", "text_hash"]).select("class_id", "text").dropDuplicates(["class_id"]), "texts")
+
+
+def _one_document(full: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id that has several texts."""
+    several = full.groupBy("doc_id").agg(F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most")
+    several = materialize(several.select("doc_id", "least"), "several")
+    of = lambda name, key: grouped.select(F.col("set_hash").alias(key), F.col("class_id").alias(name))
+    each = full.select("doc_id", "set_hash").join(several, "doc_id").distinct()
+    return each.join(of("a", "set_hash"), "set_hash").join(of("b", "least"), "least").where("a <> b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -337,10 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all of them count for the document. Rows without a doc_id are linked with nothing.
     Other columns are not read. An empty table gives an empty result.
     """
-    signed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_sign), _SIGNED_DDL), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = materialize(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidied(_sign), _SIGNED_DDL), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    own = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
-    grouped = materialize(own.select("set_hash", F.col("m.doc_id").alias("class_id"), "m.n_shingles", "m.sig"), "classes")
+    own = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("m"))
+    grouped = materialize(own.select("set_hash", F.monotonically_increasing_id().alias("class_id"), "m.doc_id", "m.text_hash", "m.n_shingles", "m.sig"), "classes")
     classes = grouped.drop("set_hash")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))
     rows = classes.select("class_id", F.explode(keys).alias("band"))
@@ -350,8 +328,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = materialize(rows.join(firsts, "band").select("band", "class_id", "first"), "bands")
     stars = bands.where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()
     stars = materialize(estimated(stars, classes), "stars")
-    texts = _texts(docs, stars.select(F.explode(F.array("a", "b")).alias("class_id")))
-    links = materialize(confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts), "links")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    texts = _texts(docs, wanted.join(classes, "class_id"))
+    links = materialize(confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts).unionByName(_one_document(full, grouped)), "links")
     comps = materialize(components(links), "components")
     later = materialize(_apart(stars, comps), "later")
     if later.take(1):
@@ -361,13 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if left.take(1):
         links = links.unionByName(left)
         comps = materialize(components(links), "components")
-    grouped = grouped.select("set_hash", "class_id")
-    of_class = grouped.join(comps, grouped["class_id"] == comps["node"], "left").select(
-        "set_hash", F.coalesce("component", "class_id").alias("component")
-    )
+    linked = grouped.select("set_hash", "class_id", "doc_id").join(comps.withColumnRenamed("node", "class_id"), "class_id")
+    least = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    named = linked.join(least, "component").select("set_hash", "component_id")
+    of_class = grouped.select("set_hash", "doc_id").join(named, "set_hash", "left").select("set_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
     of_class = materialize(of_class, "class-components")
     out = signed.join(of_class, (signed["set_hash"] == of_class["set_hash"]) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
 
 

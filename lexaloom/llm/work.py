@@ -88,21 +88,26 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return made
 
 
-#: Bits of a sieve: 8 MB, whatever the number of keys.
-SIEVE_BITS = 1 << 26
+#: Bits of a sieve for each key, and the bits that are broadcast at most (32 MB).
+SIEVE_BITS_EACH, SIEVE_BITS_MOST = 12, 1 << 28
 
 
 def sieve(keys: DataFrame, name: str) -> Callable[[Column], Column]:
-    """A test that every key of a long column passes and most other numbers fail: a Bloom filter of fixed size.
+    """A test that every key of a long column passes and about 98 percent of other numbers fail: a Bloom filter.
 
-    Two bits stand for a key. The bits are gathered by Spark and broadcast as
-    8 MB at most; with more keys than they can hold the test passes more
-    numbers, never fewer, so an exact join must follow it.
+    Two of at least SIEVE_BITS_EACH bits stand for each key counted. If that
+    takes more than SIEVE_BITS_MOST bits, nothing is gathered or broadcast and
+    everything passes: the exact join that must follow the test then does all
+    the work, in a shuffle of its own.
     """
-    spots = F.transform(F.array(F.lit(1), F.lit(2)), lambda seed: F.pmod(F.xxhash64(F.col(name), seed), F.lit(SIEVE_BITS)))
-    bits = keys.select(F.explode(spots).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    need = SIEVE_BITS_EACH * keys.count()
+    if need > SIEVE_BITS_MOST:
+        return lambda c: F.lit(True)
+    size = max(1 << 16, 1 << (need - 1).bit_length() if need else 0)
+    spot = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(size))
+    bits = keys.select(F.explode(F.array(spot(F.col(name), 1), spot(F.col(name), 2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
     words = bits.agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
-    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    table = np.zeros(size // 64, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
@@ -112,5 +117,4 @@ def sieve(keys: DataFrame, name: str) -> Callable[[Column], Column]:
         found = (shared.value[x >> 6] >> (x & 63)) & (shared.value[y >> 6] >> (y & 63)) & 1
         return pd.Series(found.astype(bool))
 
-    spot = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(SIEVE_BITS))
     return lambda c: there(spot(c, 1), spot(c, 2))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,8 +112,8 @@ def test_near_duplicates_that_the_smallest_does_not_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(brute_sets(rows))
     assert len(set(want.values())) > 5
-    for block in (near_dup.BLOCK, 3):
-        monkeypatch.setattr(near_dup, "BLOCK", block)
+    for size in (near_dup.PART_SHINGLES, 30):
+        monkeypatch.setattr(near_dup, "PART_SHINGLES", size)
         assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df).collect()} == want
 
 
@@ -125,9 +126,11 @@ def test_estimate_takes_chance_out():
         assert abs(near_dup.estimate(x, y) - shared / (4000 - shared)) < 0.13
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_components(spark, small, monkeypatch):
-    monkeypatch.setattr(components, "SMALL", small)
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_components(spark, held, monkeypatch):
+    """In one slice, and in slices of a few edges, so that the star steps have to bring them together."""
+    monkeypatch.setattr(components, "SLICE", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)]
     up = {k: k for e in edges for k in e}
@@ -143,6 +146,54 @@ def test_components(spark, small, monkeypatch):
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).distinct().collect())
     assert got == {k: top(k) for e in edges if e[0] != e[1] for k in e}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_doc_id_with_two_texts_links_both(spark):
+    """Whatever the order of its rows: a document of two texts is linked with what either of them is near to."""
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"{c}{x}" for x in rng.integers(0, 10**6, 60)) for c in "abc"]
+    near = words[1].rsplit(" ", 1)[0] + " end"
+    rows = [(5, words[0]), (5, words[1]), (9, near), (3, words[2]), (2, words[0]), (7, None), (7, "")]
+    want = {5: 2, 9: 2, 3: 3, 2: 2, 7: 7}
+    for order in (rows, rows[::-1], rows + rows):
+        got = near_dup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(order) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
+
+
+@pytest.mark.parametrize("union", [8, 20, 100, 400])
+def test_recall_at_the_threshold(union):
+    """Of pairs at similarity 0.75 exactly, bands and estimate find more than 998 in 1000."""
+    rng = np.random.default_rng(union)
+    found = 0
+    for _ in range(600):
+        pool = rng.integers(0, 1 << 63, union).astype(np.uint64)
+        shared, own = pool[: 3 * union // 4], np.array_split(pool[3 * union // 4 :], 2)
+        x, y = (np.frombuffer(near_dup.signature(np.concatenate((shared, o))), np.uint8) for o in own)
+        band = (x == y).reshape(near_dup.BANDS, near_dup.ROWS).all(axis=1).any()
+        found += bool(band and near_dup.estimate(x, y) >= near_dup.THRESHOLD - near_dup.MARGIN)
+    assert found >= 599
+
+
+def test_rows_of_a_hot_band_grow_with_its_classes():
+    """Classes that share a passage, hence bands, but nothing else: rare shingles bring none of them together, in rows as many as classes."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+
+    class Shared:
+        value = np.zeros(near_dup.COUNTERS, np.int64)
+
+    sent = {}
+    for n in (500, 2000):
+        texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 50)) for _ in range(n)]
+        ids = near_dup.pa.array(range(n), near_dup.pa.int64())
+        rows = near_dup.pa.RecordBatch.from_arrays([ids, ids, near_dup.pa.array(texts)], ["class_id", "component", "text"])
+        counted = next(near_dup._count(iter([rows])))
+        Shared.value[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        rare = next(near_dup._rarest(Shared, 4)(iter([rows])))
+        sent[n] = rare.num_rows
+        assert sum(b.num_rows for b in near_dup._meet(iter([rare.take(near_dup.pa.compute.sort_indices(rare.column(0)))]))) == 0
+    assert sent[2000] <= 4.2 * sent[500] <= 4.2 * 4 * 500
 
 
 @pytest.fixture(scope="module")
