@@ -6,15 +6,18 @@ through it: the automaton holds at each word the longest item passage that ends
 there. A window is ``window`` consecutive item words (a shorter item is one
 window); a word of a document inside an occurrence of a window is hit.
 
-Items come in blocks of at most ``block_words`` words (a stated query set
-against all rows, in blocks): a block's automaton is broadcast, its size bound
-by that parameter whatever the benchmark's size, and one narrow pass over the
-documents serves it. With several blocks the passes' hits are united by
-document. No document text is shuffled.
+Items are dealt by hash into blocks of about ``block_words`` words (a stated query
+set against all rows, in blocks). A task builds a block's automaton and writes it
+to the shared folder. A block's automaton at a time is read from there and
+broadcast, its size bound by that parameter whatever the benchmark's size, and one
+narrow pass over the documents serves it. With several blocks the passes' hits are
+united by document. No document text is shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ WINDOW = 10
 BLOCK_WORDS = 200_000
 #: Passes in one stage; each has an automaton in the memory of its own worker.
 CHAIN = 4
+#: Bytes of a written automaton in a row.
+PIECE_BYTES = 1 << 22
 
 #: Upper case to lower case; ASCII that is neither letter nor digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -160,21 +165,61 @@ _FOUND = T.StructType(
 )
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items (id as text, words), streamed to the driver partition by partition, in blocks of about block_words words.
+def _n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(words(t)) for t in raw(b.column(0))], pa.int64())], ["n"])
 
-    At least one block comes, be it empty. An id that repeats within a block is one item of several texts.
+
+def _build(window: int):
+    """block, at and piece: the automaton of each block of rows (block, item, text) that come sorted by block."""
+
+    def written(block: int, items: list[tuple[str, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        data = pickle.dumps(Automaton(items, window), 5)
+        for at in range(0, len(data), PIECE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int64()), pa.array([data[at : at + PIECE_BYTES]])], ["block", "at", "piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items = None, []
+        for b in batches:
+            for block, item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
+                if block != now:
+                    if items:
+                        yield from written(now, items)
+                    now, items = block, []
+                items.append((item or "", words(text)))
+        if items:
+            yield from written(now, items)
+
+    return run
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """The written automata (block, at, piece) of a benchmark's items, built in tasks, and the number of blocks.
+
+    An item's rows may lie in several blocks: hits are united by item id. An item longer than block_words is not cut.
     """
-    block, held = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        ws = words(r[1].encode() if r[1] else None)
-        if block and held + len(ws) > block_words:
-            yield block
-            block, held = [], 0
-        if ws:
-            block.append((r[0] or "", ws))
-            held += len(ws)
-    yield block
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.select("text").mapInArrow(_n_words, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    dealt = items.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).alias("block"), "item", "text")
+    built = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_build(window)), "block long, at long, piece binary")
+    return materialize(built, "automata"), blocks
+
+
+class _Shared:
+    """A block's written automaton, broadcast; a worker loads it once."""
+
+    loaded: tuple[str, Automaton] | None = None
+
+    def __init__(self, pieces: DataFrame, block: int, window: int):
+        rows = pieces.where(F.col("block") == block).orderBy("at").collect()  # one block, bound by block_words
+        data = b"".join(r["piece"] for r in rows) or pickle.dumps(Automaton([], window), 5)
+        self.name, self.data = uuid.uuid4().hex, pieces.sparkSession.sparkContext.broadcast(data)
+
+    def automaton(self) -> Automaton:
+        if _Shared.loaded is None or _Shared.loaded[0] != self.name:
+            _Shared.loaded = (self.name, pickle.loads(self.data.value))
+        return _Shared.loaded[1]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
@@ -183,24 +228,27 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     A pass is a narrow map; the next block's pass takes the columns that the
     one before has found and adds to them.
     """
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(Automaton(block, window)) for block in _blocks(benchmark, block_words)]
+    pieces, blocks = automata(benchmark, window, block_words)
     names = docs.columns
     added = T.StructType([T.StructField(fresh(names, f.name), f.dataType) for f in _FOUND])
-    out = docs
-    for k, automaton in enumerate(shared):
+    out, alive = docs, []
+    for k in range(blocks):
         if k and k % CHAIN == 0:
             out = materialize(out, "annotated")
-        last = k == len(shared) - 1
+            for shared in alive:
+                shared.data.unpersist()
+            alive = []
+        last = k == blocks - 1
         kept = [n for n in names if keep_text or n != "text" or not last]
         schema = T.StructType([docs.schema[n] for n in kept] + added.fields)
-        out = out.mapInArrow(tidied(_scanner(automaton, names.index("text"), [names.index(n) for n in kept], k > 0, added.names)), schema)
+        alive.append(_Shared(pieces, k, window))
+        out = out.mapInArrow(tidied(_scanner(alive[-1], names.index("text"), [names.index(n) for n in kept], k > 0, added.names)), schema)
     return out
 
 
 def _scanner(shared, text: int, kept: list[int], more: bool, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = shared.automaton()
         for b in batches:
             counts, spans, items = [], [], []
             for k, data in enumerate(raw(b.column(text))):
