@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template the words of a license notice. A
-block matches a template if it holds at least ``threshold`` of the template's
+A block starts at a line of a document and goes on over the next lines, up to
+REACH of them, until it has as many words as the longest template, so a notice
+that is wrapped lies in one block; a template is the words of a license notice.
+A block matches a template if it holds at least ``threshold`` of the template's
 distinct words. Words are ordered by how many blocks hold them, rarest first,
 over all documents. Two sets that share c words must meet within the first
 n - c + 1 words of either (prefix filter), a block needs c template words at
@@ -9,9 +11,10 @@ all (length filter), and a meeting at some place can be completed to c shared
 words only if enough words follow in both (positional filter). A pair is kept
 at its first shared word only, so no pair comes twice and none is lost; the
 pairs left are verified on whole sets. Everything is built of DataFrame
-functions. Templates are fixed, so what is broadcast and collected (their
-words, with counts) does not grow with the data; blocks are never shuffled,
-only matches are.
+functions. Texts are split once: the counts, the base phrases and the blocks'
+template words are written and read again. Templates are fixed, so what is
+broadcast and collected (their words, with counts) does not grow with the data;
+blocks are never shuffled, only matches are.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .work import materialize
+
 #: Phrases of the base scan with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -40,6 +45,8 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.85
+#: Lines of a block at most, its first included: the longest template wrapped at 40 columns.
+REACH = 5
 
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,69 +78,61 @@ def _starts(words: Column, phrase: list[str]) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def base_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_words, n_base, first_word, last_word and base (labels) of each row; a narrow map.
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
-    ``key`` is a hash of the text: with doc_id it ties the rows of both scans together.
-    """
-    joined = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).select("doc_id", F.xxhash64("text").alias("key"), spaced(F.col("text")).alias("joined"))
-    n_words = F.when(F.col("joined") == "", 0).otherwise(F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    known = F.col("joined").rlike("(?i)license")
-    lowered = F.when(known, word_array(F.translate("joined", _UPPER, _LOWER))).otherwise(F.array().cast("array<string>"))
-    found = joined.select("doc_id", "key", n_words.cast("long").alias("n_words"), lowered.alias("words"))
-    places = [_starts(F.col("words"), p.split()).alias(f"at{k}") for k, p in enumerate(PHRASES)]
-    found = found.select("doc_id", "key", "n_words", *places)
-    at = [F.col(f"at{k}") for k in range(len(PHRASES))]
-    every = F.concat(*at)
-    return found.select(
-        "doc_id",
-        "key",
-        "n_words",
-        F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"),
-        F.filter(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, PHRASES.values(), strict=True)]), lambda x: x.isNotNull()).alias("base"),
-    )
 
+def scanned(docs: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
+    """doc_id, key, n_words, at (an array of places for each base phrase) and blocks of each row; a narrow map.
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, key and known (the block's words of the vocabulary, in its order) of each block that has any."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = lines.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("block"))
+    ``key`` is a hash of the text: with doc_id it ties rows together. A block is
+    its distinct words of the vocabulary; those without any are left out, and so
+    are repeated ones. A block ends with the line in which it reaches
+    ``most`` words.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda x: spaced(x))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.rlike("(?i)license").alias("known"), lines.alias("lines"))
     # lower() is the faster one; of other letters it makes ASCII of the Kelvin sign only
-    words = word_array(F.lower(F.replace(spaced(F.col("block")), F.lit("\u212a"), F.lit("\ufffd"))))
-    return lines.select("doc_id", "key", F.array_intersect(_strings(vocabulary), words).alias("known")).where(F.size("known") > 0)
+    split = split.withColumn("words", F.transform("lines", lambda x: word_array(F.lower(F.replace(x, F.lit("\u212a"), F.lit("\ufffd"))))))
+    named = lambda ws: F.array_intersect(_strings(vocabulary), ws)
+    counted = split.select(
+        "doc_id", "key", F.when(F.col("known"), F.flatten("words")).otherwise(_none("string")).alias("flat"),
+        F.transform("words", lambda ws: F.size(ws)).alias("sizes"), F.transform("words", named).alias("held"),
+    )
+    before = lambda i, m: F.aggregate(F.slice(F.col("sizes"), i + 1, F.lit(m)), F.lit(0), lambda s, n: s + n)
+    reach = lambda i: sum(((before(i, m) < most).cast("int") for m in range(1, REACH)), F.lit(1))
+    made = F.transform("held", lambda x, i: F.array_distinct(F.flatten(F.slice(F.col("held"), i + 1, reach(i)))))
+    at = F.array(*[_starts(F.col("flat"), p.split()) for p in PHRASES])
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
+    return counted.select("doc_id", "key", total.alias("n_words"), at.alias("at"), F.array_distinct(F.filter(made, lambda x: F.size(x) > 0)).alias("blocks"))
 
 
-def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, label and containment of each block and template that meet the threshold."""
-    spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
+def matches(found: DataFrame, templates: list[tuple[str, str]], vocabulary: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key, label and containment of each block and template that meet the threshold; found: rows of scanned()."""
+    spark = found.sparkSession
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    counted = blocks(docs, vocabulary).select(F.explode("known").alias("word")).groupBy("word").count()
+    own = found.select("doc_id", "key", F.explode("blocks").alias("block"))
+    counted = own.select(F.explode("block").alias("word")).groupBy("word").count()
     often = {r["word"]: r["count"] for r in counted.collect()}  # a row for each template word at most
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
+    rank = {w: k for k, w in enumerate(order)}
     rows = []
-    for number, (label, ws) in enumerate(sets):
+    for t, (label, ws) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
         need = max(1, -int(-threshold * len(ws) // 1))
-        rows += [(ws[i], i, number, label, ws, need) for i in range(len(ws) - need + 1)]
+        rows += [(ws[i], i, t, label, ws, need) for i in range(len(ws) - need + 1)]
     prefixes = spark.createDataFrame(rows, "word string, i int, template int, label string, words array<string>, need int")
     fewest = min((r[5] for r in rows), default=1)
     wanted = _strings(sorted({r[0] for r in rows}))
-    own = blocks(docs, order).where((F.size("known") >= fewest) & F.arrays_overlap("known", wanted))
+    own = own.where((F.size("block") >= fewest) & F.arrays_overlap("block", wanted)).select("doc_id", "key", F.array_intersect(_strings(order), F.col("block")).alias("known"))
     at = own.select("doc_id", "key", "known", F.posexplode("known").alias("j", "word")).where(F.col("j") <= F.size("known") - fewest)
     pairs = at.join(F.broadcast(prefixes), "word").where(
         (F.size("known") >= F.col("need"))
         & (F.col("j") <= F.size("known") - F.col("need"))
         & (F.least(F.size("words") - F.col("i"), F.size("known") - F.col("j")) >= F.col("need"))
     )
-    shared = F.array_intersect("words", "known")
-    pairs = pairs.select("doc_id", "key", "word", "label", "need", shared.alias("shared"), F.size("words").alias("n"))
+    pairs = pairs.select("doc_id", "key", "word", "label", "need", F.array_intersect("words", "known").alias("shared"), F.size("words").alias("n"))
     return pairs.where((F.size("shared") >= F.col("need")) & (F.get("shared", F.lit(0)) == F.col("word"))).select(
         "doc_id", "key", "label", (F.size("shared") / F.col("n")).alias("containment")
     )
@@ -147,15 +146,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     counts as empty; repeated rows are reported each; an empty table gives an
     empty result. Other columns are not read.
     """
-    found = matches(docs, templates, threshold).groupBy("doc_id", "key").agg(
+    templates = TEMPLATES if templates is None else templates
+    vocabulary = sorted({w for _, text in templates for w in text.split()})
+    found = materialize(scanned(docs, vocabulary, max((len(text.split()) for _, text in templates), default=1)), "scanned")
+    more = matches(found, templates, vocabulary, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment")
     )
-    base = base_scan(docs)
-    both = base.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    joined = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
+    both = found.drop("blocks").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    every = F.flatten("at")
+    labels = F.array(*[F.when(F.size(F.get("at", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])
+    both = both.withColumn("every", every).withColumn("base", F.array_compact(labels))
+    n_base = F.size("every").cast("long")
     return both.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        "doc_id", "n_words", n_base.alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(joined), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", _none("string")))), ",").alias("labels"),
+        F.when(n_base > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -208,8 +209,11 @@ def brute_hits(text, items):
     for i, t in items:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         n = min(10, len(w))
+        starts = {}
+        for at in range(len(words) - n + 1 if n else 0):
+            starts.setdefault(words[at], []).append(at)
         for k in range(len(w) - n + 1 if n else 0):
-            for at in range(len(words) - n + 1):
+            for at in starts.get(w[k], []):
                 if words[at : at + n] == w[k : k + n]:
                     hit.update(range(at, at + n))
                     found.add(str(i))
@@ -221,10 +225,9 @@ def test_decontamination_report(spark, docs, no_docs, corpus, items, block_words
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontam.report(docs, bench, block_words=block_words))
     for k, t, *_ in corpus:
-        n, hit, found = brute_hits(t if len(t or "") < 50_000 else "", items)
-        if len(t or "") < 50_000:
-            sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-            assert tuple(got[k])[1:] == (n, hit, len(found), sha, hit > 0)
+        n, hit, found = brute_hits(t, items)
+        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert tuple(got[k])[1:] == (n, hit, len(found), sha, hit > 0)
     assert decontam.report(no_docs, bench).count() == 0
     assert not any(r["contaminated"] for r in decontam.report(docs, bench.limit(0)).collect())
 
@@ -235,11 +238,10 @@ def test_decontaminate(spark, docs, corpus, items):
     assert left.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in left.collect()}
     for k, t, *_ in corpus:
-        if len(t or "") < 50_000:
-            n, hit, _ = brute_hits(t, items)
-            assert (k in got) == (hit <= n / 2)
-            if k in got:
-                assert (got[k] == t) if not hit else (brute_hits(got[k], items)[1] == 0)
+        n, hit, _ = brute_hits(t, items)
+        assert (k in got) == (hit <= n / 2)
+        if k in got:
+            assert (got[k] == t) if not hit else (brute_hits(got[k], items)[1] == 0)
 
 
 def test_token_store(spark, docs, corpus, tokenizer, no_docs, tmp_path):
@@ -296,8 +298,15 @@ def brute_license(text):
         places += at
         labels |= {label} if at else set()
     more, best = set(labels), 0.0
-    for line in (text or "").split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+    lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) for line in (text or "").split("\n")]
+    longest = max(len(t.split()) for _, t in licenses.TEMPLATES)
+    for k in range(len(lines)):
+        block = list(lines[k])
+        for line in lines[k + 1 : k + licenses.REACH]:
+            if len(block) >= longest:
+                break
+            block += line
+        own = set(block)
         for label, t in licenses.TEMPLATES:
             ws = set(t.split())
             if len(ws & own) >= -int(-licenses.THRESHOLD * len(ws) // 1):
@@ -309,8 +318,12 @@ def brute_license(text):
 def test_licenses(docs, corpus, no_docs, spark):
     extra = [(1000 + k, t[1] + "\n" + t[1].replace(" license", " licence"), None, None, None, None, None, None) for k, t in enumerate(licenses.TEMPLATES)]
     extra += [(2000, "MIT " * 3 + "License Apache\tLicense " * 2, *[None] * 6), (2001, "Key worK mit", *[None] * 6)]
+    wrapped = [(3000 + 100 * width + k, "Copyright\n\n" + textwrap.fill(t[1].capitalize() + ".", width) + "\nmore text", *[None] * 6) for width in (40, 72) for k, t in enumerate(licenses.TEMPLATES)]
+    extra += wrapped
     more = spark.createDataFrame(extra, docs.schema)
     got = by_id(licenses.scan(docs.union(more)))
+    for (k, *_), (label, _) in zip(wrapped, licenses.TEMPLATES * 2, strict=True):
+        assert label in got[k]["labels"].split(","), k
     for k, t, *_ in [*corpus, *extra]:
         r = tuple(got[k])[1:]
         want = brute_license(t)
