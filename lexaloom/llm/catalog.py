@@ -15,11 +15,11 @@ EXAMPLE_KEY = b"lexaloom example key"
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize_documents(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+    return pii.pseudonymize_documents(table(spark, sf_dir, "documents", spread=True), EXAMPLE_KEY)
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", spread=True))
 
 
 def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +27,15 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_digests(table(spark, sf_dir, "documents"), public_path(), end_id=2)
+    return token_store.store_digests(table(spark, sf_dir, "documents", spread=True), public_path(), end_id=2)
 
 
 def op6_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +43,15 @@ def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_path(), end_id=0, capacity=2048)
+    return packing.pack(table(spark, sf_dir, "documents", spread=True), public_path(), end_id=0, capacity=2048)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages", spread=True))
 
 
 QUERIES = {
