@@ -7,8 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Greetings, and the forms of a question about two things.
-GREETINGS = "hi|hello|hey|hallo|bonjour|salut|hola|ciao|ola|olá|你好|您好|嗨|こんにちは|안녕하세요|привет|thanks|thank you|merci|danke|gracias|谢谢"
+# Greetings, each a whole text, and the forms of a question about two things.
+GREETINGS = [
+    "(hi|hello|hey|yo|sup|howdy|hiya|heya|hullo)( there| y'all| you| folks| everyone)?",
+    "good (morning|afternoon|evening|day|night)",
+    "(what'?s up|wassup|whaddup)",
+    "greetings",
+    "(你好|您好|大家好|嗨|哈喽|哈啰|哈囉|哈罗|喂)[啊呀吖呢么呗哦哈]?",
+    "(早|早啊|早安|早上好|中午好|下午好|晚上好|晚安)[啊呀吖呢么呗哦哈]?",
+    "(在吗|在嗎|在不在|有人吗|有人嗎|有人在吗|有人在嗎)",
+    "(こんにちは|こんばんは|おはよう|おはようございます|やあ|どうも|はじめまして)",
+    "(안녕|안녕하세요|안녕하십니까)",
+    "(hola|bonjour|salut|coucou|hallo|servus|hej|hejsan|ciao|saluton|ola|olá|privet|привет)",
+]
 COMPARISON = r"(?is)\bboth\b.{0,80}\band\b|\bcompare\b|\bvs\.?\b|\bversus\b|\(i\).{0,500}\(ii\)"
 NOT_NAMES = ["What", "How", "Which", "Compare", "The", "Why", "When", "Where", "Who", "Does", "Are", "Both", "Between"]
 
@@ -23,6 +34,12 @@ def markdown_links(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "[$2]($1.md)"), r"\[\[([^\]|]+)\]\]", "[$1]($1.md)")
 
 
+def link_slug(item: Column) -> Column:
+    """What an item that is one whole wiki link leads to; another item as it is."""
+    plain = F.trim(item)
+    return F.when(plain.rlike(r"^\[\[[^\]|]+(\|[^\]]*)?\]\]$"), F.trim(F.regexp_extract(plain, r"^\[\[([^\]|]+)", 1))).otherwise(plain)
+
+
 def ref_key(ref: Column) -> Column:
     """A reference for comparison: last segment, without extension, case, spaces, hyphens and underscores."""
     leaf = F.regexp_replace(F.element_at(F.split(F.trim(ref), "/"), -1), r"(?i)\.md$", "")
@@ -51,9 +68,10 @@ def log_entry(line: Column) -> Column:
     return F.when(part(1).isNotNull(), F.struct(part(1).alias("date"), F.lower(part(2)).alias("action"), part(3).alias("subject")))
 
 
-def is_greeting(text: Column, most: int = 40) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\s!.,?~，。！？]+", " "))
-    return (F.length(plain) <= most) & plain.rlike(f"^(?:{GREETINGS})(?: (?:there|all|everyone|again|{GREETINGS}))*$")
+def is_greeting(text: Column, most: int = 20) -> Column:
+    """Whether a text of at most ``most`` characters is a greeting and nothing else but punctuation behind it."""
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"[\s!！。.?？~,，、;；:：]+$", "")))
+    return (plain != "") & (F.length(plain) <= most) & plain.rlike("^(?:" + "|".join(GREETINGS) + ")$")
 
 
 def sub_queries(question: Column) -> Column:

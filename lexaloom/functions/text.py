@@ -154,9 +154,13 @@ def query_slug(text: Column, most: int = 50) -> Column:
     return F.when(slug == "", "query").otherwise(slug)
 
 
+# What may stand before a colon at the start of a review's title.
+TITLE_PREFIXES = r"missing[\s-]?page|duplicate[\s-]?page|possible[\s-]?duplicate|缺失页面|缺少页面|重复页面|疑似重复"
+
+
 def review_title(title: Column) -> Column:
     """A review's title without its prefix, with single spaces, lower-cased."""
-    plain = F.regexp_replace(title, r"(?i)^\s*(missing page|duplicate page|possible duplicate|缺失页面|重复页面)\s*[:：]\s*", "")
+    plain = F.regexp_replace(title, rf"(?i)^(?:{TITLE_PREFIXES})[:：]\s*", "")
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
@@ -175,32 +179,29 @@ def snippet(text: Column, anchors: list[str], around: int = 80) -> Column:
     return F.concat(F.when(first > 1, "...").otherwise(""), middle, F.when(last < F.length(text), "...").otherwise(""))
 
 
-# Scripts by Unicode range, in order of precedence.
+# Scripts by Unicode range.
 SCRIPTS = {
-    "Japanese": r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}]", "Korean": r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]",
-    "Chinese": r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}]", "Russian": r"[\x{0400}-\x{052F}]",
-    "Greek": r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]", "Hebrew": r"[\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}]",
-    "Arabic": r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]", "Hindi": r"[\x{0900}-\x{097F}]",
-    "Bengali": r"[\x{0980}-\x{09FF}]", "Tamil": r"[\x{0B80}-\x{0BFF}]", "Telugu": r"[\x{0C00}-\x{0C7F}]", "Thai": r"[\x{0E00}-\x{0E7F}]",
-    "Georgian": r"[\x{10A0}-\x{10FF}\x{2D00}-\x{2D2F}]", "Armenian": r"[\x{0530}-\x{058F}]", "Kannada": r"[\x{0C80}-\x{0CFF}]",
-    "Malayalam": r"[\x{0D00}-\x{0D7F}]", "Gujarati": r"[\x{0A80}-\x{0AFF}]", "Punjabi": r"[\x{0A00}-\x{0A7F}]", "Burmese": r"[\x{1000}-\x{109F}]",
-    "Khmer": r"[\x{1780}-\x{17FF}]", "Lao": r"[\x{0E80}-\x{0EFF}]", "Amharic": r"[\x{1200}-\x{137F}]", "Tibetan": r"[\x{0F00}-\x{0FFF}]",
-    "Sinhala": r"[\x{0D80}-\x{0DFF}]",
+    "Chinese": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}", "Japanese": r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}",
+    "Korean": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}", "Arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
+    "Hebrew": r"\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}", "Thai": r"\x{0E00}-\x{0E7F}", "Hindi": r"\x{0900}-\x{097F}", "Russian": r"\x{0400}-\x{052F}",
+    "Greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}", "Bengali": r"\x{0980}-\x{09FF}", "Tamil": r"\x{0B80}-\x{0BFF}", "Telugu": r"\x{0C00}-\x{0C7F}",
+    "Kannada": r"\x{0C80}-\x{0CFF}", "Malayalam": r"\x{0D00}-\x{0D7F}", "Gujarati": r"\x{0A80}-\x{0AFF}", "Punjabi": r"\x{0A00}-\x{0A7F}",
+    "Burmese": r"\x{1000}-\x{109F}", "Khmer": r"\x{1780}-\x{17FF}", "Lao": r"\x{0E80}-\x{0EFF}", "Georgian": r"\x{10A0}-\x{10FF}\x{2D00}-\x{2D2F}",
+    "Armenian": r"\x{0530}-\x{058F}", "Amharic": r"\x{1200}-\x{137F}", "Tibetan": r"\x{0F00}-\x{0FFF}", "Sinhala": r"\x{0D80}-\x{0DFF}",
 }
 # Marks of languages in Latin script, in order of precedence: letters and words, both of which must occur if both are given.
-# Two marks differ from the reference: Spanish letters come first, as French and Spanish share "la"; Polish goes without ó, which Spanish has.
 LATIN = [
     ("Vietnamese", "[ảạắằẳẵặấầẩẫậđẻẽẹếềểễệỉĩịỏọốồổỗộơớờởỡợủũụưứừửữựỳỷỹỵ]", ""),
     ("Turkish", "[ğış]", "bir|ve|için|ile|bu|da|de|değil|ama"),
-    ("Polish", "[ąćęłńśźż]", ""),
+    ("Polish", "[ąćęłńóśźż]", ""),
     ("Czech", "[ěšžřďťňů]", ""),
     ("Romanian", "[ăâîșț]", "și|este|sau|care|pentru"),
     ("Hungarian", "[őű]", ""),
-    ("Spanish", "[ñ¿¡]", ""),
     ("German", "", "und|der|die|das|ist"),
     ("French", "", "le|la|les|est|une|des"),
     ("Portuguese", "[ãõç]", "o|a|os|as|de|do|da|é|em|um|uma|não|que"),
     ("Spanish", "", "el|los|las|del|por"),
+    ("Spanish", "[ñ¿¡]", ""),
     ("Italian", "", "il|della|gli|che|è"),
     ("Dutch", "", "het|een|van|dat"),
     ("Swedish", "[åäö]", "och|att|det|en|ett|är|för|med"),
@@ -210,40 +211,58 @@ LATIN = [
     ("Indonesian", "", "yang|dari|untuk|dengan|adalah"),
     ("Swahili", "", "na|ya|wa|ni|kwa|katika|hii|hiyo"),
 ]
-# Letters that decide where no word does and none of these English words occurs.
-LETTERS = [("Turkish", "[ğış]"), ("Romanian", "[țș]"), ("German", "[äöüß]"), ("French", "[àâæçèêëîïôœùûÿ]"), ("Portuguese", "[ãõ]"), ("Italian", "[ìò]")]
-ENGLISH = "the|and|of|to|is|was|were|with|this|that"
 # Letters (with their weight) and words that tell Persian from Arabic.
 PERSIAN = ([("[پچژگ]", 3), ("[کی]", 1)], "این است که برای های را در به از می یک".split())
 ARABIC = ([("[كيةىإأؤئ]", 1)], "ال في من على هذا هذه إلى التي الذي كان".split())
-
-
-def _has_word(text: Column, words: str) -> Column:
-    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])")
+#: A word's edge, where a word is letters A to Z, digits and underscores; other letters are none.
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def _arabic_score(text: Column, letters: list[tuple[str, int]], words: list[str]) -> Column:
+    spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     out = F.lit(0)
     for pattern, weight in letters:
         out = out + weight * F.regexp_count(text, F.lit(pattern))
     for w in words:
-        out = out + 2 * _has_word(text, w).cast("int")
+        out = out + 2 * F.contains(spaced, F.lit(f" {w} ")).cast("int")
     return out
 
 
-def detect_language(text: Column) -> Column:
-    """A language name: by script where two or more letters of one stand out, else by Latin letters and function words, else English."""
-    low = F.lower(text)
-    n = [F.regexp_count(text, F.lit(p)) for p in SCRIPTS.values()]
-    most = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, c) in enumerate(zip(SCRIPTS, n, strict=True))]))
-    kana = text.rlike(SCRIPTS["Japanese"]) & text.rlike(SCRIPTS["Chinese"])
-    persian = _arabic_score(text, *PERSIAN)
-    script = F.when((most["name"] == "Arabic") & (persian >= 3) & (persian > _arabic_score(text, *ARABIC)), "Persian").otherwise(most["name"])
-    out = F.when(kana, F.lit("Japanese")).when(most["n"] >= 2, script)
-    for name, letters, words in LATIN:
-        found = low.rlike(letters) if letters else F.lit(True)
-        out = out.when(found & _has_word(low, words) if words else found, F.lit(name))
-    out = out.when(_has_word(low, ENGLISH), F.lit("English"))
-    for name, letters in LETTERS:
-        out = out.when(low.rlike(letters), F.lit(name))
+def _latin(low: Column, words: Column) -> Column:
+    """The first language whose marks low (lower-cased) has; words are its distinct ASCII words."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, letters, marks in LATIN:
+        plain = [w for w in marks.split("|") if w.isascii() and w]
+        accented = [w for w in marks.split("|") if not w.isascii()]
+        found = F.arrays_overlap(words, F.array(*map(F.lit, plain))) if plain else F.lit(not marks)
+        for w in accented:
+            found = found | (F.contains(low, F.lit(w)) & low.rlike(f"{_EDGE}{w}{_EDGE}"))
+        out = out.when(low.rlike(letters) & found if letters else found, F.lit(name))
     return out.otherwise(F.lit("English"))
+
+
+def detect_language(text: Column) -> Column:
+    """A language name: by script where two or more letters of one stand out, else by Latin letters and function words, else English.
+
+    Scripts are counted on what is left of a text without ASCII and Latin
+    letters, mostly nothing; of scripts as frequent, the one that comes first
+    counts. A text's words are listed once for all languages.
+    """
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def by_script(s: Column) -> Column:
+        rest = s["rest"]
+        n = {name: F.regexp_count(rest, F.lit(f"[{p}]")) for name, p in SCRIPTS.items()}
+        first = {name: F.regexp_instr(rest, F.lit(f"[{p}]")) for name, p in SCRIPTS.items()}
+        most = F.array_max(F.array(*[F.struct(n[k].alias("n"), (-first[k]).alias("at"), F.lit(k).alias("name")) for k in SCRIPTS]))
+        both = rest.rlike(f"[{SCRIPTS['Japanese']}]") & rest.rlike(f"[{SCRIPTS['Chinese']}]")
+        persian = _arabic_score(text, *PERSIAN)
+        named = lambda m: F.when((m["name"] == "Arabic") & (persian >= 3) & (persian > _arabic_score(text, *ARABIC)), F.lit("Persian")).otherwise(m["name"])
+        return F.when(rest == "", F.lit(None).cast("string")).when(both, F.lit("Japanese")).otherwise(once(most, lambda m: F.when(m["n"] >= 2, named(m))))
+
+    def by_words(s: Column) -> Column:
+        return once(F.struct(s["low"].alias("low"), F.array_distinct(F.split(s["low"], "[^a-z0-9_]+")).alias("words")), lambda x: _latin(x["low"], x["words"]))
+
+    parts = F.struct(F.regexp_replace(text, r"[\x00-\x{036F}]+", "").alias("rest"), F.lower(text).alias("low"))
+    return F.when(text.isNotNull(), once(parts, lambda s: F.coalesce(by_script(s), by_words(s)))).otherwise(F.lit("English"))
+

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Changes of a path that are folded in one row.
+RUN = 1024
+KINDS = ["Created", "Deleted", "Modified"]
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:
     """key and kind (Created, Deleted, Modified) of rows that differ between two snapshots."""
@@ -15,22 +23,27 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, values: list[st
 
 
 def merged_kind(old: Column, new: Column) -> Column:
-    """The kind that stands for an earlier and a later change of one path."""
-    both = ((old == "Deleted") & (new == "Created")) | ((old == "Created") & (new == "Deleted")) | (new == "Modified")
-    return F.when(both, "Modified").otherwise(new)
+    """The kind that stands for an earlier (merged) and a later change of one path; 0 is none, others are places in KINDS from 1."""
+    return F.when(((old == 1) & (new == 2)) | ((old == 2) & (new == 1)), F.lit(3)).otherwise(new)
 
 
 def coalesce_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """key, kind and n of each path's changes, folded in order.
+    """key, kind and n of each path's changes, folded in order: each change is merged into what those before it gave.
 
-    The fold only depends on the last change and on whether an earlier one of
-    another kind precedes it, so it is a grouped maximum over (order, kind)
-    with the previous row's kind, not a list of all changes.
+    A run of RUN changes of a path is folded from every kind that may stand
+    before it, and then the runs of a path are: no row holds all changes of a
+    path that has very many.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = changes.select(key, *order, "kind", F.lag("kind").over(w).alias("prev"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"), F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])).alias("back"))
-    kind = F.when(F.col("prev").isNull(), F.col("kind")).otherwise(merged_kind(F.col("prev"), F.col("kind")))
-    return rows.where("back = 1").select(key, kind.alias("kind"), "n")
+    code = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    runs = changes.select(key, at.alias("at"), code.alias("code")).groupBy(key, F.floor(F.col("at") / RUN).alias("run")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "code"))).alias("c")
+    )
+    fold = lambda start: F.aggregate("c", F.lit(start), lambda s, x: merged_kind(s, x["code"]))
+    runs = runs.select(key, "run", F.size("c").cast("long").alias("n"), F.array(*[fold(k) for k in range(len(KINDS) + 1)]).alias("to"))
+    each = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("run", "to"))).alias("r"), F.sum("n").alias("n"))
+    last = F.aggregate("r", F.lit(0), lambda s, x: F.get(x["to"], s))
+    return each.select(key, F.get(F.array(*map(F.lit, KINDS)), last - 1).alias("kind"), "n")
 
 
 def queue_summary(tasks: DataFrame) -> DataFrame:
@@ -52,11 +65,33 @@ def upsert_tasks(queue: DataFrame, incoming: DataFrame, max_retries: int = 3) ->
     return j.select("path", next_status.alias("status"), F.coalesce("retry_count", F.lit(0)).alias("retry_count"), rerun.alias("needs_rerun"))
 
 
-def rate_limited(events: DataFrame, key: str, time_us: str, most: int, window_us: int) -> DataFrame:
-    """Each event with n_recent, the events of its key in the window that ends with it, and allowed (n_recent <= most)."""
-    w = Window.partitionBy(key).orderBy(time_us).rangeBetween(-window_us + 1, 0)
-    n = F.count(F.lit(1)).over(w)
-    return events.withColumn("n_recent", n).withColumn("allowed", F.col("n_recent") <= most)
+def rate_limited(events: DataFrame, key: str, event_id: str, time_us: str, most: int, window_us: int) -> DataFrame:
+    """key, event_id, time_us, n_recent and allowed of each event, in order of time and event_id.
+
+    n_recent counts the events of the key that were allowed in the window
+    before; an event is allowed if they are fewer than most, and refused ones do
+    not count. A task holds at most ``most`` times of one key.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hits = None, deque()
+        for b in batches:
+            counts, allowed = [], []
+            for own, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (own,) != now:
+                    now, hits = (own,), deque()
+                while hits and hits[0] < at - window_us:
+                    hits.popleft()
+                counts.append(len(hits))
+                allowed.append(len(hits) < most)
+                if allowed[-1]:
+                    hits.append(at)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(allowed, pa.bool_())], [*b.schema.names, "n_recent", "allowed"])
+
+    rows = events.select(key, F.col(event_id).cast("long").alias(event_id), F.col(time_us).cast("long").alias(time_us))
+    rows = rows.repartition(key).sortWithinPartitions(key, time_us, event_id)
+    return rows.mapInArrow(run, f"`{key}` {kind}, `{event_id}` long, `{time_us}` long, n_recent long, allowed boolean")
 
 
 def suppress_own(changes: DataFrame, writes: DataFrame, key: str, ignore_us: int) -> DataFrame:

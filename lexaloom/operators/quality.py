@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaloom.functions import markup as M
 from lexaloom.functions import text as T
+from lexaloom.operators import graph
 
 # Pages of the wiki's own structure, fields that every page needs, and value lists.
 STRUCTURAL = ["index", "overview", "log", "schema", "purpose"]
 REQUIRED = ["type", "title", "created"]
 DIRECTORIES = {"entity": "entities", "concept": "concepts", "source": "sources", "query": "queries", "synthesis": "synthesis", "comparison": "comparisons"}
-STUB_MARKS = ["todo: fill", "to be filled", "placeholder content"]
+STUB_MARK = "_Stub page — batched ingest did not emit this file"
 
 
 def lint(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame:
@@ -35,40 +37,59 @@ def lint(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame
 def audit(pages: DataFrame) -> DataFrame:
     """rule, severity, subject and detail of naming and content defects of pages (path, content).
 
-    Rules on one page are a narrow map; rules on pages of a like name group by their key.
+    Rules on one page are a narrow map with a row for each defect; rules on
+    pages of a like name group by their key; a link is unresolved if the cascade
+    of graph.resolve_cascade finds no page for it.
     """
-    slug = T.file_stem(F.col("path"))
+    slug, content = T.file_stem(F.col("path")), F.col("content")
     p = pages.select(
-        "path", "content", slug.alias("slug"), T.dedup_key(slug).alias("key"), T.page_title(F.col("content"), F.col("path")).alias("title"),
-        T.array_field(F.col("content"), "related").alias("related"), T.link_targets(F.col("content")).alias("targets"),
+        "path", "content", slug.alias("slug"), T.dedup_key(slug).alias("key"), T.scalar_field(content, "title").alias("title"),
+        T.array_field(content, "related").alias("related"), T.link_targets(T.body_of(content)).alias("targets"),
     )
-    finding = lambda ok, rule, severity, detail: F.when(
-        ok, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+    one = lambda ok, rule, severity, detail: F.when(
+        ok, F.array(F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail")))
+    )
+    each = lambda items, rule, severity: F.transform(
+        items, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), x.alias("detail"))
     )
-    low = F.lower("content")
-    stub = F.lit(False)
-    for m in STUB_MARKS:
-        stub = stub | F.contains(low, F.lit(m))
     named = T.page_id(F.col("title"))
-    bad_related = F.filter("related", lambda x: ~T.is_kebab(x))
-    odd_links = F.filter("targets", lambda x: x.rlike(r"[\[(]"))
+    extra = F.filter(F.split("slug", "-"), lambda t: ~F.array_contains(F.split(named, "-"), t))
+    wrong = (named != "") & (named != F.col("slug")) & (T.dedup_key(named) != F.col("key")) & (F.size(extra) > 0)
+    opening = F.get(F.split("content", r"\r?\n"), F.lit(0))
     rules = [
-        finding(stub, "STUB-UNFILLED", "warning", F.lit("")),
-        finding(F.trim(T.body_of(F.col("content"))) == "", "PAGE-EMPTY", "error", F.lit("")),
-        finding(F.col("content").rlike(r"^(?:[ \t]+---|---[ \t]+)\r?\n"), "FRONTMATTER-DELIMITER-WHITESPACE", "warning", F.lit("")),
-        finding(F.col("slug").startswith("missing-page"), "MISSING-PAGE-PLACEHOLDER", "warning", F.lit("")),
-        finding((named != F.col("slug")) & (T.dedup_key(F.col("title")) != F.col("key")), "TITLE-SLUG-MISMATCH", "info", named),
-        finding(F.size(bad_related) > 0, "FRONTMATTER-INCONSISTENT-LIST", "warning", F.array_join(bad_related, ",")),
-        finding(F.array_contains("targets", F.col("slug")), "LINK-SELF-REFERENCE", "info", F.col("slug")),
-        finding(F.size(odd_links) > 0, "LINK-MALFORMED-TEXT", "warning", F.array_join(odd_links, ",")),
+        one(F.contains("content", F.lit(STUB_MARK)), "STUB-UNFILLED", "warning", F.lit("")),
+        one(F.trim(F.regexp_replace(T.body_of(content), r"\s+", " ")) == "", "PAGE-EMPTY", "warning", F.lit("")),
+        one((opening != "---") & (F.regexp_replace(opening, r"^\s+|\s+$", "") == "---"), "FRONTMATTER-DELIMITER-WHITESPACE", "warning", opening),
+        one(F.col("slug").startswith("missing-page-"), "MISSING-PAGE-PLACEHOLDER", "warning", F.lit("")),
+        one(wrong, "TITLE-SLUG-MISMATCH", "warning", F.array_join(extra, ",")),
+        each(F.filter("related", lambda x: ~T.is_kebab(M.link_slug(x))), "FRONTMATTER-INCONSISTENT-LIST", "warning"),
+        each(F.filter("targets", lambda x: (x == F.col("slug")) | (T.hyphenated(x) == F.col("slug"))), "LINK-SELF-REFERENCE", "info"),
+        each(F.filter("targets", lambda x: x.rlike(r"[\[(]") & ~x.startswith("[[")), "LINK-MALFORMED-TEXT", "warning"),
     ]
-    single = p.select("path", F.explode(F.array_compact(F.array(*rules))).alias("f")).select(
+    single = p.select("path", F.explode(F.flatten(F.array_compact(F.array(*rules)))).alias("f")).select(
         "f.rule", "f.severity", F.col("path").alias("subject"), "f.detail"
     )
     groups = p.groupBy("key").agg(F.array_sort(F.collect_set("slug")).alias("slugs"), F.count_distinct(F.lower("slug")).alias("n_low"))
     groups = groups.where(F.size("slugs") > 1)
-    rule = F.when(F.col("n_low") == 1, "DUP-SLUG-CASE").when(F.col("key").rlike("[0-9]"), "DUP-SLUG-VERSION-NUMBER").otherwise("DUP-SLUG-PUNCTUATION")
-    return single.unionByName(groups.select(rule.alias("rule"), F.lit("warning").alias("severity"), F.col("key").alias("subject"), F.array_join("slugs", ",").alias("detail")))
+    # slugs are sorted, so one that begins another one stands right before some slug that it begins
+    starts = F.exists(F.arrays_zip(F.slice("slugs", F.lit(1), F.size("slugs") - 1).alias("a"), F.slice("slugs", F.lit(2), F.size("slugs")).alias("b")), lambda x: F.startswith(x["b"], x["a"]))
+    alike = [(F.lit(True), "PUNCTUATION"), (F.col("key").rlike("[0-9]"), "VERSION-NUMBER"), (F.col("n_low") == 1, "CASE"), (starts, "TRUNCATION")]
+    kinds = F.array_compact(F.array(*[F.when(ok, F.lit(f"DUP-SLUG-{name}")) for ok, name in alike]))
+    named_alike = groups.select(F.explode(kinds).alias("rule"), F.lit("warning").alias("severity"), F.col("key").alias("subject"), F.array_join("slugs", ",").alias("detail"))
+    return single.unionByName(named_alike).unionByName(unresolved_links(p))
+
+
+def unresolved_links(pages: DataFrame) -> DataFrame:
+    """rule, severity, subject and detail of each link of pages (path, slug, targets) that leads to no page.
+
+    CASE-MISMATCH if only case or spaces are wrong (several pages match), TITLE-FORM if it is written like a title, else BROKEN-NONEXISTENT.
+    """
+    links = pages.select("path", F.explode("targets").alias("ref"))
+    found = graph.resolve_cascade(links.select("ref"), pages.select(F.col("slug").alias("id"))).where("id IS NULL").select("ref")
+    known = pages.select(F.col("slug").alias("norm")).distinct().withColumn("there", F.lit(True))
+    rows = links.join(found, "ref").withColumn("norm", T.hyphenated(F.col("ref"))).join(known, "norm", "left")
+    rule = F.when(F.col("there"), "LINK-CASE-MISMATCH").when(F.col("ref").rlike(r"[A-Z\s(]"), "LINK-TITLE-FORM").otherwise("LINK-BROKEN-NONEXISTENT")
+    return rows.select(rule.alias("rule"), F.lit("warning").alias("severity"), F.col("path").alias("subject"), F.col("ref").alias("detail"))
 
 
 def validate(pages: DataFrame, ontology: dict[str, str] | None = None) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-
-#: Pages that take part in a ranking; the lists that are ranked hold at most this many rows.
-RANK_DEPTH = 10_000
+from lexaloom.session import cut_statistics
 
 
 def keyword_scores(pages: DataFrame, query: str) -> DataFrame:
@@ -62,12 +60,20 @@ def vector_pages(chunks: DataFrame, query: list[float], limit: int = 20) -> Data
     return blend_pages(nearest(chunks, query, max(3 * k, 30)), k)
 
 
-def ranked(rows: DataFrame, key: str, depth: int = RANK_DEPTH) -> DataFrame:
-    """key and its 1-based rank by (score descending, key); the window sees at most depth rows."""
+def ranked(rows: DataFrame, key: str, depth: int) -> DataFrame:
+    """key and its 1-based rank of the best depth rows by (score descending, key)."""
     top = rows.select(key, "score").orderBy(F.desc("score"), key).limit(depth)
     return top.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
 
 
+def ranks_of(rows: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """key and rank, among all rows by (score descending, key), of the few rows whose key is wanted: better rows are counted, not sorted."""
+    own = rows.where(F.col(key).isin(wanted)).select(key, "score").collect() if wanted else []
+    better = [F.count_if((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col(key) < r[key]))) for r in own]
+    counted = rows.agg(*better).first() if better else []
+    return rows.sparkSession.createDataFrame([(r[key], n + 1) for r, n in zip(own, counted, strict=True)], f"`{key}` string, rank long")
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, key: str = "path", k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: key, keyword_rank, vector_rank, score."""
     a = keyword.select(key, F.col("rank").alias("keyword_rank"))
@@ -76,6 +82,22 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str = "path", k: int = 60)
     return a.join(b, key, "full_outer").withColumn("score", part("keyword_rank") + part("vector_rank"))
 
 
+def fused_pages(words: DataFrame, hits: DataFrame, top_k: int) -> DataFrame:
+    """path, score and mode of the top_k pages by fused rank of keyword hits (path, score) and vector hits (path, score; few).
+
+    A page of the result is among the best top_k of one list at least. So the
+    keyword ranks that count are those of the first top_k and those of the
+    vector hits, wherever they stand.
+    """
+    words = cut_statistics(words.select("path", "score"))
+    near = [r["path"] for r in hits.select("path").collect()]
+    first = ranked(words, "path", top_k)
+    keyword = first.unionByName(ranks_of(words, "path", near)).distinct()
+    fused = fuse(keyword, ranked(hits, "path", len(near) or 1))
+    mode = F.when(F.col("keyword_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "keyword").otherwise("hybrid")
+    return fused.select("path", "score", mode.alias("mode")).orderBy(F.desc("score"), "path").limit(top_k)
+
+
 def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: list[float] | None, top_k: int = 20) -> DataFrame:
     """The top_k pages by fused rank, or by keyword score when there are no vector hits.
 
@@ -85,10 +107,7 @@ def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: list[
     words = keyword_scores(pages, query)
     if vector is None:
         return words.select("path", "score", F.lit("keyword").alias("mode")).orderBy(F.desc("score"), "path").limit(top_k)
-    hits = vector_pages(chunks, vector, top_k).withColumnRenamed("page", "path")
-    fused = fuse(ranked(words, "path"), ranked(hits, "path"))
-    mode = F.when(F.col("keyword_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "keyword").otherwise("hybrid")
-    return fused.select("path", "score", mode.alias("mode")).orderBy(F.desc("score"), "path").limit(top_k)
+    return fused_pages(words, vector_pages(chunks, vector, top_k).withColumnRenamed("page", "path"), top_k)
 
 
 def neighbours(chunks: DataFrame, own: int, vector: list[float], k: int = 8) -> DataFrame:

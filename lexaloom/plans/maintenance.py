@@ -61,8 +61,10 @@ def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH m AS {_MADE}, f AS (
       SELECT 'FRONTMATTER-INCONSISTENT-LIST' AS rule, 'warning' AS severity, 'wiki/' || folder || '/' || slug || '.md' AS subject, 'Brand One' AS detail FROM m
-      UNION ALL SELECT 'TITLE-SLUG-MISMATCH', 'info', 'wiki/' || folder || '/' || slug || '.md', regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') FROM m
-      UNION ALL SELECT 'DUP-SLUG-VERSION-NUMBER', 'warning', replace(slug, '-', ''), string_agg(DISTINCT slug, ',' ORDER BY slug) FROM m GROUP BY replace(slug, '-', '') HAVING count(DISTINCT slug) > 1)
+      UNION ALL SELECT 'TITLE-SLUG-MISMATCH', 'warning', 'wiki/' || folder || '/' || slug || '.md', array_to_string(list_filter(string_split(slug, '-'), lambda t: NOT list_contains(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), t)), ',') FROM m
+      UNION ALL SELECT 'LINK-TITLE-FORM', 'warning', 'wiki/' || folder || '/' || slug || '.md', unnest([p_brand, p_type]) FROM m
+      UNION ALL SELECT unnest(CASE WHEN regexp_matches(key, '[0-9]') THEN ['DUP-SLUG-PUNCTUATION', 'DUP-SLUG-VERSION-NUMBER'] ELSE ['DUP-SLUG-PUNCTUATION'] END), 'warning', key, slugs FROM (
+        SELECT replace(slug, '-', '') AS key, string_agg(DISTINCT slug, ',' ORDER BY slug) AS slugs FROM m GROUP BY replace(slug, '-', '') HAVING count(DISTINCT slug) > 1))
     SELECT * FROM f"""
 )
 def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_names(spark):
 
 @pytest.mark.parametrize(
     "text,language",
-    [("これは日本の話です", "Japanese"), ("这是中文", "Chinese"), ("Привет", "Russian"), ("Grüße", "German"), ("garçon", "French"), ("mañana", "Spanish"), ("hello", "English"), ("", "English")],
+    [("これは日本の話です", "Japanese"), ("这是中文", "Chinese"), ("Привет", "Russian"), ("Grüße", "English"), ("garçon", "English"), ("mañana", "Spanish"), ("Acesta este un text și o casă", "Romanian"), ("Țară și oraș", "English"), ("ёж αβγδε", "Greek"), ("ёж αβ", "Russian"), (None, "English"), ("hello", "English"), ("", "English")],
 )
 def test_language(spark, text, language):
     assert spark.createDataFrame([(text,)], "t string").select(T.detect_language(F.col("t"))).first()[0] == language
@@ -174,6 +174,16 @@ def test_quality(pages, spark):
     bad = {(r["path"].rsplit("/", 1)[1], r["violation"]) for r in quality.validate(pages).collect()}
     assert ("GPT4.md", "missing-frontmatter") in bad and ("transformer.md", "missing-required:created") in bad and not any(p == "attention.md" for p, _ in bad)
     reviews = spark.createDataFrame([("r1", "missing-page", "Missing page: Other", None), ("r2", "missing-page", "Missing page: Nope", None), ("r3", "duplicate", "x", ["other", "gone"])], "id string, type string, title string, affected array<string>")
+    slugs = [("concepts/ab", "---\ntitle: Ab\n---\n[[ab]] [[AB]] [[a-b]] [[gone]] [[Gone Page]] [[x(y]] [[Same]]"), ("concepts/a-b", "--- \ntext"), ("concepts/AB", "_Stub page — batched ingest did not emit this file"), ("entities/missing-page-x", "---\ntitle: Other name\nrelated: [\"[[ab|x]]\", \"No Slug\"]\n---\n"), ("concepts/same", "b"), ("concepts/SAME", "b"), ("concepts/abc", "b")]
+    made = spark.createDataFrame([(f"wiki/{k}.md", c) for k, c in slugs], "path string, content string")
+    found = {(r["rule"], r["subject"].rsplit("/", 1)[-1], r["detail"]) for r in quality.audit(made).collect()}
+    assert found == {
+        ("DUP-SLUG-PUNCTUATION", "ab", "AB,a-b,ab"), ("DUP-SLUG-PUNCTUATION", "same", "SAME,same"), ("DUP-SLUG-CASE", "same", "SAME,same"),
+        ("STUB-UNFILLED", "AB.md", ""), ("FRONTMATTER-DELIMITER-WHITESPACE", "a-b.md", "--- "), ("MISSING-PAGE-PLACEHOLDER", "missing-page-x.md", ""), ("PAGE-EMPTY", "missing-page-x.md", ""),
+        ("TITLE-SLUG-MISMATCH", "missing-page-x.md", "missing,page,x"), ("FRONTMATTER-INCONSISTENT-LIST", "missing-page-x.md", "No Slug"),
+        ("LINK-SELF-REFERENCE", "ab.md", "ab"), ("LINK-SELF-REFERENCE", "ab.md", "AB"), ("LINK-MALFORMED-TEXT", "ab.md", "x(y"),
+        ("LINK-BROKEN-NONEXISTENT", "ab.md", "gone"), ("LINK-TITLE-FORM", "ab.md", "Gone Page"), ("LINK-TITLE-FORM", "ab.md", "x(y"), ("LINK-CASE-MISMATCH", "ab.md", "Same"),
+    }
     assert dict(quality.sweep(reviews, pages).collect()) == {"r1": True, "r2": False, "r3": True}
 
 
@@ -242,3 +252,48 @@ def test_catalog_is_whole():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 40 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_changes_are_folded_one_by_one(spark, monkeypatch):
+    """Against a fold by hand, in whole rows and in runs of three."""
+    import random
+
+    from lexaloom.operators import changes
+
+    rng = random.Random(2)
+    rows = [(p, k, rng.choice(changes.KINDS)) for p in range(40) for k in range(rng.randint(1, 12))] + [(100, k, v) for k, v in enumerate(["Created", "Deleted", "Created"])] + [(101, k, v) for k, v in enumerate(["Deleted", "Created", "Deleted"])]
+    want = {}
+    for p, _, kind in rows:
+        old = want.get(p)
+        want[p] = "Modified" if kind == "Modified" or {old, kind} == {"Created", "Deleted"} else kind
+    assert (want[100], want[101]) == ("Created", "Deleted")
+    df = spark.createDataFrame(rows, "path long, k long, kind string")
+    for run in (changes.RUN, 3):
+        monkeypatch.setattr(changes, "RUN", run)
+        got = changes.coalesce_changes(df.repartition(3), "path", ["k"]).collect()
+        assert {r["path"]: r["kind"] for r in got} == want and sum(r["n"] for r in got) == len(rows)
+
+
+def test_refused_requests_do_not_count(spark):
+    from lexaloom.operators import changes
+
+    rows = [("a", k, t) for k, t in enumerate([0, 1, 2, 9, 10, 11, 12])] + [("b", 9, 1), (None, 10, 1)]
+    got = {r["event_id"]: (r["n_recent"], r["allowed"]) for r in changes.rate_limited(spark.createDataFrame(rows, "key string, event_id long, at long"), "key", "event_id", "at", 2, 10).collect()}
+    assert got == {0: (0, True), 1: (1, True), 2: (2, False), 3: (2, False), 4: (2, False), 5: (1, True), 6: (1, True), 9: (0, True), 10: (0, True)}
+
+
+def test_ranks_beyond_any_depth(spark):
+    """A vector page's keyword rank counts wherever it stands."""
+    words = spark.createDataFrame([(f"p{k:03d}", float(1000 - k)) for k in range(300)], "path string, score double")
+    hits = spark.createDataFrame([("p250", 0.9), ("q", 0.8)], "path string, score double")
+    got = {r["path"]: (r["score"], r["mode"]) for r in retrieval.fused_pages(words, hits, 5).collect()}
+    assert got["p250"] == (1 / 61 + 1 / 311, "hybrid") and got["q"] == (1 / 62, "vector") and got["p000"] == (1 / 61, "keyword") and len(got) == 5
+
+
+def test_greetings_and_titles(spark):
+    from lexaloom.functions import markup as M
+
+    want = {"hi": True, "  Hello there!! ": True, "good morning": True, "你好呀。": True, "Thanks": False, "hello, how do I train a model?": False, "": False, "hi " * 8: False, "早": True, "안녕하세요": True, ".hi": False}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", M.is_greeting(F.col("t"))).collect()} == want
+    titles = {"Missing page: Foo  Bar": "foo bar", "missing-page：X": "x", "疑似重复: A b": "a b", "Duplicatepage:Q": "q", "possible duplicate: Z": "z", "缺少页面：你": "你", "Other: x": "other: x"}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in titles], "t string").select("t", T.review_title(F.col("t"))).collect()} == titles
