@@ -37,7 +37,7 @@ from .tokens import encoder
 from .work import batch, materialize, tidied
 
 CAPACITY = 2048
-BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 8, 24
+BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 5, 8
 #: A level that saves a smaller share of the open sequences is the last.
 LEAST_SAVED = 0.001
 #: A bin counts as well filled with at most this share of its room free.
