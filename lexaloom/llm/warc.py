@@ -21,6 +21,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -156,9 +157,17 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+_PAGE_NAME = re.compile(r"<urn:x-page:(-?\d+)[:>]")
+
+
 def _page(name: str | None) -> int | None:
-    part = (name or "").removeprefix("<urn:x-page:").rstrip(">").split(":")[0]
-    return int(part) if part else None
+    """The page number in a record's identifier; null in those of other writers."""
+    m = _PAGE_NAME.match(name or "")
+    return int(m[1]) if m else None
+
+
+def _whole_number(text: str | None) -> int | None:
+    return int(text) if text else None
 
 
 _FOUND = pa.schema(
@@ -190,11 +199,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind, name = fields["warc-type"], fields["warc-record-id"]
                 digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
                 if kind == "revisit":
-                    rows.append((_page(name), int(fields["x-payload-length"]), digest, kind, _page(fields["warc-refers-to"]), None, None, None, None))
+                    rows.append((_page(name), _whole_number(fields.get("x-payload-length")), digest, kind, _page(fields.get("warc-refers-to")), None, None, None, None))
                 elif kind == "continuation" or "warc-segment-number" in fields:
-                    total = fields.get("warc-segment-total-length")
+                    total = _whole_number(fields.get("warc-segment-total-length"))
                     origin = fields.get("warc-segment-origin-id", name)
-                    rows.append((_page(origin), None, digest, "response", None, origin, int(fields["warc-segment-number"]), int(total) if total else None, block))
+                    rows.append((_page(origin), None, digest, "response", None, origin, int(fields["warc-segment-number"]), total, block))
                     held += len(block)
                 elif kind == "response":
                     rows.append((_page(name), *_checked(block, digest), kind, None, None, None, None, None))
@@ -224,7 +233,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record, with segments put together."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record, with segments put together.
+
+    Records of other writers have no page number, and their revisits no payload size; both are null then.
+    """
     files = spark.read.format("binaryFile").load(f"{path}/part-*").select("content")
     found = materialize(files.mapInArrow(_read, _FOUND_DDL), "records")
     whole = found.where("origin IS NULL").select(*_PAGE.names)

@@ -66,6 +66,14 @@ def test_missing_segments_are_noticed(spark, pages, tmp_path):
         warc.read_archives(spark, path).collect()
 
 
+def test_records_of_another_writer(spark, tmp_path):
+    response = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], b"HTTP/1.1 200 OK\r\n\r\nhello")
+    revisit = warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Payload-Digest", "sha256:ab")], b"HTTP/1.1 304 Not Modified\r\n\r\n")
+    (tmp_path / "part-0.warc.gz").write_bytes(gzip.compress(response + b"\r\n\r\n") + gzip.compress(revisit + b"\r\n\r\n"))
+    got = sorted((tuple(r) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=lambda r: r[3])
+    assert got == [(None, 5, hashlib.sha256(b"hello").hexdigest(), "response", None), (None, None, "ab", "revisit", None)]
+
+
 def brute_chats(rows):
     convs = {}
     for c, k, role, text, *_ in rows:
