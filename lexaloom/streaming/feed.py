@@ -32,19 +32,28 @@ def once(events: DataFrame, late: str, *keys: str) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its rows from a table in the warehouse.
+    """Run a stream over all that is there and return its rows.
 
-    Complete results are written by foreachBatch, one version for each batch; the last one counts.
+    Complete results are a table in the warehouse, one version for each batch;
+    the last one counts. Other rows lie in a folder for each batch, which a batch
+    that is run again overwrites, so no row comes twice.
     """
     name = f"stream_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder, seen = f"{base}/{name}-rows", []
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").saveAsTable(name)
+        if mode == "complete":
+            batch.write.mode("overwrite").saveAsTable(name)
+        else:
+            batch.write.mode("overwrite").parquet(f"{folder}/{number:010d}")
+            seen.append(number)
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     query = rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/{name}-state").foreachBatch(save).start()
     query.awaitTermination()
-    return spark.table(name)
+    if mode == "complete":
+        return spark.table(name)
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder) if seen else spark.createDataFrame([], rows.schema)
 
 
 def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
