@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Sizes in characters.
 TARGET, MOST, LEAST, OVERLAP = 1000, 1500, 200, 200
 
-CHUNK_DDL = "chunk_index int, chunk_text string, heading_path string, char_start int, oversized boolean"
+CHUNK_DDL = "chunk_index int, chunk_text string, heading_path string, char_start int, char_end int, oversized boolean"
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -81,36 +81,41 @@ def cut(text: str, start: int, target: int, level: int = 0) -> Iterator[tuple[in
             at = end
 
 
-def chunk_markdown(text: str, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[str, str, int, bool]]:
-    """Text, heading path, start and oversized of each chunk.
+_FRONT = re.compile(r"---\r?\n.*?\r?\n---(?:\r?\n|$)", re.S)
+
+
+def chunk_markdown(text: str, target: int = TARGET, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[str, str, int, int, bool]]:
+    """Text, heading path, start, end and oversized of each chunk; places are in the whole text, of which the front matter is no part of a chunk.
 
     Code blocks and tables are not cut. Pieces are packed up to target; a chunk
     below least joins the one before if both stay within most. Each chunk but a
     section's first starts with the end of the one before, from a word's start.
     """
-    most, overlap = max(most, target), min(overlap, target - 1)
-    out: list[tuple[str, str, int, bool]] = []
-    for path, start, body in sections(text):
+    most, overlap = max(most, target), overlap if overlap < target else target // 2
+    out: list[tuple[str, str, int, int, bool]] = []
+    front = _FRONT.match(text)
+    before = front.end() if front else 0
+    for path, start, body in sections(text[before:]):
         packed: list[list] = []
-        for first, atom, whole in atoms(body, start):
+        for first, atom, whole in atoms(body, start + before):
             pieces = [(first, atom)] if whole else list(cut(atom, first, target))
             for at, piece in pieces:
                 if packed and len(packed[-1][1]) + len(piece) <= target:
-                    packed[-1][1] += piece
+                    packed[-1][1:] = packed[-1][1] + piece, at + len(piece)
                 else:
-                    packed.append([at, piece])
+                    packed.append([at, piece, at + len(piece)])
         merged: list[list] = []
-        for at, piece in packed:
+        for at, piece, end in packed:
             if merged and (len(piece) < least or len(merged[-1][1]) < least) and len(merged[-1][1]) + len(piece) <= most:
-                merged[-1][1] += piece
+                merged[-1][1:] = merged[-1][1] + piece, end
             else:
-                merged.append([at, piece])
-        for k, (at, piece) in enumerate(merged):
+                merged.append([at, piece, end])
+        for k, (at, piece, end) in enumerate(merged):
             tail = merged[k - 1][1][-overlap:] if k and overlap else ""
             if tail and len(tail) < len(merged[k - 1][1]):
                 space = re.search(r"\s", tail)
                 tail = tail[space.end() :] if space else tail
-            out.append((tail + piece, path, at, len(piece) > most))
+            out.append((tail + piece, path, at, end, len(piece) > most))
     return out
 
 
@@ -120,11 +125,11 @@ def chunk_pages(pages: DataFrame, **sizes: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [
-                (page, k, text, path, at, big)
+                (page, k, text, path, at, end, big)
                 for page, content in zip(f["page_id"], f["content"], strict=True)
-                for k, (text, path, at, big) in enumerate(chunk_markdown(content or "", **sizes))
+                for k, (text, path, at, end, big) in enumerate(chunk_markdown(content or "", **sizes))
             ]
-            yield pd.DataFrame(rows, columns=["page_id", "chunk_index", "chunk_text", "heading_path", "char_start", "oversized"])
+            yield pd.DataFrame(rows, columns=["page_id", "chunk_index", "chunk_text", "heading_path", "char_start", "char_end", "oversized"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "content").mapInPandas(run, f"page_id {kind}, {CHUNK_DDL}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import markup as M
@@ -37,10 +37,10 @@ def is_stale(pages: DataFrame, index: DataFrame, least_pages: int = 50) -> DataF
 
 
 def index_lines(rows: DataFrame) -> DataFrame:
-    """section and text (entry lines by title) of a fresh index from listing()."""
+    """section, position (from 1, by title) and line of each entry of a fresh index from listing(); a section is never one row."""
     line = F.concat(F.lit("- [["), "target", F.lit("|"), "title", F.lit("]]"))
-    each = rows.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("title", "target", line.alias("line")))).alias("r"))
-    return each.select("section", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
+    at = F.row_number().over(Window.partitionBy("section").orderBy("title", "target"))
+    return rows.select("section", at.cast("long").alias("position"), line.alias("line"))
 
 
 def repeated_lines(logs: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def created_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT folder AS section, string_agg('- [[' || folder || '/' || slug || '|' || p_name || ']]', chr(10) ORDER BY p_name, folder || '/' || slug) AS text FROM {_MADE} GROUP BY folder"""
+    f"""SELECT folder AS section, row_number() OVER (PARTITION BY folder ORDER BY p_name, folder || '/' || slug) AS position, '- [[' || folder || '/' || slug || '|' || p_name || ']]' AS line FROM {_MADE}"""
 )
 def fresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.index_lines(listing.listing(made_pages(spark, sf_dir).select("path", "content")))

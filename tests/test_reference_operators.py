@@ -216,12 +216,17 @@ def test_chunks():
     text = "# One\n\n" + "A sentence here. " * 100 + "\n\n```\n" + "code line\n" * 200 + "```\n\n## Two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n# not\n"
     chunks = chunking.chunk_markdown(text)
     assert {c[1] for c in chunks} == {"One", "One > Two", "not"}
-    assert any(c[3] and "code line" in c[0] for c in chunks) and all(len(c[0]) <= 1700 for c in chunks if not c[3])
+    assert any(c[4] and "code line" in c[0] for c in chunks) and all(len(c[0]) <= 1700 for c in chunks if not c[4])
     assert chunking.chunk_markdown("") == [] and [c[0] for c in chunking.chunk_markdown("short")] == ["short"]
     plain = "word " * 2000
     parts = chunking.chunk_markdown(plain, overlap=0)
     assert "".join(c[0] for c in parts) == plain
     assert chunking.chunk_markdown("x" * 5000, overlap=0)[0][0] == "x" * 1000
+    front = "---\ntitle: T\n---\n"
+    with_front = chunking.chunk_markdown(front + text)
+    assert [(t, p, a - len(front), b - len(front), o) for t, p, a, b, o in with_front] == chunks
+    assert all((front + text)[a:b][-5:] == t[-5:] and a < b for t, _, a, b, _ in with_front)
+    assert max(len(c[0]) for c in chunking.chunk_markdown(plain, target=100, most=100, least=0, overlap=500)) <= 150
 
 
 def test_html_and_files(spark, tmp_path):
