@@ -195,7 +195,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_i
     each other, in no set order; one slot of each shard that holds any covers them.
     """
     keyed = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), "text")
-    rows = materialize(encoded(keyed, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "encoded", "zstd")
+    rows = materialize(encoded(keyed, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "encoded")
     ranged = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "width", "ids")
     ranged.mapInArrow(tidied(_shards(shard_ids)), SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
