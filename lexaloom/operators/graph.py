@@ -37,7 +37,8 @@ def resolve_cascade(refs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Levels: equal but for case; equal with hyphens; ending in `-ref`; starting
     with `ref-`; last path segment. Suffixes and prefixes of ids become rows at
-    hyphens, so each level is an equi-join on a key, not a scan of all ids.
+    hyphens, so each level is an equi-join on a key, not a scan of all ids. Keys
+    of several ids go before the join: it meets one row a level and key.
     """
     own = ids.select("id").distinct()
     clean = refs.select("ref").distinct().withColumn("key", F.regexp_replace(F.trim("ref"), r"\.md$", "")).where("key <> ''")
@@ -56,8 +57,8 @@ def resolve_cascade(refs: DataFrame, ids: DataFrame) -> DataFrame:
         .unionByName(level(5, starts))
         .unionByName(level(6, F.array(T.hyphenated(F.element_at(F.split("low", "/"), -1)))))
     )
-    found = norm.join(keys, "norm").groupBy("ref", "level").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
-    best = exact.unionByName(found.where("n = 1").select("ref", "level", "id")).groupBy("ref").agg(F.min_by("id", "level").alias("id"))
+    sole = keys.groupBy("norm", "level").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    best = exact.unionByName(norm.join(sole, "norm").select("ref", "level", "id")).groupBy("ref").agg(F.min_by("id", "level").alias("id"))
     return refs.select("ref").distinct().join(best, "ref", "left")
 
 

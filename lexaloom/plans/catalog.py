@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
 from lexaloom.operators import changes, chunking, dedup, graph, matching, quality, retrieval
-from lexaloom.plans import maintenance
+from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
 from lexaloom.streaming import feed
@@ -210,12 +210,13 @@ def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.link_counts(part_edges(spark, sf_dir))
 
 
-_RELEVANCE = f"""(WITH e AS {_EDGES}, r AS {_RELATED}, deg AS {_COUNTS}, n AS {_NODES},
+def relevance_sql(edges: str, related: str, nodes: str, sources: str) -> str:
+    return f"""(WITH e AS {edges}, r AS {related}, deg AS (SELECT node, count(*) AS n_links FROM (SELECT src AS node FROM {edges} UNION ALL SELECT dst FROM {edges}) GROUP BY node), n AS {nodes},
   pair AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM (SELECT * FROM e UNION SELECT * FROM r)),
   near AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e UNION SELECT src, dst FROM r),
   direct AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS direct FROM e GROUP BY 1, 2),
   listed AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS listed FROM r GROUP BY 1, 2),
-  src AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS s FROM lineitem),
+  src AS {sources},
   shared AS (SELECT a, b, count(*) AS shared FROM pair JOIN src x ON x.id = a JOIN src y ON y.id = b AND x.s = y.s GROUP BY a, b),
   aa AS (SELECT a, b, sum(1 / ln(greatest(coalesce(n_links, 0), 2))) AS adamic FROM pair JOIN near x ON x.x = a JOIN near y ON y.x = b AND x.y = y.y LEFT JOIN deg ON deg.node = x.y GROUP BY a, b),
   aff AS (SELECT * FROM (VALUES {", ".join(f"('{x}', '{y}', {graph.AFFINITY[i][j]})" for i, x in enumerate(graph.TYPES) for j, y in enumerate(graph.TYPES))}) v(x, y, f))
@@ -225,6 +226,9 @@ _RELEVANCE = f"""(WITH e AS {_EDGES}, r AS {_RELATED}, deg AS {_COUNTS}, n AS {_
   LEFT JOIN n na ON na.id = pair.a LEFT JOIN n nb ON nb.id = pair.b LEFT JOIN aff ON aff.x = na.type AND aff.y = nb.type)"""
 
 
+_RELEVANCE = relevance_sql(_EDGES, _RELATED, _NODES, "(SELECT DISTINCT l_partkey AS id, l_suppkey AS s FROM lineitem)")
+
+
 def part_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("source"))
     return graph.relevance(part_nodes(spark, sf_dir), part_edges(spark, sf_dir), part_related(spark, sf_dir), sources)
@@ -236,6 +240,22 @@ def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("a", "b", "direct", "listed", "shared", F.round("adamic", 4).alias("adamic"), F.round("relevance", 4).alias("relevance"))
 
 
+@query(
+    "SELECT a, b, direct, listed, shared, round(adamic, 4) AS adamic, round(relevance, 4) AS relevance FROM "
+    + relevance_sql(upkeep.PAGE_EDGES, upkeep.PAGE_RELATED, upkeep.PAGE_NODES, upkeep.PAGE_SOURCES)
+)
+def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From page texts to scored links: links and related items by the cascade, sources and types from front matter."""
+    p = upkeep.linked_pages(spark, sf_dir).withColumn("id", T.file_stem(F.col("path")))
+    refs = lambda items: p.select("id", F.explode(F.array_distinct(items)).alias("target"))
+    links, listed = refs(T.link_targets(T.body_of(F.col("content")))), refs(T.array_field(F.col("content"), "related"))
+    found = graph.resolve_cascade(links.unionByName(listed).select(F.col("target").alias("ref")), p.select("id"))
+    sources = p.select("id", F.explode(T.array_field(F.col("content"), "sources")).alias("source"))
+    nodes = p.select("id", T.page_type(F.col("content")).alias("type"))
+    r = graph.relevance(nodes, graph.edges_of(links, found), graph.edges_of(listed, found), sources)
+    return r.select("a", "b", "direct", "listed", "shared", F.round("adamic", 4).alias("adamic"), F.round("relevance", 4).alias("relevance"))
+
+
 @query(
     f"""SELECT node, other, relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY relevance DESC, other) AS rank FROM (
     SELECT a AS node, b AS other, round(relevance, 4) AS relevance FROM {_RELEVANCE} UNION ALL SELECT b, a, round(relevance, 4) FROM {_RELEVANCE})) WHERE rank <= 3"""
@@ -582,5 +602,6 @@ def task_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert_tasks(q, table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_custkey").cast("string")).alias("path")))
 
 
-QUERIES.update(maintenance.QUERIES)
-ORACLE_SQL.update(maintenance.ORACLE_SQL)
+for part in (maintenance, upkeep):
+    QUERIES.update(part.QUERIES)
+    ORACLE_SQL.update(part.ORACLE_SQL)
