@@ -132,3 +132,8 @@ def trimmed_index(index: Column, tokens: list[str], budget: int) -> Column:
 def related_slugs(content: Column) -> Column:
     """What the related field leads to: targets of whole links, other items as they are."""
     return F.transform(T.array_field(content, "related"), M.link_slug)
+
+
+def references(content: Column) -> Column:
+    """Every page that content leads to, by links or its related field."""
+    return F.concat(T.link_targets(content), related_slugs(content))

@@ -262,9 +262,18 @@ def louvain(edges: DataFrame, levels: int | None = None, rounds: int | None = No
 
 
 def numbered(labels: DataFrame) -> DataFrame:
-    """community, number (0 is the largest, ties by name) and size of a partition; one row for each community is ranked."""
+    """community, number (0 is the largest, ties by name) and size of a partition.
+
+    Communities are range-partitioned by size and numbered within each range;
+    only the counts of the ranges, one row a partition, are ranked in one task.
+    """
+    order = [F.desc("size"), F.asc("community")]
     size = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-    return size.select("community", (F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1).alias("number"), "size")
+    ranged = cut_statistics(size.repartitionByRange(*order).select("community", "size", F.spark_partition_id().alias("part")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("at", inner).join(F.broadcast(starts), "part").select("community", (F.col("start") + F.col("at")).alias("number"), "size")
 
 
 def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import markup as M
+from lexaloom.functions import rewriting as R
 from lexaloom.functions import text as T
 from lexaloom.operators.quality import STRUCTURAL
 
@@ -76,10 +77,15 @@ def dangling(pages: DataFrame) -> DataFrame:
 def delete_pages(pages: DataFrame, gone: DataFrame) -> DataFrame:
     """pages (path, content) after pages (slug, title) have gone: themselves dropped, links to them plain, list lines and related items removed.
 
-    The keys of what goes are one row, folded into every page's text; their number is bound by one request.
+    A page meets the keys of its own links and related items only, in an equi-join; nothing of what goes is collected.
     """
-    keys = gone.select(F.explode(F.array(M.ref_key(F.col("slug")), M.ref_key(F.col("title")))).alias("k")).where("k <> ''")
-    found = [r[0] for r in keys.distinct().collect()]
-    literal = F.array(*[F.lit(k) for k in found]).cast("array<string>")
-    left = pages.where(~F.array_contains(literal, M.ref_key(T.file_stem(F.col("path")))))
-    return left.select("path", M.without_links(M.without_listing(F.col("content"), literal), literal).alias("content"))
+    keys = gone.select(F.explode(F.array(M.ref_key(F.col("slug")), M.ref_key(F.col("title")))).alias("key")).where("key <> ''").distinct()
+    own = pages.select("path", "content", M.ref_key(T.file_stem(F.col("path"))).alias("key"))
+    left = own.join(keys, "key", "left_anti").drop("key")
+    refs = left.select("path", F.explode(F.array_distinct(F.transform(R.references(F.col("content")), M.ref_key))).alias("key"))
+    hit = refs.join(keys, "key", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    text = left.join(hit, "path", "left").withColumn("text", M.without_links(M.without_listing(F.col("content"), F.col("keys")), F.col("keys")))
+    text = text.withColumn("items", T.array_field(F.col("text"), "related"))
+    text = text.withColumn("kept", F.filter("items", lambda x: ~F.array_contains(F.col("keys"), M.ref_key(M.link_slug(x)))))
+    related = F.when(F.size("kept") < F.size("items"), R.with_array(F.col("text"), "related", F.col("kept"))).otherwise(F.col("text"))
+    return text.select("path", F.when(F.col("keys").isNull(), F.col("content")).otherwise(related).alias("content"))

@@ -49,7 +49,7 @@ def execute_merge(pages: DataFrame, moves: DataFrame) -> DataFrame:
     """
     slug, c = T.file_stem(F.col("path")), F.col("content")
     own = pages.select("path", "content", slug.alias("slug"), T.array_field(c, "tags").alias("tags"), R.related_slugs(c).alias("related"), T.array_field(c, "sources").alias("sources"))
-    refs = own.select("path", F.explode(F.array_distinct(F.concat(T.link_targets(c), "related"))).alias("old"))
+    refs = own.select("path", F.explode(F.array_distinct(R.references(c))).alias("old"))
     turned = refs.join(moves.select("old", "new"), "old").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("old", "new"))).alias("moves"))
     group = moves.select(F.col("old").alias("slug"), F.col("new").alias("canonical"))
     group = group.unionByName(group.select(F.col("canonical").alias("slug"), "canonical")).distinct()

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zipfile
 from collections.abc import Iterator
-from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
+from lexaloom.sources import office
 
 
 def scan_pages(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
@@ -54,13 +53,43 @@ _RULES = [
 ]
 
 
+_TAG = re.compile(r"<[^>]+>")
+_CODE = re.compile(r"(?is)<pre\b[^>]*>(.*?)</pre>|<code\b[^>]*>(.*?)</code>")
+_TABLE = re.compile(r"(?is)<table\b[^>]*>((?:(?!<table\b).)*?)</table>")
+
+
 def markdown_of(html: str | None) -> str:
-    """Markdown of a page's content, without scripts, styles and navigation."""
-    text = _DROP.sub("", html or "")
-    for pattern, new in _RULES:
-        text = pattern.sub(new, text)
+    """Markdown of a page's content, without scripts, styles and navigation; code keeps its lines, tables their cells."""
+    kept: list[str] = []
+
+    def keep(text: str) -> str:
+        kept.append(text)
+        return f"\x00{len(kept) - 1}\x00"
+
+    def code(m: re.Match) -> str:
+        plain = entities.unescape(_TAG.sub("", m[1] if m[1] is not None else m[2]))
+        if m[1] is None:
+            return keep(f"`{plain.strip()}`")
+        body = plain.strip("\n")
+        return "\n\n" + keep(f"```\n{body}\n```") + "\n\n"
+
+    def prose(text: str) -> str:
+        for pattern, new in _RULES:
+            text = pattern.sub(new, text)
+        return text
+
+    def table(m: re.Match) -> str:
+        rows = [[entities.unescape(prose(c)) for c in re.findall(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>", r)] for r in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", m[1])]
+        lines = office.table_lines(rows)
+        return "\n\n" + keep("\n".join(lines)) + "\n\n" if lines else prose(m[1])
+
+    text = _CODE.sub(code, _DROP.sub("", (html or "").replace("\x00", "")))
+    text = prose(_TABLE.sub(table, text))
     lines = [re.sub(r"[ \t]+", " ", line).strip() for line in entities.unescape(text).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    for k in reversed(range(len(kept))):  # a table may hold code, never the other way round
+        text = text.replace(f"\x00{k}\x00", kept[k])
+    return text
 
 
 def clip_pages(pages: DataFrame) -> DataFrame:
@@ -73,29 +102,13 @@ def clip_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", html_title(F.col("html")).alias("title"), "html").mapInPandas(run, "page_id long, title string, content string")
 
 
-def office_text(name: str, data: bytes) -> str:
-    """The text of a .docx, .pptx or .xlsx file, a line for each paragraph, slide text or row."""
-    with zipfile.ZipFile(BytesIO(data)) as z:
-        kind = name.rsplit(".", 1)[-1].lower()
-        wanted = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/sharedStrings\.xml"}.get(kind)
-        members = sorted((m for m in z.namelist() if wanted and re.fullmatch(wanted, m)), key=lambda m: [int(x) for x in re.findall(r"\d+", m)])
-        out = []
-        for m in members:
-            xml = z.read(m).decode("utf-8", "replace")
-            for part in re.split(r"</(?:w:p|a:p|si)>", xml):
-                words = "".join(re.findall(r"<(?:w:t|a:t|t)(?:\s[^>]*)?>([^<]*)</", part))
-                if words:
-                    out.append(entities.unescape(words))
-        return "\n".join(out)
-
-
 def extract_files(files: DataFrame) -> DataFrame:
     """path and content (text) of files (path, content binary), by extension; other kinds have a placeholder."""
 
     def one(path: str, data: bytes) -> str:
         ext = path.rsplit(".", 1)[-1].lower()
-        if ext in ("docx", "pptx", "xlsx"):
-            return office_text(path, data)
+        if ext in office.KINDS:
+            return office.office_text(path, data)
         if ext in ("html", "htm"):
             return markdown_of(data.decode("utf-8", "replace"))
         if ext in ("md", "txt", "csv", "json", "yaml", "yml"):
