@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import chat, decontam, exact_dedup, langid, licenses, near_dup, packing, pii, token_store, warc
+from . import chat, decontam, exact_dedup, filter_audit, langid, licenses, near_dup, packing, pii, token_store, warc
 from .tokens import public_path
 
 
@@ -54,11 +54,15 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", spread=True))
 
 
+def op13_recursive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pseudonyms, op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
-        op9_exact_dedup, op10_warc_segments,
+        op9_exact_dedup, op10_warc_segments, op13_recursive_audit,
     )
 }
 
@@ -140,6 +144,34 @@ SELECT conv_id, n AS n_turns, n_copies,
 FROM kept JOIN step USING (conv_id, n) GROUP BY conv_id, n, n_copies
 """,
     "op7_license_join": LICENSE_SQL,
+    "op13_recursive_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (
+  SELECT w.doc_id, part, [
+    len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails,
+    coalesce(good, false) AS good, coalesce(bad, false) AS bad
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id) l ON w.doc_id = l.doc_id
+), c AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(bad) AS bad FROM f GROUP BY ALL),
+k AS (SELECT unnest(range(1, 6)) AS k),
+o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS p FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT part, array_to_string(list_transform(p, lambda i: chr(CAST(64 + i AS INTEGER))), '') AS filter_order, k.k AS step, p[k.k] AS letter, n, good, bad,
+    fails[p[k.k]] AS fail, list_bool_or(list_transform(p[:k.k - 1], lambda i: fails[i])) IS TRUE AS before, len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM c, o, k
+), m AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN NOT before AND NOT fail THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT before AND fail THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN before AND fail THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fail AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT before AND fail THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT before AND fail THEN bad ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM m
+""",
     "op10_warc_segments": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first_id FROM p)
