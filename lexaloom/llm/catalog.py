@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import chat, decontam, exact_dedup, filter_audit, langid, licenses, near_dup, packing, pii, token_store, warc
+from . import chat, decontam, exact_dedup, filter_audit, langid, licenses, line_rules, near_dup, packing, pii, token_store, warc
 from .tokens import public_path
 
 
@@ -54,6 +54,10 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", spread=True))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_recursive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pseudonyms, op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
-        op9_exact_dedup, op10_warc_segments, op13_recursive_audit,
+        op9_exact_dedup, op10_warc_segments, op11_line_rules, op13_recursive_audit,
     )
 }
 
@@ -101,7 +105,35 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS B
 FROM w LEFT JOIN base_by USING (r) LEFT JOIN label_by USING (r) LEFT JOIN best USING (r)
 """
 
+LINE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{line_rules.SPACE}+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+rep AS (SELECT r, unnest(range(i, i + 5)) AS k FROM g SEMI JOIN (SELECT r, g FROM g GROUP BY ALL HAVING count(*) > 1) m ON g.r = m.r AND g.g = m.g),
+repeats AS (SELECT r, count(DISTINCT k) AS n FROM rep GROUP BY r),
+line AS (SELECT r, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+own AS (SELECT r, count(*) AS n_lines, count(DISTINCT x) AS n_left FROM line GROUP BY r),
+pass AS (
+  SELECT r, x, length(regexp_replace(x, '{line_rules.SPACE}+', '', 'g')) AS chars FROM (SELECT DISTINCT r, x FROM line)
+  WHERE NOT (length(x) < {line_rules.SHORT} AND (NOT regexp_matches(x, '{line_rules.SENTENCE_END.replace("'", "''")}')
+      OR regexp_matches(x || ' ', '{line_rules.MENU}') OR regexp_matches(x, '{line_rules.FURNITURE}')))
+    AND NOT (length(regexp_replace(x, '[^{line_rules.SEPARATORS}]', '', 'g')) >= 2
+      AND 4 * length(regexp_replace(x, '[^{line_rules.SEPARATORS}]', '', 'g')) >= len(list_filter(regexp_split_to_array(x, '{line_rules.SPACE}+'), lambda y: y <> '')))
+    AND NOT 10 * length(regexp_replace(x, '[^{line_rules.SYMBOLS}]', '', 'g')) > length(regexp_replace(x, '{line_rules.SPACE}', '', 'g'))
+), kept AS (SELECT r, count(*) AS n, sum(chars) AS chars FROM pass GROUP BY r),
+made AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{line_rules.SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^{line_rules.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines - n_left, 0) AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(kept.n, 0) AS n_lines_kept, CAST(coalesce(kept.chars, 0) AS BIGINT) AS kept_chars
+  FROM w LEFT JOIN repeats USING (r) LEFT JOIN own USING (r) LEFT JOIN kept USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (word_chars - kept_chars) <= {line_rules.LOST_PERCENT} * word_chars AS kept
+FROM made
+"""
+
 ORACLE_SQL = {
+    "op11_line_rules": LINE_SQL,
     "op4_suffix_automaton": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, w, len(w) AS n
