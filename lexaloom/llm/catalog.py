@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaloom.session import table
 
-from . import chat, decontam, exact_dedup, filter_audit, langid, licenses, line_rules, near_dup, packing, pii, token_store, warc
+from . import alignment, chat, decontam, exact_dedup, filter_audit, langid, licenses, line_rules, near_dup, packing, pii, token_store, warc
 from .tokens import public_path
 
 
@@ -58,6 +58,10 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(table(spark, sf_dir, "documents", spread=True), public_path(), public_path("piece_bpe_32k.model"))
+
+
 def op13_recursive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_feistel_pseudonyms, op2_bbit_minhash, op3_snapshot_collapse, op4_suffix_automaton, op5_token_store, op6_output_codes, op7_license_join, op8_genetic_packing,
-        op9_exact_dedup, op10_warc_segments, op11_line_rules, op13_recursive_audit,
+        op9_exact_dedup, op10_warc_segments, op11_line_rules, op12_diagonal_alignment, op13_recursive_audit,
     )
 }
 

@@ -61,34 +61,36 @@ def line_passes(line: Column) -> Column:
     return ~(short | menu | odd)
 
 
-_SAME = "shiftright({0}, bits) = shiftright({1}, bits)"
-#: Steps to the number of words in windows of five that occur twice or more, from words and n; each is a column of the next.
-_REPEATS = [
-    {"bits": "length(bin(n))"},
-    {"packed": "CASE WHEN n < 6 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(sequence(0, n - 5), "
-               "i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]), bits) | cast(i AS bigint))) END"},
-    {"met": f"filter(packed, (x, j) -> j > 0 AND {_SAME.format('get(packed, j - 1)', 'x')} OR j < size(packed) - 1 AND {_SAME.format('get(packed, j + 1)', 'x')})"},
-    {"grams": "array_sort(transform(met, x -> named_struct('gram', array_join(slice(words, cast(x & (shiftleft(1L, bits) - 1) AS int) + 1, 5), ' '), "
-              "'at', cast(x & (shiftleft(1L, bits) - 1) AS int))))"},
-    {"places": "sort_array(transform(filter(grams, (x, j) -> j > 0 AND get(grams, j - 1).gram = x.gram OR j < size(grams) - 1 AND get(grams, j + 1).gram = x.gram), x -> x.at))"},
-    {"n_repeat_words": "cast(aggregate(transform(places, (x, j) -> least(5, x - coalesce(get(places, j - 1), -5))), 0L, (s, k) -> s + k) AS bigint)"},
-]
+def _repeats() -> str:
+    """SQL of the number of words in windows of five that occur twice or more, from an array of words.
+
+    Each step is bound to its name by a lambda over an array of one, so it is worked out once a row wherever the optimizer puts the expression.
+    """
+    place = "cast(x & (shiftleft(1L, bits) - 1) AS int)"
+    same = lambda k: f"shiftright(get(packed, j {k}), bits) = shiftright(x, bits)"
+    steps = [
+        ("ws", "words"), ("n", "size(ws)"), ("bits", "length(bin(n))"),
+        ("packed", "CASE WHEN n < 6 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(sequence(0, n - 5), i -> shiftleft("
+                   "xxhash64(ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]), bits) | cast(i AS bigint))) END"),
+        ("met", f"filter(packed, (x, j) -> j > 0 AND {same('- 1')} OR j < size(packed) - 1 AND {same('+ 1')})"),
+        ("grams", f"array_sort(transform(met, x -> named_struct('gram', array_join(slice(ws, {place} + 1, 5), ' '), 'at', {place})))"),
+        ("places", "sort_array(transform(filter(grams, (x, j) -> j > 0 AND get(grams, j - 1).gram = x.gram OR j < size(grams) - 1 AND get(grams, j + 1).gram = x.gram), x -> x.at))"),
+    ]
+    out = "aggregate(transform(places, (x, j) -> least(5, x - coalesce(get(places, j - 1), -5))), 0L, (s, k) -> s + k)"
+    for name, value in reversed(steps):
+        out = f"transform(array({value}), {name} -> {out})[0]"
+    return f"cast({out} AS bigint)"
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs with the columns of judge(), and cleaned_text: the lines that pass all rules.
+    """row (a struct of the columns of docs), the columns of judge(), and cleaned_text: the lines that pass all rules.
 
-    Lines without a word are left out of cleaned_text. Columns of docs that bear
-    one of these names, whatever their case, are replaced.
+    Lines without a word are left out of cleaned_text.
     """
-    taken = {"body", "words", "n", "lines", "left", "kept_lines", *(c for s in _REPEATS for c in s), *_ADDED}
-    other = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*other, text.alias("body"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumns({"words": F.array_remove(F.split("body", f"{SPACE}+"), ""), "lines": F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     rows = rows.withColumns({"n": F.size("words"), "left": F.array_distinct("lines")})
-    for step in _REPEATS:
-        rows = rows.withColumns({c: F.expr(e) for c, e in step.items()})
+    rows = rows.withColumn("n_repeat_words", F.expr(_repeats()))
     rows = rows.withColumn("kept_lines", F.filter("left", line_passes))
     rows = rows.withColumns({
         "n_words": F.col("n").cast("long"), "word_chars": _without(F.col("body"), f"{SPACE}+").cast("long"), "n_symbols": _without(F.col("body"), f"[^{SYMBOLS}]+").cast("long"),
@@ -98,11 +100,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("kept_chars", _without(F.col("cleaned_text"), f"{SPACE}+").cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("kept_chars")) <= LOST_PERCENT * F.col("word_chars")))
-    return rows.select(*other, *_ADDED)
+    return rows.select("row", *_DIGEST, "cleaned_text")
 
 
 _DIGEST = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_kept", "kept_chars"]
-_ADDED = [*_DIGEST, "cleaned_text"]
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -113,10 +114,10 @@ def judge(docs: DataFrame) -> DataFrame:
     long text takes one task as long as its words take to sort. An empty table
     gives no row. Other columns are not read.
     """
-    return cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", *_DIGEST)
+    return cleaned(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), *_DIGEST)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the text of their passing lines, in the columns of docs."""
     done = cleaned(docs).where("kept")
-    return done.select(*(F.col("cleaned_text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return done.select(*(F.col("cleaned_text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
