@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-from lexaloom.operators import changes, chunking, dedup, graph, matching, quality, retrieval
+from lexaloom.operators import changes, chunking, dedup, graph, matching, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
@@ -246,14 +246,41 @@ def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From page texts to scored links: links and related items by the cascade, sources and types from front matter."""
+    r = graph.relevance(*_page_tables(spark, sf_dir))
+    return r.select("a", "b", "direct", "listed", "shared", F.round("adamic", 4).alias("adamic"), F.round("relevance", 4).alias("relevance"))
+
+
+def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """nodes, edges, related and sources of the linked pages."""
     p = upkeep.linked_pages(spark, sf_dir).withColumn("id", T.file_stem(F.col("path")))
     refs = lambda items: p.select("id", F.explode(F.array_distinct(items)).alias("target"))
     links, listed = refs(T.link_targets(T.body_of(F.col("content")))), refs(T.array_field(F.col("content"), "related"))
     found = graph.resolve_cascade(links.unionByName(listed).select(F.col("target").alias("ref")), p.select("id"))
     sources = p.select("id", F.explode(T.array_field(F.col("content"), "sources")).alias("source"))
-    nodes = p.select("id", T.page_type(F.col("content")).alias("type"))
-    r = graph.relevance(nodes, graph.edges_of(links, found), graph.edges_of(listed, found), sources)
-    return r.select("a", "b", "direct", "listed", "shared", F.round("adamic", 4).alias("adamic"), F.round("relevance", 4).alias("relevance"))
+    return p.select("id", T.page_type(F.col("content")).alias("type")), graph.edges_of(links, found), graph.edges_of(listed, found), sources
+
+
+def all_relevance_sql(edges: str, related: str, nodes: str, sources: str, k: int) -> str:
+    """The k most relevant other nodes of each node, from every pair of nodes."""
+    return f"""WITH e AS {edges}, r AS {related}, n AS {nodes}, src AS {sources},
+  deg AS (SELECT node, count(*) AS n_links FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),
+  near AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e UNION SELECT src, dst FROM r),
+  part AS (
+    SELECT src AS a, dst AS b, 3.0::DOUBLE AS v FROM e UNION ALL SELECT dst, src, 3 FROM e UNION ALL SELECT src, dst, 4.5 FROM r UNION ALL SELECT dst, src, 4.5 FROM r
+    UNION ALL SELECT p.id, q.id, 4 FROM src p JOIN src q ON p.s = q.s
+    UNION ALL SELECT p.x, q.x, 1.5 / ln(greatest(coalesce(n_links, 0), 2)) FROM near p JOIN near q ON p.y = q.y LEFT JOIN deg ON deg.node = p.y
+  ), total AS (SELECT a, b, sum(v) AS v FROM part WHERE a <> b GROUP BY a, b),
+  aff AS (SELECT * FROM (VALUES {", ".join(f"('{x}', '{y}', {graph.AFFINITY[i][j]})" for i, x in enumerate(graph.TYPES) for j, y in enumerate(graph.TYPES))}) t(x, y, f))
+  SELECT node, other, relevance, rank FROM (
+    SELECT p.id AS node, q.id AS other, round(coalesce(v, 0) + coalesce(f, 0.5)::DOUBLE, 6) AS relevance, row_number() OVER (PARTITION BY p.id ORDER BY round(coalesce(v, 0) + coalesce(f, 0.5)::DOUBLE, 6) DESC, q.id) AS rank
+    FROM n p JOIN n q ON p.id <> q.id LEFT JOIN total ON a = p.id AND b = q.id LEFT JOIN aff ON aff.x = p.type AND aff.y = q.type
+  ) WHERE rank <= {k}"""
+
+
+@query(all_relevance_sql(upkeep.PAGE_EDGES, upkeep.PAGE_RELATED, upkeep.PAGE_NODES, upkeep.PAGE_SOURCES, 5))
+def related_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most relevant other pages of every page, linked or not, from page texts."""
+    return relatedness.related_pages(*_page_tables(spark, sf_dir), k=5, hub=24)
 
 
 @query(
