@@ -25,27 +25,31 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .token_store import parts
-from .tokens import Encoder, _bytes_of_units
+from .tokens import _ODD, Encoder, _bytes_of_units
 from .work import batch, materialize, tidied
 
-#: Units kept in each of two generations by a Python worker, and the longest that are kept.
+#: Units whose B ids are kept in each of two generations by a Python worker, and the longest that are kept.
 CACHE_UNITS, LONGEST_UNIT = 100_000, 64
-#: Longest stretch of a probe.
-LONGEST_PROBE = 1 << 16
-#: Links in a batch of aligned documents, about.
-HELD_LINKS = 1_000_000
+#: First and longest stretch of a probe.
+FIRST_PROBE, LONGEST_PROBE = 8, 1 << 16
+#: Characters that are encoded together, and tokens of A that are aligned together, if of more than one document.
+TOGETHER, ALIGNED = 1 << 21, 1 << 17
+#: An id of A and one of B are one number: the first is above this many bits.
+B_BITS = 24
 
-#: A single space between a character that is none and a visible one.
+#: A single space between a character that is none and a visible one, where texts are cut.
 _CUT = re.compile("(?<=[^ ]) (?=[!-~¡-ᙿ])")
+_VISIBLE = re.compile("[!-~¡-ᙿ]")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -65,50 +69,97 @@ class Pair:
         n, m = len(self.bytes_a), len(self.bytes_b)
         #: Each id with the mark behind it: A inside of a group and at its end, B inside and at its end.
         self.names = np.array(
-            [f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)] + [f"{i}," for i in range(m)] + [f"{i};" for i in range(m)], object
+            [b"%d," % i for i in range(n)] + [b"%d|" % i for i in range(n)] + [b"%d," % i for i in range(m)] + [b"%d;" % i for i in range(m)], object
         )
-        self.young: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-        self.old: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def _made(self, units: list[str], ids_a: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        out = []
-        for unit, a, b in zip(units, ids_a, self.b.encode(units, num_threads=1), strict=True):
-            whole = b" " + unit.encode()
-            same = b"".join(map(self.bytes_b.__getitem__, b)) == whole and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole
-            out.append((a, np.array(b, np.int32)) if same else None)
-        return out
-
-    def _inner(self, units: list[str]) -> None:
-        """Keep the ids of units that are not yet known; None where their joined bytes differ."""
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def _ids_a(self, units: list[str]) -> list[bytes]:
+        """A's ids of each unit with a space before it."""
+        plain = [u for u in units if _VISIBLE.match(u)]
+        if len(plain) == len(units):
+            return self.a._ids_of(plain)
+        found = iter(self.a._ids_of(plain))
+        return [next(found) if _VISIBLE.match(u) else self.a._whole(" " + u) for u in units]
+
+    def _ids_b(self, units: list[str]) -> list[bytes | None]:
+        """B's ids of each unit, which adds the space; None where their bytes are not the unit's."""
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = [*map(young.get, units)]
+        holes = [k for k, x in enumerate(found) if x is None]
         new = []
-        for u in set(units):
-            if u not in self.young:
-                if u in self.old:
-                    self.young[u] = self.old[u]
-                else:
-                    new.append(u)
-        if new:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in self.a._ids_of(new)]
-            self.young.update(zip(new, self._made(new, ids), strict=True))
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of A and of B of each text; None for an empty text and where either's bytes are not those of space and text."""
-        cut = [_CUT.split(t) for t in texts]
-        heads = [c[0] for c in cut]
-        first = self._made(heads, [np.array(e.ids, np.int32) for e in self.a.tokenizer.encode_batch_fast([" " + h for h in heads], add_special_tokens=False)])
-        self._inner([u for c in cut for u in c[1:]])
-        out = []
-        for text, c, head in zip(texts, cut, first, strict=True):
-            found = [head, *map(self.young.__getitem__, c[1:])]
-            out.append(None if not text or None in found else (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])))
-        for u in [u for u in self.young if len(u) > LONGEST_UNIT]:
-            del self.young[u]
-        return out
-
-    def groups_text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3``."""
+        for k in holes:
+            u = units[k]
+            if u in old:
+                found[k] = old[u]
+                young[u] = old[u]
+            else:
+                new.append(k)
+        names = self.bytes_b.__getitem__
+        for k, ids in zip(new, self.b.encode([units[k] for k in new], num_threads=1), strict=True):
+            u = units[k]
+            if b"".join(map(names, ids)) == b" " + u.encode():
+                found[k] = array("i", ids).tobytes()
+                if len(u) <= LONGEST_UNIT:
+                    young[u] = found[k]
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of A and of B, and how many of each every text has.
+
+        A text that is empty, or for which the bytes of either's ids are not those of space and text, has none.
+        """
+        odd = [t[:1] == " " or _ODD.search(t) is not None for t in texts]
+        plain = pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.large_string()), " ")
+        other = [_CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
+        order = np.argsort(odd, kind="stable")  # plain texts first
+        counts = np.concatenate((pc.list_value_length(plain).to_numpy(zero_copy_only=False), [len(x) for x in other])).astype(np.int64)
+        cut = pa.concat_arrays([plain.flatten(), pa.array([u for x in other for u in x], pa.large_string())]).dictionary_encode()
+        codes, units = cut.indices.to_numpy().astype(np.int64), cut.dictionary.to_pylist()
+        ids_a, ids_b = self._ids_a(units), self._ids_b(units)
+        size_a = np.array([len(x) // 4 for x in ids_a], np.int64)
+        size_b = np.array([0 if x is None else len(x) // 4 for x in ids_b], np.int64)
+        of_text = np.repeat(order, counts)
+        n_bytes = np.array([len(t.encode()) for t in texts], np.int64)
+        flat_a = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64)
+        unit_bytes = np.diff(np.concatenate(([0], np.cumsum(self.len_a[flat_a])))[np.concatenate(([0], np.cumsum(size_a)))])
+        lost = np.bincount(of_text, size_b[codes] == 0, len(texts)) + (np.bincount(of_text, unit_bytes[codes], len(texts)) != n_bytes + 1)
+        good = (lost == 0) & (n_bytes > 0)
+        if any(odd):  # back in the order of the texts
+            at = np.argsort(of_text, kind="stable")
+            of_text, codes = of_text[at], codes[at]
+        kept = good[of_text]
+        own, codes = of_text[kept], codes[kept]
+        flat_b = np.frombuffer(b"".join([x or b"" for x in ids_b]), "<i4").astype(np.int64)
+        each = [np.bincount(own, s[codes], len(texts)).astype(np.int64) for s in (size_a, size_b)]
+        return _gathered(flat_a, size_a, codes), _gathered(flat_b, size_b, codes), *each
+
+    def align_texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """The numbers of A's and B's ids and of groups, the digest of the groups and the links of each text."""
+        a, b, n_a, n_b = self.encode(texts)
+        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+        first = 0
+        while first < len(texts):
+            before_a, before_b = end_a[first] - n_a[first], end_b[first] - n_b[first]
+            last = max(first + 1, int(np.searchsorted(end_a, before_a + ALIGNED, "right")))
+            own_a, own_b = a[before_a : end_a[last - 1]], b[before_b : end_b[last - 1]]
+            # each text's end is an end of both, so texts can be aligned one behind the other
+            last_a, last_b = spread(*align(self.len_a[own_a].cumsum().tolist(), self.len_b[own_b].cumsum().tolist()))
+            names = self._names(own_a, own_b, last_a, last_b)
+            links = own_a[last_a] << B_BITS | own_b[last_b]
+            group = np.searchsorted(last_a, end_a[first:last] - before_a).tolist()
+            named = (end_a[first:last] - before_a + end_b[first:last] - before_b).tolist()
+            g = m = 0
+            for k, g_end, m_end in zip(range(first, last), group, named, strict=True):
+                digest = hashlib.sha256(b"".join(names[m:m_end].tolist())[:-1]).hexdigest() if m_end > m else ""
+                yield int(n_a[k]), int(n_b[k]), g_end - g, digest, links[g:g_end]
+                g, m = g_end, m_end
+            first = last
+
+    def _names(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
+        """The groups as pieces of ``a1,a2|b1;a3|b2,b3;``, one for each id."""
         n, m = len(self.bytes_a), len(self.bytes_b)
         size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         names = np.empty(len(a) + len(b), np.int64)
@@ -117,7 +168,16 @@ class Pair:
         names[at_a], names[at_b] = a, b + 2 * n
         names[at_a[last_a]] += n
         names[at_b[last_b]] += m
-        return "".join(self.names[names].tolist())[:-1]
+        return self.names[names]
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The values of each code's stretch of flat, one stretch behind the other."""
+    if not len(codes):
+        return flat[:0]
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + n, n) + np.arange(ends[-1])]
 
 
 def token_bytes_a(enc: Encoder) -> list[bytes]:
@@ -151,30 +211,16 @@ def most_pairs(bytes_a: list[bytes], bytes_b: list[bytes]) -> int:
     return inside_a + sum(by_a.get(x[k:], 0) for x in bytes_b for k in range(1, len(x)))
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """The places of the tokens of A and of B at which the groups end.
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Where groups end, as runs: a run of k groups ends at the tokens i, i + 1, ... of A and j, j + 1, ... of B.
 
-    Both lists ascend strictly and end with the same number. i and j stand at
-    the first tokens of a group; j - i is the current shift.
+    Both lists ascend strictly and end with the same number. All groups of a run
+    but the first are one token each, at the run's shift j - i. Returns i, j and k of the runs.
     """
-    last_a, last_b = [], []
+    at_a, at_b, sizes = [], [], []
     i = j = 0
     n = len(ends_a)
     while i < n:
-        width, growing = 1, True
-        while width:  # probe along the diagonal
-            run = ends_a[i : i + width]
-            if run and run == ends_b[j : j + width]:
-                k = len(run)
-                last_a.extend(range(i, i + k))
-                last_b.extend(range(j, j + k))
-                i += k
-                j += k
-            else:
-                growing = False
-            width = min(2 * width, LONGEST_PROBE) if growing else width // 2
-        if i >= n:
-            break
         x, y = ends_a[i], ends_b[j]
         while x != y:  # an irregular group
             if x < y:
@@ -183,11 +229,29 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = ends_b[j]
-        last_a.append(i)
-        last_b.append(j)
+        at_a.append(i)
+        at_b.append(j)
+        first = i
         i += 1
         j += 1
-    return last_a, last_b
+        width, growing = FIRST_PROBE, True
+        while width and i < n:  # probe along the diagonal
+            run = ends_a[i : i + width]
+            if run == ends_b[j : j + width]:
+                i += len(run)
+                j += len(run)
+            else:
+                growing = False
+            width = min(2 * width, LONGEST_PROBE) if growing else width // 2
+        sizes.append(i - first)
+    return at_a, at_b, sizes
+
+
+def spread(at_a: list[int], at_b: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the last tokens of all groups, from runs."""
+    n = np.array(sizes, np.int64)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.array(at_a, np.int64), n) + inside, np.repeat(np.array(at_b, np.int64), n) + inside
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -204,31 +268,29 @@ _ALIGNED = pa.schema(
     [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int64()))]
 )
 _ALIGNED_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"
-#: An id of A and one of B are one number: the first is above this many bits.
-B_BITS = 24
+
+
+def _parted(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Keys and texts (null as empty) of a batch, in parts of about TOGETHER characters."""
+    keys, texts, held = [], [], 0
+    for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        text = text.as_py() or ""
+        if keys and held + len(text) > TOGETHER:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+        keys.append(key)
+        texts.append(text)
+        held += len(text)
+    if keys:
+        yield keys, texts
 
 
 def _aligner(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(path_a, path_b)
         for arrived in batches:
-            for keys, texts in parts(arrived):
-                rows, held = [], 0
-                for key, ids in zip(keys, both.encode(texts), strict=True):
-                    if ids is None:
-                        rows.append((key, 0, 0, 0, "", np.zeros(0, np.int64)))
-                        continue
-                    a, b = ids
-                    last_a, last_b = align(both.len_a[a].cumsum().tolist(), both.len_b[b].cumsum().tolist())
-                    at_a, at_b = np.array(last_a), np.array(last_b)
-                    digest = hashlib.sha256(both.groups_text(a, b, at_a, at_b).encode()).hexdigest()
-                    rows.append((key, len(a), len(b), len(at_a), digest, a[at_a].astype(np.int64) << B_BITS | b[at_b]))
-                    held += len(at_a)
-                    if held > HELD_LINKS:
-                        yield _packed(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _packed(rows)
+            for keys, texts in _parted(arrived):
+                yield _packed([(key, *found) for key, found in zip(keys, both.align_texts(texts), strict=True)])
 
     return run
 

@@ -94,7 +94,8 @@ def test_diagonal_runs():
             b += sorted(rng.sample(range(at + 1, stop), rng.randint(0, 2))) + [stop]
             at = stop
         both = sorted(set(a) & set(b))
-        assert alignment.align(a, b) == ([a.index(e) for e in both], [b.index(e) for e in both])
+        last_a, last_b = alignment.spread(*alignment.align(a, b))
+        assert (last_a.tolist(), last_b.tolist()) == ([a.index(e) for e in both], [b.index(e) for e in both])
 
 
 def test_pairs_are_bounded_by_the_vocabularies(tokenizer):
