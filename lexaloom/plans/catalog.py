@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-from lexaloom.operators import changes, chunking, dedup, graph, matching, quality, relatedness, retrieval
+from lexaloom.operators import changes, chunking, dedup, graph, matching, neighbours, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
@@ -120,6 +120,16 @@ def semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.neighbours(c, own, q, 8).select("vec_id", "page", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT id, other, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), other) AS rank FROM p) WHERE rank <= 8"""
+)
+def page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest other vectors of every vector, exactly."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest_join(e, 8, exact=True).select("id", "other", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(
     f"""WITH kw AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS kr FROM {_KEYWORD}),
     v AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS vr FROM (
