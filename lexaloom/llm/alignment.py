@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import _ODD, Encoder, _bytes_of_units
-from .work import batch, materialize, tidied
+from .work import batch, materialize, tidied, tidy
 
 #: Units whose B ids are kept in each of two generations by a Python worker, and the longest that are kept.
 CACHE_UNITS, LONGEST_UNIT = 100_000, 64
@@ -44,8 +44,8 @@ CACHE_UNITS, LONGEST_UNIT = 100_000, 64
 FIRST_PROBE, LONGEST_PROBE = 8, 1 << 16
 #: Characters that are encoded together, and tokens of A that are aligned together, if of more than one document.
 TOGETHER, ALIGNED = 1 << 21, 1 << 17
-#: An id of A and one of B are one number: the first is above this many bits.
-B_BITS = 24
+#: Documents whose links are looked up together.
+TOGETHER_DOCS = 1024
 
 #: A single space between a character that is none and a visible one, where texts are cut.
 _CUT = re.compile("(?<=[^ ]) (?=[!-~¡-ᙿ])")
@@ -67,6 +67,9 @@ class Pair:
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         n, m = len(self.bytes_a), len(self.bytes_b)
+        #: An id of A and one of B are one number, B's in the lowest bits; it is four bytes wide if that is enough.
+        self.bits = (m - 1).bit_length()
+        self.narrow = (n - 1).bit_length() + self.bits <= 31
         #: Each id with the mark behind it: A inside of a group and at its end, B inside and at its end.
         self.names = np.array(
             [b"%d," % i for i in range(n)] + [b"%d|" % i for i in range(n)] + [b"%d," % i for i in range(m)] + [b"%d;" % i for i in range(m)], object
@@ -148,7 +151,7 @@ class Pair:
             # each text's end is an end of both, so texts can be aligned one behind the other
             last_a, last_b = spread(*align(self.len_a[own_a].cumsum().tolist(), self.len_b[own_b].cumsum().tolist()))
             names = self._names(own_a, own_b, last_a, last_b)
-            links = own_a[last_a] << B_BITS | own_b[last_b]
+            links = own_a[last_a] << self.bits | own_b[last_b]
             group = np.searchsorted(last_a, end_a[first:last] - before_a).tolist()
             named = (end_a[first:last] - before_a + end_b[first:last] - before_b).tolist()
             g = m = 0
@@ -264,10 +267,8 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _PAIRS[path_a, path_b]
 
 
-_ALIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int64()))]
-)
-_ALIGNED_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"
+_HEAD = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string())]
+_HEAD_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
 
 
 def _parted(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -290,49 +291,60 @@ def _aligner(path_a: str, path_b: str):
         both = pair(path_a, path_b)
         for arrived in batches:
             for keys, texts in _parted(arrived):
-                yield _packed([(key, *found) for key, found in zip(keys, both.align_texts(texts), strict=True)])
+                rows = [(key, *found) for key, found in zip(keys, both.align_texts(texts), strict=True)]
+                *columns, links = zip(*rows, strict=True)
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int32)
+                values = np.concatenate(links).astype(np.int32 if both.narrow else np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                yield batch(pa.schema([*_HEAD, ("links", listed.type)]), *columns, listed)
 
     return run
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    *columns, links = zip(*rows, strict=True)
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int32)
-    return batch(_ALIGNED, *columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(links))))
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a list column, and the number of each row's."""
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones; what the worker has kept for encoding goes first."""
+    _PAIRS.clear()
+    tidy()
     for b in batches:
+        for start in range(0, b.num_rows, TOGETHER_DOCS):
+            yield b.slice(start, TOGETHER_DOCS)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches):
         values, counts = np.unique(_flat(b.column(0))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["link", "n"])
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256 and links (A's id shifted by B_BITS, with B's below) of each document; a map."""
+def aligned(docs: DataFrame, path_a: str, path_b: str, narrow: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and links (A's id in the upper bits, B's in the lower) of each document; a map.
+
+    narrow: what Pair says of the two vocabularies.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(_aligner(path_a, path_b)), _ALIGNED_DDL)
+    return rows.mapInArrow(tidied(_aligner(path_a, path_b)), f"{_HEAD_DDL}, links array<{'int' if narrow else 'long'}>")
 
 
-def link_counts(found: DataFrame) -> DataFrame:
+def link_counts(found: DataFrame, bits: int) -> DataFrame:
     """link, n (its number of occurrences in the corpus) and best (no other link of its B id has more), from aligned()."""
     counted = found.select("links").mapInArrow(_counted, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
-    b = F.col("link").bitwiseAND(F.lit((1 << B_BITS) - 1))
+    b = F.col("link").bitwiseAND(F.lit((1 << bits) - 1))
     return counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(b)))
 
 
-_SUMMED = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
-_SUMMED_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_best long, count_sum long"
+_SUMMED = pa.schema([*_HEAD, ("n_best", pa.int64()), ("count_sum", pa.int64())])
+_SUMMED_DDL = f"{_HEAD_DDL}, n_best long, count_sum long"
 
 
 def _looker(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = shared.value
-        for b in batches:
+        for b in _slices(batches):
             values, sizes = _flat(b.column(5))
             at = np.searchsorted(keys, values)
             ends = np.cumsum(sizes)
@@ -354,14 +366,14 @@ def cross_align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    found = materialize(aligned(docs, path_a, path_b), "aligned")
-    table = materialize(link_counts(found), "link-counts")
     here = Pair(path_a, path_b)
+    found = materialize(aligned(docs, path_a, path_b, here.narrow), "aligned")
+    table = materialize(link_counts(found, here.bits), "link-counts")
     most = most_pairs(here.bytes_a, here.bytes_b)
     if table.count() > most:
         raise ValueError(f"more than {most} id pairs are linked, which the two vocabularies do not allow")
     got = table.orderBy("link").toArrow()
-    columns = tuple(got.column(c).to_numpy() for c in ("link", "n", "best"))
+    columns = tuple(got.column(c).to_numpy().astype(t) for c, t in (("link", np.int32 if here.narrow else np.int64), ("n", np.int64), ("best", bool)))
     shared = spark.sparkContext.broadcast(columns)
     done = found.select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links").mapInArrow(_looker(shared), _SUMMED_DDL)
     return done.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
