@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,30 +119,3 @@ def entity_summary(content: Column, description: Column, most: int = 200) -> Col
     lines = F.filter(F.split(content, "\n"), lambda l: (F.trim(l) != "") & ~l.rlike(r"^\s*(#|\||---|```)"))
     text = F.trim(F.coalesce(description, F.get(lines, F.lit(0)), F.lit("")))
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
-
-
-_CODE = re.compile(r"```.*?```|`[^`\n]*`|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", re.S)
-
-
-def auto_link(text: str, titles: dict[str, str], most: int = 15) -> str:
-    """text with the first plain mention of each title linked: longest titles first, not in code or links, most links at all."""
-    free, at = [], 0
-    for m in _CODE.finditer(text):
-        free.append((at, m.start()))
-        at = m.end()
-    free.append((at, len(text)))
-    taken: list[tuple[int, int, str]] = []
-    for title in sorted(titles, key=lambda t: (-len(t), t)):
-        cjk = any("㐀" <= c <= "鿿" for c in title)
-        if len(taken) == most or len(title) < (2 if cjk else 3):
-            continue
-        pattern = re.compile(re.escape(title) if cjk else rf"(?<!\w){re.escape(title)}(?!\w)", re.I)
-        for a, b in free:
-            m = next((m for m in pattern.finditer(text, a, b) if not any(m.start() < y and x < m.end() for x, y, _ in taken)), None)
-            if m:
-                taken.append((m.start(), m.end(), titles[title]))
-                break
-    for a, b, slug in sorted(taken, reverse=True):
-        shown = text[a:b]
-        text = text[:a] + (f"[[{slug}]]" if shown == slug else f"[[{slug}|{shown}]]") + text[b:]
-    return text

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaloom.functions import text as T
-from lexaloom.operators import changes, chunking, dedup, graph, matching, neighbours, quality, relatedness, retrieval
+from lexaloom.operators import changes, chunking, dedup, graph, linking, matching, neighbours, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import table
 from lexaloom.sources import pages as page_sources
@@ -642,3 +642,13 @@ def task_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 for part in (maintenance, upkeep):
     QUERIES.update(part.QUERIES)
     ORACLE_SQL.update(part.ORACLE_SQL)
+
+
+@query()
+def link_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with links to the test items whose first two words they mention: path, n_added and the new text's SHA-256."""
+    item = table(spark, sf_dir, "benchmark")
+    title = F.regexp_extract("text", r"([\p{L}\p{N}]+ [\p{L}\p{N}]+)", 1)
+    targets = item.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("slug"), title.alias("title"))
+    done = linking.link_pages(wiki_pages(spark, sf_dir), targets)
+    return done.select("path", "n_added", F.sha2("content", 256).alias("content_sha256"))

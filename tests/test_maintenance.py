@@ -19,7 +19,6 @@ def test_links(spark):
     keys = F.array(F.lit("gonepage"), F.lit("z"))
     assert one(spark, lambda c: M.without_listing(c, keys), text) == "a [[x|X y]] b [[z]]\n- [[kept]]"
     assert one(spark, lambda c: M.without_links(c, keys), "a [[z]] [[gone-page|G]] [[x]]") == "a z G [[x]]"
-    assert M.auto_link("Spark and `Spark` and apache spark", {"Spark": "spark", "Apache Spark": "apache-spark"}) == "[[spark|Spark]] and `Spark` and [[apache-spark|apache spark]]"
 
 
 def test_logs_and_questions(spark):
