@@ -37,7 +37,7 @@ from .tokens import encoder
 from .work import batch, materialize, tidied
 
 CAPACITY = 2048
-BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 5, 8
+BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 8, 24
 #: A level that saves a smaller share of the open sequences is the last.
 LEAST_SAVED = 0.001
 #: A bin counts as well filled with at most this share of its room free.
@@ -76,76 +76,85 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_cutter(tokenizer, end_id, capacity)), _PIECE_DDL)
 
 
-def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Place the items of order, one by one, where the least room stays free; bins is extended in place.
+#: The groups of a packing and how full each is. A group's list is never changed, so packings share those that are alike.
+Packing = tuple[list[list[int]], list[int]]
+
+
+def best_fit(sizes: list[int], order: list[int], packing: Packing, capacity: int) -> Packing:
+    """Place the items of order, one by one, where the least room stays free; packing's outer lists are changed in place.
 
     Bins are kept by their free room, and a bit set of the rooms that occur finds the least that suffices.
     """
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0
-    for k, members in enumerate(bins):
-        room = capacity - sum(sizes[i] for i in members)
-        if room:
-            by_room[room].append(k)
-            rooms |= 1 << room
+    bins, fills = packing
+    by_room: dict[int, list[int]] = {}
+    for k, fill in enumerate(fills):
+        if fill < capacity:
+            by_room.setdefault(capacity - fill, []).append(k)
+    rooms = sum(1 << room for room in by_room)
     for i in order:
         size = sizes[i]
         wide = rooms >> size
         if wide:
             room = size + (wide & -wide).bit_length() - 1
-            k = by_room[room].pop()
-            if not by_room[room]:
+            held = by_room[room]
+            k = held.pop()
+            if not held:
                 rooms ^= 1 << room
-            bins[k].append(i)
+            bins[k] = [*bins[k], i]
+            fills[k] += size
         else:
             room, k = capacity, len(bins)
             bins.append([i])
+            fills.append(size)
         room -= size
         if room:
-            if not by_room[room]:
+            if rooms >> room & 1:
+                by_room[room].append(k)
+            else:
                 rooms |= 1 << room
-            by_room[room].append(k)
-    return bins
+                by_room[room] = [k]
+    return packing
 
 
-def crossover(into: list[list[int]], source: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(into: Packing, source: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """into with about half of source's well-filled bins injected whole."""
     least = capacity * (1 - SLACK)
-    injected = [m for m in source if rng.random() < 0.5 and sum(sizes[i] for i in m) >= least]
-    taken = bytearray(len(sizes))
-    for m in injected:
-        for i in m:
-            taken[i] = 1
-    child, displaced = [m[:] for m in injected], []
-    for m in into:
-        left = [i for i in m if not taken[i]]
-        if len(left) == len(m):
-            child.append(left)
+    chance = rng.random
+    picked = [k for k, fill in enumerate(source[1]) if chance() < 0.5 and fill >= least]
+    bins, fills = [source[0][k] for k in picked], [source[1][k] for k in picked]
+    taken = {i for m in bins for i in m}
+    displaced = []
+    for m, fill in zip(*into, strict=True):
+        if taken.isdisjoint(m):
+            bins.append(m)
+            fills.append(fill)
         else:
-            displaced += left
+            displaced += [i for i in m if i not in taken]
     displaced.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit(sizes, displaced, child, capacity)
+    return best_fit(sizes, displaced, (bins, fills), capacity)
 
 
-def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(packing: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """Dissolve the bins that are not well filled and a few of the others, and place their items anew."""
     least = capacity * (1 - SLACK)
-    kept, loose = [], []
-    for m in bins:
-        if sum(sizes[i] for i in m) < least or rng.random() < 0.03:
+    chance = rng.random
+    bins, fills, loose = [], [], []
+    for m, fill in zip(*packing, strict=True):
+        if fill < least or chance() < 0.03:
             loose += m
         else:
-            kept.append(m[:])
-    loose.sort(key=lambda i: sizes[i] * rng.uniform(0.9, 1.1), reverse=True)
-    return best_fit(sizes, loose, kept, capacity)
+            bins.append(m)
+            fills.append(fill)
+    loose.sort(key=lambda i: sizes[i] * (0.9 + 0.2 * chance()), reverse=True)
+    return best_fit(sizes, loose, (bins, fills), capacity)
 
 
-def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
+def fitness(packing: Packing) -> tuple[int, int]:
     """Fewer bins first; then fuller ones, as their leftover room lies together."""
-    return -len(bins), sum(sum(sizes[i] for i in m) ** 2 for m in bins)
+    return -len(packing[0]), sum(x * x for x in packing[1])
 
 
-def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, population: int, generations: int, rng: random.Random) -> list[list[int]]:
+def evolve(sizes: list[int], seeds: list[Packing], capacity: int, population: int, generations: int, rng: random.Random) -> Packing:
     """The best packing after all generations, from the seeds and from best-fit packings in perturbed orders.
 
     Of a generation's two parents the fitter takes the other's well-filled bins in; the child replaces the least fit.
@@ -154,25 +163,26 @@ def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, popula
     while len(people) < population:
         spread = 0.0 if not people else 0.15
         order = sorted(range(len(sizes)), key=lambda i: sizes[i] * (1 + rng.uniform(-spread, spread)), reverse=True)
-        people.append(best_fit(sizes, order, [], capacity))
-    scored = sorted(((fitness(p, sizes), k, p) for k, p in enumerate(people)), reverse=True)
+        people.append(best_fit(sizes, order, ([], []), capacity))
+    scored = sorted(((fitness(p), k, p) for k, p in enumerate(people)), reverse=True)
     for g in range(generations):
         a, b = sorted(rng.sample(range(len(scored)), 2))
         child = mutate(crossover(scored[a][2], scored[b][2], sizes, capacity, rng), sizes, capacity, rng)
-        scored = sorted([*scored[:-1], (fitness(child, sizes), len(people) + g, child)], reverse=True)
+        scored = sorted([*scored[:-1], (fitness(child), len(people) + g, child)], reverse=True)
     return scored[0][2]
 
 
-def _labels(bins: list[list[int]], n: int) -> np.ndarray:
+def _labels(packing: Packing, n: int) -> np.ndarray:
     out = np.zeros(n, np.int32)
-    for k, m in enumerate(bins):
+    for k, m in enumerate(packing[0]):
         out[m] = k
     return out
 
 
-def _bins(labels: np.ndarray) -> list[list[int]]:
+def _packing(labels: np.ndarray, sizes: list[int]) -> Packing:
     order = np.argsort(labels, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
+    bins = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
+    return bins, [sum(sizes[i] for i in m) for m in bins]
 
 
 _ISLAND_DDL = "block long, island int, items array<struct<item:long,length:int>>, elite binary, n_bins int, filled long"
@@ -186,11 +196,11 @@ def _epoch(capacity: int, population: int, generations: int, epoch: int):
                 block, island = b.column(0)[k].as_py(), b.column(1)[k].as_py()
                 sizes = b.column(2)[k].values.field(1).to_pylist()
                 rng = random.Random(f"{block} {island} {epoch}")
-                seeds = [_bins(np.frombuffer(e, np.int32)) for e in (b.column(3)[k].as_py(), b.column(4)[k].as_py()) if e is not None]
+                seeds = [_packing(np.frombuffer(e, np.int32), sizes) for e in (b.column(3)[k].as_py(), b.column(4)[k].as_py()) if e is not None]
                 best = evolve(sizes, seeds, capacity, population, generations, rng)
                 elites.append(_labels(best, len(sizes)).tobytes())
-                counts.append(len(best))
-                filled.append(fitness(best, sizes)[1])
+                counts.append(len(best[0]))
+                filled.append(fitness(best)[1])
             new = [pa.array(elites, pa.binary()), pa.array(counts, pa.int32()), pa.array(filled, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)] + new, ["block", "island", "items", "elite", "n_bins", "filled"])
 

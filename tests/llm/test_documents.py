@@ -369,13 +369,14 @@ def test_genetic_steps():
 
     rng = random.Random(5)
     sizes = [rng.randint(1, 90) for _ in range(400)]
-    a = packing.best_fit(sizes, list(range(400)), [], 100)
-    b = packing.best_fit(sizes, sorted(range(400), key=lambda i: -sizes[i]), [], 100)
+    a = packing.best_fit(sizes, list(range(400)), ([], []), 100)
+    b = packing.best_fit(sizes, sorted(range(400), key=lambda i: -sizes[i]), ([], []), 100)
     child = packing.mutate(packing.crossover(a, b, sizes, 100, rng), sizes, 100, rng)
-    for bins in (a, b, child):
+    for bins, fills in (a, b, child):
+        assert fills == [sum(sizes[i] for i in m) for m in bins]
         assert sorted(i for m in bins for i in m) == list(range(400)) and all(sum(sizes[i] for i in m) <= 100 for m in bins)
     best = packing.evolve(sizes, [a], 100, 4, 30, rng)
-    assert len(best) <= len(b)
+    assert len(best[0]) <= len(b[0])
 
 
 def threes(n, capacity, rng):
@@ -389,14 +390,16 @@ def threes(n, capacity, rng):
 
 
 def test_evolution_and_migration_save_sequences():
-    """Where best fit is not optimal, generations need fewer bins than it, and migrants fewer than generations alone."""
+    """Where best fit is not optimal, generations at the query's settings need fewer bins than it, and migrants no more than generations alone."""
     import random
 
     sizes = threes(400, 2048, random.Random(1))
-    plain = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], 2048)
-    islands = [packing.evolve(sizes, [], 2048, 8, 24, random.Random(k)) for k in range(2)]
-    later = packing.evolve(sizes, islands, 2048, 8, 24, random.Random(7))
-    assert 400 <= len(later) < max(map(len, islands)) <= len(plain) - 4
+    plain = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), ([], []), 2048)
+    population, generations = packing.POPULATION, packing.GENERATIONS
+    islands = [packing.evolve(sizes, [], 2048, population, generations, random.Random(k))[0] for k in range(2)]
+    seeds = [(m, [sum(sizes[i] for i in x) for x in m]) for m in islands]
+    later = packing.evolve(sizes, seeds, 2048, population, generations, random.Random(7))[0]
+    assert 400 <= len(later) < max(map(len, islands)) <= len(plain[0]) - 8
     assert sorted(i for m in later for i in m) == list(range(len(sizes))) and all(sum(sizes[i] for i in m) <= 2048 for m in later)
 
 
@@ -411,8 +414,8 @@ def test_levels_go_on_until_one_block_or_nothing_to_save(spark):
     for r in made:
         fill[r["sequence_id"]] += r["length"]
     assert sorted(r["item"] for r in made) == list(range(600)) and max(fill.values()) <= 100
-    plain = packing.best_fit(lengths, sorted(range(600), key=lambda i: -lengths[i]), [], 100)
-    assert len(fill) <= 1.05 * len(plain)
+    plain = packing.best_fit(lengths, sorted(range(600), key=lambda i: -lengths[i]), ([], []), 100)
+    assert len(fill) <= 1.05 * len(plain[0])
     wide = packing.pack_items(spark.createDataFrame([(k, 60) for k in range(200)], "item long, length int"), 100, block_items=40).collect()
     assert len({r["sequence_id"] for r in wide}) == len(wide) == 200
 
