@@ -166,7 +166,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
     "op3_snapshot_collapse": """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 step AS (
   SELECT conv_id, turn, role, text,
     coalesce(length(role) || ';' || role, '-;') || coalesce(length(text) || ';' || text, '-;') AS part,
@@ -178,6 +178,8 @@ kept AS (SELECT * FROM whole WHERE h NOT IN (SELECT h FROM prefix WHERE k < n))
 SELECT conv_id, n AS n_turns, n_copies,
   string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
 FROM kept JOIN step USING (conv_id, n) GROUP BY conv_id, n, n_copies
+UNION ALL
+SELECT conv_id, 1, 1, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) FROM conversations WHERE conv_id IS NULL
 """,
     "op7_license_join": LICENSE_SQL,
     "op13_recursive_audit": r"""

@@ -1,19 +1,21 @@
 """Chat formatting with cumulative-snapshot collapse.
 
 Chat logs often hold a conversation several times, each snapshot a turn or two
-longer. A conversation's turns, in order, give a chain of hashes: each is the
-SHA-256 of the one before with the next role and text, so it stands for the
-whole prefix. A conversation whose last hash is an inner hash of another is a
-snapshot of that one; an anti-join on the hashes drops it. Of conversations
-with the same turns, the one with the smallest conv_id stays. Those that are
-left are rendered. Hashes are made distinct before they are joined, so a first
-turn that very many conversations share is one row. Only DataFrame functions
+longer. Every turn of a conversation has the SHA-256 of its place, role and text,
+and the running exclusive or of those stands for the prefix that ends there: a
+window adds one turn to it at a time. A conversation whose last such mark is an inner
+mark of another is a snapshot of that one; an anti-join on the marks drops it. Of
+conversations with the same turns, the one with the smallest conv_id stays. Those
+that are left are rendered. Marks are made distinct before they are joined, so a
+first turn that very many conversations share is one row. Only DataFrame functions
 are used; a task holds one conversation, the unit that is rendered, at a time.
+Rows without conv_id belong to no conversation that could be known: each comes back
+as one of its own, outside of marks and joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import materialize
@@ -28,30 +30,40 @@ def _field(c: Column) -> Column:
 
 
 def chains(turns: DataFrame) -> DataFrame:
-    """conv_id, turns (ordered role and text) and hashes (one for each prefix) of each conversation.
+    """conv_id and turns (ordered turn, role and text) of each conversation; rows without conv_id are left out.
 
     Turns are ordered by turn, then role, then text, nulls first. Rows that
-    repeat a whole turn count once. Rows with a null conv_id form one conversation.
+    repeat a whole turn count once.
     """
-    rows = turns.select(
+    return _rows(turns).where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+def _rows(turns: DataFrame) -> DataFrame:
+    return turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
-    each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    step = lambda seen, t: F.concat(
-        seen, F.array(F.sha2(F.concat(F.coalesce(F.get(seen, F.size(seen) - 1), F.lit("")), _field(t["role"]), _field(t["text"])), 256))
-    )
-    return each.withColumn("hashes", F.aggregate("turns", F.array().cast("array<string>"), step))
+
+
+def prefixes(chained: DataFrame) -> DataFrame:
+    """conv_id, k, n and mark of the prefix of k turns, for each turn of rows of chains()."""
+    digest = lambda t, k: F.sha2(F.concat(k.cast("string"), F.lit(";"), _field(t["role"]), _field(t["text"])), 256)
+    each = chained.select("conv_id", F.size("turns").alias("n"), F.posexplode(F.transform("turns", digest)).alias("at", "digest"))
+    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    word = lambda j: F.conv(F.substring("digest", 16 * j + 1, 15), 16, 10).cast("long")
+    return each.select("conv_id", (F.col("at") + 1).alias("k"), "n", F.struct(*(F.bit_xor(word(j)).over(so_far).alias(f"w{j}") for j in range(4))).alias("mark"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """The conversations that no other one continues or repeats: conv_id, turns, n_turns and n_copies (equal ones, itself included)."""
-    chained = materialize(chains(turns).withColumn("last", F.element_at("hashes", -1)), "chains")
-    inner = chained.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("last")).distinct()
-    firsts = chained.groupBy("last").agg(F.min(F.coalesce("conv_id", F.lit(-(1 << 63)))).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    firsts = firsts.join(inner, "last", "left_anti")
-    own = chained.withColumn("first_id", F.coalesce("conv_id", F.lit(-(1 << 63))))
-    return own.join(firsts, ["last", "first_id"]).select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), "n_copies")
+    chained = materialize(chains(turns), "chains")
+    marks = materialize(prefixes(chained), "marks")
+    inner = marks.where("k < n").select("mark").distinct()
+    firsts = marks.where("k = n").groupBy("mark").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")).join(inner, "mark", "left_anti")
+    found = chained.join(firsts.select("conv_id", "n_copies"), "conv_id").select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), "n_copies")
+    alone = _rows(turns).where("conv_id IS NULL").select("conv_id", F.array(F.struct("turn", "role", "text")).alias("turns"))
+    one = F.lit(1).cast("long")
+    return found.unionByName(alone.select("conv_id", "turns", one.alias("n_turns"), one.alias("n_copies")))
 
 
 def rendered(turns: Column) -> Column:
@@ -63,5 +75,8 @@ def rendered(turns: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies and text of each maximal conversation; an empty table gives none."""
+    """conv_id, n_turns, n_copies and text of each maximal conversation, and of each row without conv_id; an empty table gives none.
+
+    Very long texts are hashed where they stand; extra columns, whatever their names, are not read.
+    """
     return maximal(turns).select("conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("text"))

@@ -93,10 +93,13 @@ def test_chats(spark):
     for c, n in enumerate((1, 2, 3, 5, 5, 4)):
         rows += [(c, k, *turns[k]) for k in range(n)]
     rows += [(10, 0, "user", "hello"), (10, 1, "assistant", "other"), (11, 0, "user", "hell"), (11, 1, "oassistant", "hi"), (12, None, "user", "hello"), (12, None, "user", "hello")]
-    rows += [(None, 0, "user", "x"), (13, 0, "user", ""), (14, 0, "user", None), (15, 0, "user", "long " * 50_000)]
+    rows += [(None, 0, "user", "x"), (None, 0, "user", "hello"), (None, 1, "assistant", "other"), (13, 0, "user", ""), (14, 0, "user", None), (15, 0, "user", "long " * 50_000)]
     df = spark.createDataFrame([(*r, "clash", 2) for r in rows], "conv_id long, turn long, role string, text string, hashes string, last int")
     got = chat.format_chats(df.union(df)).collect()
-    assert {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in got} == brute_chats(rows)
+    assert {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in got if r["conv_id"] is not None} == brute_chats([r for r in rows if r[0] is not None])
+    alone = [(r["n_turns"], r["n_copies"], r["text"]) for r in got if r["conv_id"] is None]
+    mark = "<|im_start|>{}\n{}<|im_end|>\n".format
+    assert sorted(alone) == sorted([(1, 1, mark("user", "x")), (1, 1, mark("user", "hello")), (1, 1, mark("assistant", "other"))] * 2)
     one = next(r["text"] for r in got if r["conv_id"] == 10)
     assert one == "<|im_start|>user\nhello<|im_end|>\n<|im_start|>assistant\nother<|im_end|>\n"
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -119,7 +122,7 @@ def test_pipeline(spark, docs, tmp_path, tokenizer):
 def test_catalog_names_every_operator():
     from lexaloom.llm import catalog
 
-    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11)) and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 14)) and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
 def test_sieve_passes_every_key(spark):
