@@ -88,17 +88,12 @@ WITH doc AS (
 ), base_by AS (
   SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM base WHERE label IS NOT NULL GROUP BY r
-), line AS (
-  SELECT r, i, list_filter(regexp_split_to_array(string_split(t, chr(10))[i], '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS b
-  FROM (SELECT r, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM doc)
-), ahead AS (
-  SELECT r, b, {", ".join(f"coalesce(lead(b, {k}) OVER o, []) AS b{k}" for k in range(1, licenses.REACH))} FROM line WINDOW o AS (PARTITION BY r ORDER BY i)
-), block AS (
-  SELECT r, list_distinct(b{"".join(f" || CASE WHEN {' + '.join(['len(b)'] + [f'len(b{j})' for j in range(1, k)])} < {max(len(t.split()) for _, t in licenses.TEMPLATES)} THEN b{k} ELSE [] END" for k in range(1, licenses.REACH))}) AS b FROM ahead
 ), template AS (
-  SELECT label, list_distinct(string_split(words, ' ')) AS tw FROM (VALUES {_TEMPLATE_ROWS}) v(k, label, words)
+  SELECT label, len(string_split(words, ' ')) AS size, list_distinct(string_split(words, ' ')) AS tw FROM (VALUES {_TEMPLATE_ROWS}) v(k, label, words)
+), block AS (
+  SELECT r, size, list_distinct(ws[i:i + 2 * size - 1]) AS b FROM (SELECT r, ws, size, unnest(range(1, greatest(len(ws), 1) + 1, size)) AS i FROM w, (SELECT DISTINCT size FROM template))
 ), hit AS (
-  SELECT r, label, len(list_intersect(tw, b)) / len(tw) AS c FROM block, template
+  SELECT r, label, len(list_intersect(tw, b)) / len(tw) AS c FROM block JOIN template USING (size)
   WHERE len(list_intersect(tw, b)) >= ceil({licenses.THRESHOLD} * len(tw))
 ), label_by AS (
   SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

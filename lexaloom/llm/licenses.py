@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block starts at a line of a document and goes on over the next lines, up to
-REACH of them, until it has as many words as the longest template, so a notice
-that is wrapped lies in one block; a template is the words of a license notice.
-A block matches a template if it holds at least ``threshold`` of the template's
+A template is the words of a license notice. A block for templates of n words is
+2n consecutive words of a text, and a block begins at every n-th word, so that a
+notice lies whole in one, however its lines are wrapped or spaced, and a block is
+as short as a text's lines are long. A block matches a template of its length if
+it holds at least ``threshold`` of the template's
 distinct words. Words are ordered by how many blocks hold them, rarest first,
 over all documents. Two sets that share c words must meet within the first
 n - c + 1 words of either (prefix filter), a block needs c template words at
@@ -45,9 +46,6 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.85
-#: Lines of a block at most, its first included: the longest template wrapped at 40 columns.
-REACH = 5
-
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,57 +80,66 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
+def scanned(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """doc_id, key, n_words, at (an array of places for each base phrase) and blocks of each row; a narrow map.
 
     ``key`` is a hash of the text: with doc_id it ties rows together. A block is
-    its distinct words of the vocabulary; those without any are left out, and so
-    are repeated ones. A block ends with the line in which it reaches
-    ``most`` words.
+    its size (half of its words) and those of its distinct words that the templates
+    hold; those with too few for any template of their size are left out (length
+    filter), and so are repeated ones.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda x: spaced(x))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.rlike("(?i)license").alias("known"), lines.alias("lines"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.rlike("(?i)license").alias("known"), spaced(text).alias("plain"))
     # lower() is the faster one; of other letters it makes ASCII of the Kelvin sign only
-    split = split.withColumn("words", F.transform("lines", lambda x: word_array(F.lower(F.replace(x, F.lit("\u212a"), F.lit("\ufffd"))))))
-    named = lambda ws: F.array_intersect(_strings(vocabulary), ws)
+    split = split.withColumn("words", word_array(F.lower(F.replace("plain", F.lit("\u212a"), F.lit("\ufffd")))))
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
     counted = split.select(
-        "doc_id", "key", F.when(F.col("known"), F.flatten("words")).otherwise(_none("string")).alias("flat"),
-        F.transform("words", lambda ws: F.size(ws)).alias("sizes"), F.transform("words", named).alias("held"),
+        "doc_id", "key", F.when(F.col("known"), F.col("words")).otherwise(_none("string")).alias("flat"), F.size("words").alias("n"),
+        F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("held"),
     )
-    before = lambda i, m: F.aggregate(F.slice(F.col("sizes"), i + 1, F.lit(m)), F.lit(0), lambda s, n: s + n)
-    reach = lambda i: sum(((before(i, m) < most).cast("int") for m in range(1, REACH)), F.lit(1))
-    made = F.transform("held", lambda x, i: F.array_distinct(F.flatten(F.slice(F.col("held"), i + 1, reach(i)))))
+    blocks = [_blocks(size, min(needed(t, threshold) for _, t in templates if len(t.split()) == size)) for size in sorted({len(t.split()) for _, t in templates})]
     at = F.array(*[_starts(F.col("flat"), p.split()) for p in PHRASES])
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
-    return counted.select("doc_id", "key", total.alias("n_words"), at.alias("at"), F.array_distinct(F.filter(made, lambda x: F.size(x) > 0)).alias("blocks"))
+    return counted.select("doc_id", "key", F.col("n").cast("long").alias("n_words"), at.alias("at"), (F.concat(*blocks) if blocks else _none("struct<size:int,words:array<string>>")).alias("blocks"))
+
+
+def _blocks(size: int, fewest: int) -> Column:
+    """The distinct blocks of 2 * size words that hold fewest distinct words of templates or more, from columns held and n."""
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)), F.lit(size))
+    own = F.transform(starts, lambda i: F.array_compact(F.slice(F.col("held"), i, F.lit(2 * size))))
+    own = F.transform(F.filter(own, lambda x: F.size(x) >= fewest), lambda x: F.array_sort(F.array_distinct(x)))
+    own = F.array_distinct(F.filter(own, lambda x: F.size(x) >= fewest))
+    return F.transform(own, lambda x: F.struct(F.lit(size).alias("size"), x.alias("words")))
+
+
+def needed(template: str, threshold: float) -> int:
+    """How many of a template's distinct words a match has at least."""
+    return max(1, -int(-threshold * len(set(template.split())) // 1))
 
 
-def matches(found: DataFrame, templates: list[tuple[str, str]], vocabulary: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, label and containment of each block and template that meet the threshold; found: rows of scanned()."""
+def matches(found: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key, label and containment of each block and template of its size that meet the threshold; found: rows of scanned()."""
     spark = found.sparkSession
-    sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
-    own = found.select("doc_id", "key", F.explode("blocks").alias("block"))
-    counted = own.select(F.explode("block").alias("word")).groupBy("word").count()
+    sets = [(label, len(text.split()), list(dict.fromkeys(text.split())), needed(text, threshold)) for label, text in templates]
+    vocabulary = sorted({w for _, _, ws, _ in sets for w in ws})
+    own = found.select("doc_id", "key", F.explode("blocks").alias("block")).select("doc_id", "key", "block.size", "block.words")
+    counted = own.select(F.explode("words").alias("word")).groupBy("word").count()
     often = {r["word"]: r["count"] for r in counted.collect()}  # a row for each template word at most
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     rows = []
-    for t, (label, ws) in enumerate(sets):
+    for t, (label, size, ws, need) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
-        need = max(1, -int(-threshold * len(ws) // 1))
-        rows += [(ws[i], i, t, label, ws, need) for i in range(len(ws) - need + 1)]
-    prefixes = spark.createDataFrame(rows, "word string, i int, template int, label string, words array<string>, need int")
-    fewest = min((r[5] for r in rows), default=1)
+        rows += [(ws[i], size, i, t, label, ws, need) for i in range(len(ws) - need + 1)]
+    prefixes = spark.createDataFrame(rows, "word string, size int, i int, template int, label string, shared_of array<string>, need int")
     wanted = _strings(sorted({r[0] for r in rows}))
-    own = own.where((F.size("block") >= fewest) & F.arrays_overlap("block", wanted)).select("doc_id", "key", F.array_intersect(_strings(order), F.col("block")).alias("known"))
-    at = own.select("doc_id", "key", "known", F.posexplode("known").alias("j", "word")).where(F.col("j") <= F.size("known") - fewest)
-    pairs = at.join(F.broadcast(prefixes), "word").where(
+    own = own.where(F.arrays_overlap("words", wanted)).select("doc_id", "key", "size", F.array_intersect(_strings(order), F.col("words")).alias("known"))
+    at = own.select("doc_id", "key", "size", "known", F.posexplode("known").alias("j", "word"))
+    pairs = at.join(F.broadcast(prefixes), ["word", "size"]).where(
         (F.size("known") >= F.col("need"))
         & (F.col("j") <= F.size("known") - F.col("need"))
-        & (F.least(F.size("words") - F.col("i"), F.size("known") - F.col("j")) >= F.col("need"))
+        & (F.least(F.size("shared_of") - F.col("i"), F.size("known") - F.col("j")) >= F.col("need"))
     )
-    pairs = pairs.select("doc_id", "key", "word", "label", "need", F.array_intersect("words", "known").alias("shared"), F.size("words").alias("n"))
+    pairs = pairs.select("doc_id", "key", "word", "label", "need", F.array_intersect("shared_of", "known").alias("shared"), F.size("shared_of").alias("n"))
     return pairs.where((F.size("shared") >= F.col("need")) & (F.get("shared", F.lit(0)) == F.col("word"))).select(
         "doc_id", "key", "label", (F.size("shared") / F.col("n")).alias("containment")
     )
@@ -147,9 +154,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     empty result. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
-    found = materialize(scanned(docs, vocabulary, max((len(text.split()) for _, text in templates), default=1)), "scanned")
-    more = matches(found, templates, vocabulary, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+    found = materialize(scanned(docs, templates, threshold), "scanned")
+    more = matches(found, templates, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment")
     )
     both = found.drop("blocks").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")

@@ -298,32 +298,29 @@ def brute_license(text):
         places += at
         labels |= {label} if at else set()
     more, best = set(labels), 0.0
-    lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) for line in (text or "").split("\n")]
-    longest = max(len(t.split()) for _, t in licenses.TEMPLATES)
-    for k in range(len(lines)):
-        block = list(lines[k])
-        for line in lines[k + 1 : k + licenses.REACH]:
-            if len(block) >= longest:
-                break
-            block += line
-        own = set(block)
-        for label, t in licenses.TEMPLATES:
-            ws = set(t.split())
-            if len(ws & own) >= -int(-licenses.THRESHOLD * len(ws) // 1):
+    for label, t in licenses.TEMPLATES:
+        ws, size = set(t.split()), len(t.split())
+        for i in range(0, len(words), size):
+            n = len(ws & set(words[i : i + 2 * size]))
+            if n >= -int(-licenses.THRESHOLD * len(ws) // 1):
                 more.add(label)
-                best = max(best, len(ws & own) / len(ws))
+                best = max(best, n / len(ws))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if places else best
 
 
 def test_licenses(docs, corpus, no_docs, spark):
     extra = [(1000 + k, t[1] + "\n" + t[1].replace(" license", " licence"), None, None, None, None, None, None) for k, t in enumerate(licenses.TEMPLATES)]
     extra += [(2000, "MIT " * 3 + "License Apache\tLicense " * 2, *[None] * 6), (2001, "Key worK mit", *[None] * 6)]
-    wrapped = [(3000 + 100 * width + k, "Copyright\n\n" + textwrap.fill(t[1].capitalize() + ".", width) + "\nmore text", *[None] * 6) for width in (40, 72) for k, t in enumerate(licenses.TEMPLATES)]
-    extra += wrapped
+    wrapped = [(3000 + 100 * width + k, "Copyright\n\n" + textwrap.fill(t[1].capitalize() + ".", width) + "\nmore text", *[None] * 6) for width in (15, 40, 72) for k, t in enumerate(licenses.TEMPLATES)]
+    wrapped += [(5000 + k, "Note\n" + textwrap.fill(t[1], 30).replace("\n", "\n#\n\n * ") + "\nend", *[None] * 6) for k, t in enumerate(licenses.TEMPLATES)]
+    apart = [w for _, t in licenses.TEMPLATES for word in t.split() for w in (word, *["filler"] * 24)]
+    extra += [*wrapped, (6000, " ".join(apart), *[None] * 6)]
     more = spark.createDataFrame(extra, docs.schema)
     got = by_id(licenses.scan(docs.union(more)))
-    for (k, *_), (label, _) in zip(wrapped, licenses.TEMPLATES * 2, strict=True):
+    for (k, *_), (label, _) in zip(wrapped, licenses.TEMPLATES * 4, strict=True):
         assert label in got[k]["labels"].split(","), k
+    # one long line in which the words of every notice lie far apart holds none of them
+    assert got[6000]["labels"] == "" and got[6000]["score"] == 0.0 and got[6000]["n_words"] > 3000
     for k, t, *_ in [*corpus, *extra]:
         r = tuple(got[k])[1:]
         want = brute_license(t)
