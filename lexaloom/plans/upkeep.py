@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaloom.functions import model_output
 from lexaloom.functions import rewriting as R
 from lexaloom.operators import upkeep
 from lexaloom.session import table
@@ -235,3 +236,23 @@ def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a model wrote on parts."""
     text = F.concat(F.lit("x\n---LINT: Orphan | warning | "), "p_name", F.lit("---\none\ntwo\n---END LINT---\ny\n---LINT: gap|INFO|"), "p_brand", F.lit("---\n---END LINT---\n"))
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(R.lint_blocks(text)).alias("b")).select("p_partkey", "b.*")
+
+
+@query(
+    """SELECT doc_id, 'doc-' || doc_id || ',{' || source || '}' AS slugs, CASE WHEN doc_id % 3 = 0 THEN '{' || source || '}' ELSE 'doc-' || doc_id END AS canonical_slug, 'as "' || lang || '" } {' AS reason,
+    CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, doc_id % 5 = 0 AS contradictory FROM documents WHERE doc_id % 7 <> 0"""
+)
+def judged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups read from answers made of documents: in fences and prose, with braces in strings, values of other types and, of every seventh, no end."""
+    d = table(spark, sf_dir, "documents")
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r'\\$1'), F.lit('"'))
+    own, other = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.concat(F.lit("{"), "source", F.lit("}"))
+    group = F.concat(
+        F.lit('{"slugs": ['), quoted(own), F.lit(", 7, "), quoted(other), F.lit('], "canonicalSlug": '), F.when(F.col("doc_id") % 3 == 0, quoted(other)).otherwise('"gone"'),
+        F.lit(', "reason": '), quoted(F.concat(F.lit('as "'), "lang", F.lit('" } {'))), F.lit(', "confidence": '), F.when(F.col("doc_id") % 2 == 0, '"high"').otherwise("0.4"),
+        F.lit(', "contradictory": '), F.when(F.col("doc_id") % 5 == 0, "true").otherwise('"no"'), F.lit("}"),
+    )
+    end = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit(", {\"slugs\": []}]}\n```\nThat is all } for "), F.substring("text", 1, 40)))
+    answer = F.concat(F.lit('Here you go:\n```json\n{"groups": ['), group, end)
+    found = d.select("doc_id", F.explode(model_output.duplicate_groups(answer)).alias("g"))
+    return found.select("doc_id", F.array_join("g.slugs", ",").alias("slugs"), "g.canonical_slug", "g.reason", "g.confidence", "g.contradictory")
