@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaloom.functions import model_output
+from lexaloom.functions import front_matter, model_output
 from lexaloom.functions import rewriting as R
 from lexaloom.operators import upkeep
 from lexaloom.session import table
@@ -256,3 +256,25 @@ def judged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit('Here you go:\n```json\n{"groups": ['), group, end)
     found = d.select("doc_id", F.explode(model_output.duplicate_groups(answer)).alias("g"))
     return found.select("doc_id", F.array_join("g.slugs", ",").alias("slugs"), "g.canonical_slug", "g.reason", "g.confidence", "g.contradictory")
+
+
+@query(
+    """SELECT doc_id, 'Doc: ' || doc_id AS title, '[[doc-' || (doc_id - 1) || ']],[[doc-' || (doc_id + 1) || ']]' AS related, 'true' AS draft, sha256(text) AS body_sha256,
+    doc_id % 4 <> 3 AS readable FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3
+    UNION ALL SELECT doc_id, NULL, '', NULL, sha256(text), false FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 3"""
+)
+def repaired_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields and bodies of documents whose blocks stand at the top, behind a stray line or in a code fence, with unquoted link lists; every fourth block is no YAML."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    k = F.col("doc_id")
+    link = lambda n: F.concat(F.lit("[[doc-"), (k + n).cast("string"), F.lit("]]"))
+    block = F.concat(
+        F.lit('---\ntitle: "Doc: '), k.cast("string"), F.lit('"\nrelated: '), link(-1), F.lit(", "), link(1), F.lit("\ndraft: true\n"), F.when(k % 4 == 3, "tags: [open\n").otherwise(""), F.lit("---\n")
+    )
+    page = F.when(k % 4 == 1, F.concat(F.lit("```yaml\n"), block, F.lit("```\n"), "text")).when(k % 4 == 2, F.concat(F.lit("frontmatter:\n"), block, "text")).otherwise(F.concat(block, "text"))
+    made = d.select("doc_id", front_matter.front_matter(page).alias("m"))
+    related = F.coalesce(F.try_variant_get("m.fields", "$.related", "array<string>"), F.array().cast("array<string>"))
+    return made.select(
+        "doc_id", F.try_variant_get("m.fields", "$.title", "string").alias("title"), F.array_join(related, ",").alias("related"),
+        F.try_variant_get("m.fields", "$.draft", "string").alias("draft"), F.sha2("m.body", 256).alias("body_sha256"), F.col("m.fields").isNotNull().alias("readable"),
+    )
