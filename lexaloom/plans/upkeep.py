@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaloom.functions import front_matter, model_output
+from lexaloom.functions import front_matter, model_output, repairs
 from lexaloom.functions import rewriting as R
 from lexaloom.operators import upkeep
 from lexaloom.session import table
@@ -278,3 +278,23 @@ def repaired_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.try_variant_get("m.fields", "$.title", "string").alias("title"), F.array_join(related, ",").alias("related"),
         F.try_variant_get("m.fields", "$.draft", "string").alias("draft"), F.sha2("m.body", 256).alias("body_sha256"), F.col("m.fields").isNotNull().alias("readable"),
     )
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 6 AS k, coalesce(text, '') AS t, '---' || chr(10) || 'type: entity' || chr(10) || 'related: ["[[doc-' || (doc_id - 1) || ']]", "[[doc-' || (doc_id + 1) || ']]"]' || chr(10) || '---' || chr(10) AS block FROM documents)
+    SELECT doc_id, sha256(CASE k WHEN 4 THEN block || chr(10) || ltrim(t, chr(10) || ' ') ELSE block || t END) AS content_sha256,
+    ['field-links', 'yaml-fence,field-links', 'outer-fence,field-links', 'key-prefix,field-links', 'inline-fields,field-links', 'second-end'][k + 1] AS rules, true AS settled FROM d"""
+)
+def page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with damaged blocks, mended: the new text's SHA-256, the rules that took part, and that mending it again changes nothing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    link = lambda n, mark: F.concat(F.lit(f"{mark}[[doc-"), (F.col("doc_id") + n).cast("string"), F.lit(f"]]{mark}"))
+    fields = F.concat(F.lit("type: entity\nrelated: "), link(-1, ""), F.lit(", "), link(1, ""))
+    good = F.concat(F.lit("---\ntype: entity\nrelated: ["), link(-1, '"'), F.lit(", "), link(1, '"'), F.lit("]\n---\n"))
+    block = F.concat(F.lit("---\n"), fields, F.lit("\n---\n"), F.col("t"))
+    page = (
+        F.when(F.col("k") == 0, block).when(F.col("k") == 1, F.regexp_replace(block, r"\A---", "---yaml")).when(F.col("k") == 2, F.concat(F.lit("```md\n"), block, F.lit("\n```\n")))
+        .when(F.col("k") == 3, F.concat(F.lit("frontmatter:\n"), block)).when(F.col("k") == 4, F.concat(fields, F.lit("\n\n"), F.ltrim("t"))).otherwise(F.concat(good, F.lit("---\n"), F.col("t")))
+    )
+    made = d.select("doc_id", repairs.repair_steps(page).alias("m")).select("doc_id", "m.text", "m.rules")
+    return made.select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.array_join("rules", ",").alias("rules"), (repairs.repaired(F.col("text")) == F.col("text")).alias("settled"))
