@@ -165,9 +165,22 @@ _FOUND = T.StructType(
 )
 
 
-def _n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([len(words(t)) for t in raw(b.column(0))], pa.int64())], ["n"])
+def stretches(ws: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """ws in stretches of most words, each of which begins window - 1 words before the end of the one before: every window lies in one of them."""
+    if len(ws) <= most:
+        return [ws] if ws else []
+    step = most - window + 1
+    return [ws[k : k + most] for k in range(0, len(ws) - window + 1, step)]
+
+
+def _cut(window: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, part) for i, t in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True) for part in stretches(words(t), window, most)]
+            columns = [[i for i, _ in rows], [b" ".join(x).decode() for _, x in rows], [len(x) for _, x in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["item", "text", "n"])
+
+    return run
 
 
 def _build(window: int):
@@ -196,12 +209,15 @@ def _build(window: int):
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
     """The written automata (block, at, piece) of a benchmark's items, built in tasks, and the number of blocks.
 
-    An item's rows may lie in several blocks: hits are united by item id. An item longer than block_words is not cut.
+    An item's rows may lie in several blocks: hits are united by item id. Rows
+    that repeat an item's text count once, and a long item is cut into stretches
+    that overlap, so no block is much larger than block_words.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.select("text").mapInArrow(_n_words, "n long").agg(F.sum("n")).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    cut = materialize(items.mapInArrow(_cut(window, max(2 * window, block_words // 16)), "item string, text string, n long"), "items")
+    total = cut.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    dealt = items.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).alias("block"), "item", "text")
+    dealt = cut.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).alias("block"), "item", "text")
     built = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_build(window)), "block long, at long, piece binary")
     return materialize(built, "automata"), blocks
 

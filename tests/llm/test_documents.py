@@ -512,3 +512,32 @@ def test_rows_of_one_doc_id_fill_several_shards(spark, tokenizer, tmp_path):
     assert [r["doc_id"] for r in got] == [1] + [7] * 60 + [9]
     assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
     assert len(token_store.lookup(spark, path, 7)) == sum(r["n_tokens"] for r in got if r["doc_id"] == 7)
+
+
+def test_repeated_and_long_items_keep_blocks_small(spark):
+    """Copies of one item count once, a long item is cut, and what is found is as if it were whole."""
+    rng = __import__("random").Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long = say(6000).split()
+    items = [(1, say(30))] * 500 + [(k, say(rng.randint(10, 40))) for k in range(2, 120)] + [(500, " ".join(long)), (None, "no id but words " * 3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces, blocks = decontam.automata(bench, 10, 1000)
+    total = sum(len(t.split()) for _, t in set(items))
+    assert total // 1000 <= blocks <= total // 1000 + 3
+    sizes = Counter()
+    for block in range(blocks):
+        data = b"".join(r["piece"] for r in pieces.where(F.col("block") == block).orderBy("at").collect())
+        sizes[block] = len(data)
+    assert max(sizes.values()) < 3 * sum(sizes.values()) / blocks
+    docs = [(k, " ".join(long[at : at + 25])) for k, at in enumerate(range(0, 5990, 7))] + [(9000, items[0][1]), (9001, " ".join(long[3:12])), (9002, None)]
+    got = by_id(decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_words=1000))
+    for k, t in docs:
+        assert (got[k]["n_hit"], got[k]["n_items"]) == ((0, 0) if k > 9000 else (len(t.split()), 1)), k
+
+
+@pytest.mark.parametrize("n,most", [(0, 30), (5, 30), (30, 30), (31, 30), (39, 30), (200, 30), (51, 30), (52, 30)])
+def test_every_window_lies_in_a_stretch(n, most):
+    ws = [b"%d" % k for k in range(n)]
+    parts = decontam.stretches(ws, 10, most)
+    windows = lambda x: {tuple(x[k : k + 10]) for k in range(max(len(x) - 9, 1))} if x else set()
+    assert set().union(*map(windows, parts), set()) == windows(ws) and all(len(x) <= most for x in parts)
