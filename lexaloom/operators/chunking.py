@@ -15,20 +15,41 @@ TARGET, MOST, LEAST, OVERLAP = 1000, 1500, 200, 200
 CHUNK_DDL = "chunk_index int, chunk_text string, heading_path string, char_start int, char_end int, oversized boolean"
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-_FENCE = re.compile(r"^\s*(```|~~~)")
+_FENCE = re.compile(r"`{3,}|~{3,}")
+#: Behind a sentence's end, and behind white space, where an overlap may begin.
+_SENTENCE, _SPACE = re.compile(r"[。！？!?.;；]\s*"), re.compile(r"\s")
 #: Separators from coarse to fine; text behind a separator starts a new piece.
 _LEVELS = [re.compile(p) for p in (r"(?<=\n)", r"(?<=[.!?。！？])(?:(?<=[。！？])|\s+)", r"(?<=\s)")]
 
 
+def fenced_after(line: str, mark: str) -> str:
+    """The mark of the code block that is open behind a line, given the one open before it (empty: none).
+
+    A block opens with three or more backticks or tildes in the first column and ends with the same mark alone on a line.
+    """
+    if mark:
+        return "" if line.startswith(mark) and line.strip() == mark else mark
+    found = _FENCE.match(line)
+    return found[0] if found else ""
+
+
+def snapped(tail: str) -> str:
+    """The end of a chunk from its first whole sentence, else from its first whole word."""
+    m = _SENTENCE.search(tail)
+    if m and m.end() < len(tail):
+        return tail[m.end() :]
+    m = _SPACE.search(tail)
+    return tail[m.end() :] if m and m.end() < len(tail) else tail
+
+
 def sections(text: str) -> Iterator[tuple[str, int, str]]:
     """Heading path, start and text of each section; headings in fenced code do not count."""
     path: list[str] = []
     start = at = 0
-    fenced = False
+    mark = ""
     for line in text.splitlines(keepends=True):
-        if _FENCE.match(line):
-            fenced = not fenced
-        m = None if fenced else _HEADING.match(line.rstrip("\r\n"))
+        inside, mark = mark, fenced_after(line, mark)
+        m = None if inside or mark else _HEADING.match(line.rstrip("\r\n"))
         if m:
             if text[start:at].strip():
                 yield " > ".join(p for p in path if p), start, text[start:at]
@@ -42,26 +63,26 @@ def sections(text: str) -> Iterator[tuple[str, int, str]]:
 
 def atoms(text: str, start: int) -> Iterator[tuple[int, str, bool]]:
     """Start, text and whether it is whole (code or table) of a section's paragraphs."""
-    lines, at, held, first, whole, fenced = text.splitlines(keepends=True), start, [], start, False, False
-    for k, line in enumerate(lines):
-        fence, table = bool(_FENCE.match(line)), line.lstrip().startswith("|")
-        if fenced:
+    lines, at, held, first, whole, mark = text.splitlines(keepends=True), start, [], start, False, ""
+    for line in lines:
+        inside, mark = mark, fenced_after(line, mark)
+        fence, table = bool(mark), line.startswith("|")
+        if inside:
             held.append(line)
-            if fence:
-                fenced = False
+            if not mark:
                 yield first, "".join(held), True
                 held = []
         elif fence or not line.strip() or (held and table != whole):
             if held:
                 yield first, "".join(held), whole and len(held) > 1
-            held, first, whole, fenced = ([line] if line.strip() else []), at, table, fence
+            held, first, whole = ([line] if line.strip() else []), at, table
         else:
             if not held:
                 first, whole = at, table
             held.append(line)
         at += len(line)
     if held:
-        yield first, "".join(held), fenced or (whole and len(held) > 1)
+        yield first, "".join(held), bool(mark) or (whole and len(held) > 1)
 
 
 def cut(text: str, start: int, target: int, level: int = 0) -> Iterator[tuple[int, str]]:
@@ -89,7 +110,8 @@ def chunk_markdown(text: str, target: int = TARGET, most: int = MOST, least: int
 
     Code blocks and tables are not cut. Pieces are packed up to target; a chunk
     below least joins the one before if both stay within most. Each chunk but a
-    section's first starts with the end of the one before, from a word's start.
+    section's first starts with the end of the one before, from a sentence's or else a word's
+    start, and its place is that of the overlap.
     """
     most, overlap = max(most, target), overlap if overlap < target else target // 2
     out: list[tuple[str, str, int, int, bool]] = []
@@ -111,11 +133,8 @@ def chunk_markdown(text: str, target: int = TARGET, most: int = MOST, least: int
             else:
                 merged.append([at, piece, end])
         for k, (at, piece, end) in enumerate(merged):
-            tail = merged[k - 1][1][-overlap:] if k and overlap else ""
-            if tail and len(tail) < len(merged[k - 1][1]):
-                space = re.search(r"\s", tail)
-                tail = tail[space.end() :] if space else tail
-            out.append((tail + piece, path, at, end, len(piece) > most))
+            tail = snapped(merged[k - 1][1][-overlap:]) if k and overlap else ""
+            out.append((tail + piece, path, at - len(tail), end, len(tail) + len(piece) > most))
     return out
 
 

@@ -302,3 +302,20 @@ def test_greetings_and_titles(spark):
     assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", M.is_greeting(F.col("t"))).collect()} == want
     titles = {"Missing page: Foo  Bar": "foo bar", "missing-page：X": "x", "疑似重复: A b": "a b", "Duplicatepage:Q": "q", "possible duplicate: Z": "z", "缺少页面：你": "你", "Other: x": "other: x"}
     assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in titles], "t string").select("t", T.review_title(F.col("t"))).collect()} == titles
+
+
+def test_chunks_of_fences_and_sentences():
+    """Only its own mark ends a code block, overlaps begin with sentences, and places lie in the text."""
+    code = "```\n~~~\n# not heading\n````\n```\n"
+    text = f"# H\n\n{code}\nafter\n\n ```\n# Real\nx"
+    got = [(p, t) for p, _, t in chunking.sections(text)]
+    assert [p for p, _ in got] == ["H", "Real"] and code in got[0][1]
+    assert [(a, w) for _, a, w in chunking.atoms(code, 0)] == [(code, True)]
+    assert [w for *_, w in chunking.atoms("~~~~\na\n~~~\nb\n~~~~\nrest\n", 0)] == [True, False]
+    assert chunking.snapped("nd here. Sentence two goes") == "Sentence two goes" and chunking.snapped("half word") == "word" and chunking.snapped("end.") == "end." and chunking.snapped("word") == "word"
+    body = " ".join(f"Sentence number {k} ends here." for k in range(200))
+    made = chunking.chunk_markdown(body)
+    assert len(made) > 4 and all(body[start:end] == chunk for chunk, _, start, end, _ in made)
+    assert all(chunk.startswith("Sentence") for chunk, *_ in made)
+    tables = "text\n| a | b |\n|---|---|\n| 1 | 2 |\n | c |\n| alone |\n"
+    assert [w for *_, w in chunking.atoms(tables, 0)] == [False, True, False, False]
