@@ -126,6 +126,7 @@ def related_pages(nodes: DataFrame, edges: DataFrame, related: DataFrame, source
     rows, or as many as there are other pages; a null type is none of the named.
     """
     nodes = nodes.where("id IS NOT NULL").select("id", F.when(F.col("type").isin(TYPES), F.col("type")).otherwise("").alias("type"))
+    edges, related = cut_statistics(edges.select("src", "dst")), cut_statistics(related.select("src", "dst"))
     found = cut_statistics(features(edges, related, sources))
     hubs = found.where(F.col("n") > hub).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("feature", "weight"))).alias("hubs"))
     about = nodes.join(hubs.withColumnRenamed("node", "id"), "id", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast(hubs.schema["hubs"].dataType)))

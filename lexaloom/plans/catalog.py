@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lexaloom.functions import text as T
 from lexaloom.operators import changes, chunking, dedup, graph, linking, matching, neighbours, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
-from lexaloom.session import table
+from lexaloom.session import cut_statistics, shared_path, table
 from lexaloom.sources import pages as page_sources
-from lexaloom.streaming import feed
+from lexaloom.streaming import feed, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,7 +265,7 @@ def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     p = upkeep.linked_pages(spark, sf_dir).withColumn("id", T.file_stem(F.col("path")))
     refs = lambda items: p.select("id", F.explode(F.array_distinct(items)).alias("target"))
     links, listed = refs(T.link_targets(T.body_of(F.col("content")))), refs(T.array_field(F.col("content"), "related"))
-    found = graph.resolve_cascade(links.unionByName(listed).select(F.col("target").alias("ref")), p.select("id"))
+    found = cut_statistics(graph.resolve_cascade(links.unionByName(listed).select(F.col("target").alias("ref")), p.select("id")))
     sources = p.select("id", F.explode(T.array_field(F.col("content"), "sources")).alias("source"))
     return p.select("id", T.page_type(F.col("content")).alias("type")), graph.edges_of(links, found), graph.edges_of(listed, found), sources
 
@@ -639,6 +639,27 @@ def task_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert_tasks(q, table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_custkey").cast("string")).alias("path")))
 
 
+@query(
+    """SELECT key, title FROM (SELECT 'user-' || user_id AS key, event_type || ' ' || event_id AS title, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+    WHERE k = 1 AND event_type <> (SELECT min(event_type) FROM events)"""
+)
+def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after all events as changes, in four batches of which one is run twice, with a compaction between; the first kind of event removes."""
+    e = table(spark, sf_dir, "events")
+    first, last, gone = e.agg(F.min("event_id"), F.max("event_id"), F.min("event_type")).first()
+    changes = e.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"),
+        F.when(F.col("event_type") == gone, registry.REMOVE).otherwise(registry.UPSERT).alias("op"), F.col("event_id").alias("at"),
+    )
+    kept = registry.Registry(spark, shared_path(e, "registry"), changes.select("key", "title").schema)
+    size = (last - first) // 4 + 1
+    for batch in (0, 1, 1, 2, 0, 3):
+        kept.apply(batch, changes.where((F.col("at") - first >= batch * size) & (F.col("at") - first < (batch + 1) * size)))
+        if batch == 2:
+            kept.compact()
+    return kept.state()
+
+
 for part in (maintenance, upkeep):
     QUERIES.update(part.QUERIES)
     ORACLE_SQL.update(part.ORACLE_SQL)

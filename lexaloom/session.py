@@ -68,3 +68,8 @@ def cut_statistics(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(df: DataFrame, name: str) -> str:
+    """A path in that folder that nothing else uses."""
+    return f"{_shared_folder(df)}/{name}-{uuid.uuid4().hex}"
