@@ -16,7 +16,7 @@ from lexaloom.operators import changes, chunking, dedup, graph, linking, matchin
 from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import cut_statistics, shared_path, table
 from lexaloom.sources import pages as page_sources
-from lexaloom.streaming import feed, registry
+from lexaloom.streaming import feed, ingestion, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -660,6 +660,22 @@ def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.state()
 
 
+@query(
+    """WITH k AS (SELECT o_custkey AS c, count(*) AS size, max(o_orderkey) AS mtime, CAST(count(*) % 5 AS INT) AS tried, max(o_orderstatus) = 'P' AS failed FROM orders GROUP BY 1),
+    s AS (SELECT o_custkey AS c, count(*) AS size, max(o_orderkey) AS mtime FROM orders WHERE o_totalprice > 30000 GROUP BY 1)
+    SELECT 'c' || coalesce(k.c, s.c) AS path, CASE WHEN s.c IS NULL THEN 'gone' WHEN s.size = k.size AND s.mtime = k.mtime THEN CASE WHEN failed AND tried < 3 THEN 'retry' ELSE 'same' END WHEN s.size > 15 THEN 'large' ELSE 'read' END AS action,
+    CASE WHEN s.size = k.size AND s.mtime = k.mtime AND failed AND tried < 3 THEN tried ELSE 0 END AS tried FROM k FULL JOIN s ON k.c = s.c"""
+)
+def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingestion does with each file: customers are files, their orders bytes, of which the scan sees those above a price."""
+    o = table(spark, sf_dir, "orders").withColumn("path", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    stat = lambda df: df.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("o_orderkey").alias("mtime"), F.max("o_orderstatus").alias("s"))
+    known = stat(o).select(
+        "path", "size", "mtime", F.sha2("path", 256).alias("hash"), (F.col("size") % 5).cast("int").alias("tried"), F.when(F.col("s") == "P", "no text").alias("error"), F.lit(0).cast("long").alias("texts")
+    )
+    return ingestion.plan(stat(o.where("o_totalprice > 30000")), known, tries=3, most_bytes=15).select("path", "action", "tried")
+
+
 for part in (maintenance, upkeep):
     QUERIES.update(part.QUERIES)
     ORACLE_SQL.update(part.ORACLE_SQL)

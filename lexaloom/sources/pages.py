@@ -102,21 +102,23 @@ def clip_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", html_title(F.col("html")).alias("title"), "html").mapInPandas(run, "page_id long, title string, content string")
 
 
+def file_text(path: str, data: bytes) -> str:
+    """A file's text, by extension; other kinds have a placeholder."""
+    ext = path.rsplit(".", 1)[-1].lower()
+    if ext in office.KINDS:
+        return office.office_text(path, data)
+    if ext in ("html", "htm"):
+        return markdown_of(data.decode("utf-8", "replace"))
+    if ext in ("md", "txt", "csv", "json", "yaml", "yml"):
+        return data.decode("utf-8", "replace")
+    return f"[{ext} file: {path.rsplit('/', 1)[-1]}]"
+
+
 def extract_files(files: DataFrame) -> DataFrame:
-    """path and content (text) of files (path, content binary), by extension; other kinds have a placeholder."""
-
-    def one(path: str, data: bytes) -> str:
-        ext = path.rsplit(".", 1)[-1].lower()
-        if ext in office.KINDS:
-            return office.office_text(path, data)
-        if ext in ("html", "htm"):
-            return markdown_of(data.decode("utf-8", "replace"))
-        if ext in ("md", "txt", "csv", "json", "yaml", "yml"):
-            return data.decode("utf-8", "replace")
-        return f"[{ext} file: {path.rsplit('/', 1)[-1]}]"
+    """path and content (text) of files (path, content binary)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"path": f["path"], "content": [one(p, bytes(d)) for p, d in zip(f["path"], f["content"], strict=True)]})
+            yield pd.DataFrame({"path": f["path"], "content": [file_text(p, bytes(d)) for p, d in zip(f["path"], f["content"], strict=True)]})
 
     return files.select("path", "content").mapInPandas(run, "path string, content string")
