@@ -35,6 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .token_store import parts
 from .tokens import _ODD, Encoder, _bytes_of_units
 from .work import batch, materialize, tidied, tidy
 
@@ -271,26 +272,11 @@ _HEAD = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_g
 _HEAD_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
 
 
-def _parted(b: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Keys and texts (null as empty) of a batch, in parts of about TOGETHER characters."""
-    keys, texts, held = [], [], 0
-    for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-        text = text.as_py() or ""
-        if keys and held + len(text) > TOGETHER:
-            yield keys, texts
-            keys, texts, held = [], [], 0
-        keys.append(key)
-        texts.append(text)
-        held += len(text)
-    if keys:
-        yield keys, texts
-
-
 def _aligner(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(path_a, path_b)
         for arrived in batches:
-            for keys, texts in _parted(arrived):
+            for keys, texts in parts(arrived, TOGETHER):
                 rows = [(key, *found) for key, found in zip(keys, both.align_texts(texts), strict=True)]
                 *columns, links = zip(*rows, strict=True)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int32)

@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_store import parts
-from .tokens import encoder
+from .tokens import encoder, forget
 from .work import batch, materialize, tidied
 
 CAPACITY = 2048
 BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 8, 24
+#: Characters that are encoded together.
+TOGETHER = 1 << 21
 #: A level that saves a smaller share of the open sequences is the last.
 LEAST_SAVED = 0.001
 #: A bin counts as well filled with at most this share of its room free.
@@ -58,7 +60,7 @@ def _cutter(path: str, end_id: int, capacity: int):
         enc, end = encoder(path), np.array([end_id], "<u4")
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
-            for own, texts in parts(b):
+            for own, texts in parts(b, TOGETHER):
                 for key, x in zip(own, enc.encode(texts), strict=True):
                     data = memoryview(np.concatenate((x, end))).cast("B")
                     n = len(data) // 4
@@ -190,6 +192,7 @@ _ISLAND_DDL = "block long, island int, items array<struct<item:long,length:int>>
 
 def _epoch(capacity: int, population: int, generations: int, epoch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             elites, counts, filled = [], [], []
             for k in range(b.num_rows):
@@ -248,11 +251,11 @@ def pack_items(
                 moved = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
                 state = state.drop("n_bins", "filled").join(moved, ["block", "island"]).select("block", "island", "items", "elite", "migrant")
             run = _epoch(capacity, population, generations, epoch)
-            state = materialize(state.repartition("block", "island").mapInArrow(run, _ISLAND_DDL), "islands")
+            state = materialize(state.repartition("block", "island").mapInArrow(tidied(run), _ISLAND_DDL), "islands")
         best = state.groupBy("block").agg(
             F.max(F.struct(-F.col("n_bins"), "filled", -F.col("island"))).alias("best")
         ).select("block", (-F.col("best")["col3"]).alias("island"))
-        placed = materialize(state.join(best, ["block", "island"]).select("items", "elite").mapInArrow(_places, _PLACED_DDL), "packed")
+        placed = materialize(state.join(best, ["block", "island"]).select("items", "elite").mapInArrow(tidied(_places), _PLACED_DDL), "packed")
         closed = F.col("filled") >= capacity * (1 - SLACK)
         first = F.col("offset") == 0
         n, n_open, total = placed.agg(F.count_if(~closed), F.count_if(first & ~closed), F.count_if(first)).first()

@@ -101,10 +101,13 @@ SHARD_DDL = (
 )
 
 
-def shard_row(shard: int, keys: list[int], ids: list[bytes], width: int) -> list:
-    """A shard of documents in order; ids are width bytes wide. A key that repeats has one slot, with all its ids."""
+def shard_row(shard: int, keys: list[int | None], ids: list[bytes], width: int) -> list:
+    """A shard of documents in order; ids are width bytes wide. A key that repeats has one slot, with all its ids.
+
+    Documents without a key make shards of their own, whose first and last key are null; no lookup meets them.
+    """
     lengths = np.array([len(x) // width for x in ids], np.int64)
-    k = np.array(keys, np.int64)
+    k = np.zeros(len(keys), np.int64) if keys[0] is None else np.array(keys, np.int64)
     distinct, first = np.unique(k, return_index=True)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     seeds = build_mph(distinct.view(_U64))
@@ -118,12 +121,12 @@ def shard_row(shard: int, keys: list[int], ids: list[bytes], width: int) -> list
     return [*head, own, seeds.astype("<u4").tobytes(), prints.tobytes(), at.tobytes(), size.tobytes(), b"".join(ids)]
 
 
-def parts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
-    """Keys and texts (null as empty) of a batch, in parts of about as many characters as are encoded together."""
+def parts(b: pa.RecordBatch, most: int = TOGETHER) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Keys and texts (null as empty) of a batch, in parts of about most characters."""
     keys, texts, held = [], [], 0
     for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
         text = text.as_py() or ""
-        if keys and held + len(text) > TOGETHER:
+        if keys and held + len(text) > most:
             yield keys, texts
             keys, texts, held = [], [], 0
         keys.append(key)
@@ -174,7 +177,7 @@ def _shards(shard_ids: int):
 
         for b in batches:
             for key, width, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if keys and held + len(x) // width > shard_ids:
+                if keys and (held + len(x) // width > shard_ids or (key is None) != (keys[-1] is None)):
                     yield made()
                     number += 1
                     keys, ids, held = [], [], 0
@@ -190,13 +193,14 @@ def _shards(shard_ids: int):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append end_id to each, and write the shards in ascending doc_id order.
 
-    Null texts count as empty. Rows without a doc_id have no key; they are
-    refused with an error rather than dropped. Rows that repeat a doc_id follow
-    each other, in no set order; one slot of each shard that holds any covers them.
+    Null texts count as empty. Rows without a doc_id have no key and stand after
+    all others. Rows that repeat a doc_id follow each other, in no set order; one
+    slot of each shard that holds any covers them.
     """
-    keyed = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(encoded(keyed, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    ranged = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "width", "ids")
+    order = F.asc_nulls_last("doc_id"), F.asc("row")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "width", "ids")
     ranged.mapInArrow(tidied(_shards(shard_ids)), SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 
@@ -248,7 +252,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("an index entry does not match its shard")
             wide = shard.payload.astype("<u4")
             crcs = [zlib.crc32(wide[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            yield batch(_LOOKED, key, np.full(len(key), row["shard"]), at, length, crcs)
+            key = pa.nulls(len(key), pa.int64()) if row["first_key"] is None else key
+            yield batch(_LOOKED, key, np.full(len(length), row["shard"]), at, length, crcs)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

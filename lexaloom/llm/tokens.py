@@ -217,6 +217,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Give up the encoders of this Python worker, with the ids that they have kept; later stages have its memory."""
+    _ENCODERS.clear()
+
+
 def public_path(name: str = "byte_bpe_50k.json") -> str:
     """Where an installed public vocabulary file lies; the same on every machine of the cluster."""
     import public_tokenizers

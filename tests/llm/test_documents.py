@@ -541,3 +541,17 @@ def test_every_window_lies_in_a_stretch(n, most):
     parts = decontam.stretches(ws, 10, most)
     windows = lambda x: {tuple(x[k : k + 10]) for k in range(max(len(x) - 9, 1))} if x else set()
     assert set().union(*map(windows, parts), set()) == windows(ws) and all(len(x) <= most for x in parts)
+
+
+def test_documents_without_ids(spark, tokenizer):
+    """A null doc_id stops nothing: rows come back, and those of the token store stand after all others."""
+    texts = ["one two three four five six seven"] * 3 + ["the cat sat on the mat again", None, "the cat sat on the mat again"]
+    rows = [(5, texts[0]), (None, texts[1]), (9, texts[2]), (None, texts[3]), (None, texts[4]), (2, texts[5])]
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    store = sorted(token_store.store_digests(df, tokenizer, shard_ids=8).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in store] == [2, 5, 9, None, None, None]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(store, store[1:]))
+    assert sorted(r["n_tokens"] for r in store[3:])[0] == 1
+    for found in (near_dup.near_duplicates(df), packing.pack(df, tokenizer), exact_dedup.exact_dedup(df), langid.identify(df), licenses.scan(df)):
+        assert found.where("doc_id IS NULL").count() == 3 and found.count() == 6
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(df).collect()} >= {9} and near_dup.keep_one(df).count() >= 1
