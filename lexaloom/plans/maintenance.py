@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexaloom.functions import markup as M
 from lexaloom.functions import paths as P
 from lexaloom.functions import text as T
-from lexaloom.operators import evals, listing, quality, reviews, vectors
+from lexaloom.operators import evals, listing, ontology, quality, reviews, vectors
 from lexaloom.session import table
 
 
@@ -164,3 +164,25 @@ def context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.entity_summary(F.col("text"), F.lit(None).cast("string")).alias("summary"))
+
+
+@query(
+    f"""WITH p AS (SELECT 'wiki/' || folder || '/' || slug || '.md' AS path, kind, p_size FROM {_MADE})
+    SELECT path, 'hard' AS severity, 'type-directory-mismatch' AS code, 'type' AS field FROM p WHERE kind = 'source'
+    UNION ALL SELECT path, 'soft', 'invalid-enum', 'created' FROM p WHERE kind = 'concept' AND 1 + p_size % 28 <> 2"""
+)
+def ontology_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against the built-in types, of which concepts may be of one day only."""
+    known = ontology.given(spark, {"concept": {"created": ["2024-01-02"]}})
+    return ontology.violations(made_pages(spark, sf_dir).select("path", "content"), known, "2026-01-01")
+
+
+@query(
+    f"""WITH n AS (SELECT kind AS type, folder, count(*) AS n FROM {_MADE} WHERE kind <> 'entity' GROUP BY ALL)
+    SELECT type, arg_min(folder, -n * 1000 + CASE folder WHEN 'concepts' THEN 0 ELSE 1 END) AS folder, CAST(sum(n) AS BIGINT) AS n_pages, max(n) AS n_there, 'created,related,title,type' AS required FROM n GROUP BY type"""
+)
+def induced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that pages have beyond entities, with their folders, support and common fields."""
+    known = ontology.given(spark).where("type = 'entity'")
+    made = ontology.induced(made_pages(spark, sf_dir).select("path", "content"), known)
+    return made.select("type", "folder", "n_pages", "n_there", F.array_join("required", ",").alias("required"))
