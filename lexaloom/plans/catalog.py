@@ -15,6 +15,7 @@ from lexaloom.functions import text as T
 from lexaloom.operators import changes, chunking, dedup, graph, linking, matching, neighbours, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
 from lexaloom.session import cut_statistics, shared_path, table
+from lexaloom.sources import media
 from lexaloom.sources import pages as page_sources
 from lexaloom.streaming import feed, ingestion, registry
 
@@ -676,6 +677,25 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.plan(stat(o.where("o_totalprice > 30000")), known, tries=3, most_bytes=15).select("path", "action", "tried")
 
 
+@query(
+    """WITH s AS (SELECT source, 'media/' || left(sha256(source), 32) || '.png' AS url, sha256(source) AS h FROM (SELECT DISTINCT source FROM documents)),
+    d AS (SELECT doc_id, source, CAST(least(doc_id % 4, 2) AS INT) AS n FROM documents)
+    SELECT 'doc-' || doc_id AS path, k AS "at", 'picture ' || k AS alt, url, CASE k WHEN 0 THEN 'Of ' || source || ':' ELSE 'and' END AS before, CASE WHEN k + 1 < n THEN 'and' ELSE 'end' END AS after, h AS sha256, 'in/' || source || '.docx' AS source, CAST(2 AS BIGINT) AS n_files
+    FROM (SELECT *, CAST(unnest(range(0, n)) AS INT) AS k FROM d) JOIN s USING (source)"""
+)
+def image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images in pages made of documents, with their text around and the files that show the same picture."""
+    d = table(spark, sf_dir, "documents")
+    own = d.select("source").distinct().withColumn("sha256", F.sha2("source", 256))
+    shown = own.select("sha256", F.concat("source", F.lit(".PNG")).alias("name"), F.explode(F.array(F.lit("docx"), F.lit("pptx"))).alias("kind"), F.concat(F.lit("in/"), "source").alias("p"))
+    shown = shown.select("sha256", "name", F.concat("p", F.lit("."), "kind").alias("path"))
+    image = lambda k: F.concat(F.lit(f"![picture {k}](media/"), F.substring(F.sha2("source", 256), 1, 32), F.lit(".png)"))
+    n = F.least(F.col("doc_id") % 4, F.lit(2))
+    first, second = F.when(n > 0, image(0)).otherwise(""), F.when(n > 1, F.concat(F.lit(" and "), image(1))).otherwise("")
+    content = F.concat(F.lit("Of "), "source", F.lit(":\n"), first, second, F.lit(" end"))
+    return media.image_results(d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")), shown)
+
+
 for part in (maintenance, upkeep):
     QUERIES.update(part.QUERIES)
     ORACLE_SQL.update(part.ORACLE_SQL)
