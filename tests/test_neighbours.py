@@ -1,6 +1,7 @@
 """Neighbours of every vector against brute force: copies, blocks, cells, recall and rows that are no vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexaloom.operators import neighbours
@@ -55,3 +56,23 @@ def test_rows_that_are_no_vectors(spark):
     assert joined(spark, rows, 3, exact=True) == {1: [(6, 0.0), (5, 1.0)], 6: [(1, 0.0), (5, 1.0)], 5: [(1, 1.0), (6, 1.0)]}
     assert joined(spark, rows[:1], 3) == {}
     assert joined(spark, [], 3) == {}
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_batches_stay_small_whatever_is_asked():
+    x = np.random.default_rng(1).normal(size=(5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(np.arange(5000)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["class", "first", "vector"])
+    out = list(neighbours._asked(Shared(x[:50]), 8)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 40000 and max(b.num_rows for b in out) <= 8 * neighbours.STEP
+
+
+def test_exact_in_many_parts(spark, clustered, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "PART_BLOCKS", 1)
+    want = brute(clustered, 5)
+    got = joined(spark, clustered, 5, probes=1, cells=6, exact=True)
+    assert {a: [b for b, _ in v] for a, v in got.items()} == {a: [b for b, _ in v] for a, v in want.items()}
