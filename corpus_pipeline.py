@@ -31,8 +31,8 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_path(), end_id=0, capacity=2048)
+    """Token pieces with their places in sequences of at most 2048 tokens; workers still hold what earlier stages needed, so few characters go together."""
+    return packing.pack(docs, public_path(), end_id=0, capacity=2048, together=1 << 20)
 
 
 STAGES = [

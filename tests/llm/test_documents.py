@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
+from lexaloom.llm.tokens import public_path
 from lexaloom.llm import components, decontam, exact_dedup, langid, licenses, near_dup, packing, pii, token_store
 
 
@@ -555,3 +556,10 @@ def test_documents_without_ids(spark, tokenizer):
     for found in (near_dup.near_duplicates(df), packing.pack(df, tokenizer), exact_dedup.exact_dedup(df), langid.identify(df), licenses.scan(df)):
         assert found.where("doc_id IS NULL").count() == 3 and found.count() == 6
     assert {r["doc_id"] for r in exact_dedup.drop_copies(df).collect()} >= {9} and near_dup.keep_one(df).count() >= 1
+
+
+def test_few_characters_together_give_the_same_pieces(spark):
+    rows = [(k, f"some words {k} " * (1 + k * 7 % 90)) for k in range(60)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **how: sorted(map(tuple, packing.pieces(docs, public_path(), 0, 128, **how).collect()))
+    assert found(together=300) == found()
