@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import fresh, materialize, raw, tidied
+from .work import fresh, materialize, raw, slices, tidied
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -238,11 +238,16 @@ class _Shared:
         return _Shared.loaded[1]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
+def annotate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True,
+    then: tuple[Callable[[Iterator], Iterator], T.StructType] | None = None,
+) -> DataFrame:
     """docs (without text if so asked) with the columns of _FOUND (underscores before a name that docs has).
 
     A pass is a narrow map; the next block's pass takes the columns that the
-    one before has found and adds to them.
+    one before has found and adds to them. then is a map over the result's
+    batches, with its schema, that the last pass's worker does as well: a map
+    of its own would have another Python worker beside it in every task.
     """
     pieces, blocks = automata(benchmark, window, block_words)
     names = docs.columns
@@ -258,14 +263,24 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
         kept = [n for n in names if keep_text or n != "text" or not last]
         schema = T.StructType([docs.schema[n] for n in kept] + added.fields)
         alive.append(_Shared(pieces, k, window))
-        out = out.mapInArrow(tidied(_scanner(alive[-1], names.index("text"), [names.index(n) for n in kept], k > 0, added.names)), schema)
+        run = _scanner(alive[-1], names.index("text"), [names.index(n) for n in kept], k > 0, added.names)
+        if then and last:
+            run, schema = _after(run, then[0]), then[1]
+        out = out.mapInArrow(tidied(run), schema)
     return out
 
 
+def _after(first: Callable[[Iterator], Iterator], second: Callable[[Iterator], Iterator]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return second(first(batches))
+
+    return run
+
+
 def _scanner(shared, text: int, kept: list[int], more: bool, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.automaton()
-        for b in batches:
+        for b in slices(batches):
             counts, spans, items = [], [], []
             for k, data in enumerate(raw(b.column(text))):
                 ws = words(data)
@@ -345,5 +360,5 @@ def decontaminate(
     """
     names = docs.columns
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    found = annotate(plain, benchmark, window, block_words)
-    return found.mapInArrow(tidied(_remover(names.index("text"), len(names), max_coverage)), plain.schema).select(*names)
+    remove = _remover(names.index("text"), len(names), max_coverage)
+    return annotate(plain, benchmark, window, block_words, then=(remove, plain.schema))

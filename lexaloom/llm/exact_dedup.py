@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import batch, fresh, materialize, raw, tidied
+from .work import batch, fresh, materialize, raw, slices, tidied
 
 #: Cut points: a boundary where the low MASK_BITS bits of the rolling hash are 0, chunks of MIN to MAX bytes.
 MASK_BITS, MIN_BYTES, MAX_BYTES = 11, 512, 16384
@@ -67,7 +67,7 @@ _CUT_DDL = "doc_id long, text_sha256 string, digests array<binary>, sizes array<
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         shas, digests, sizes, prints = [], [], [], []
         for text in raw(b.column(1)):
             own = chunks(text or b"")

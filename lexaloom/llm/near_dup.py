@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import batch, materialize, raw, sieve, tidied
+from .work import batch, materialize, raw, sieve, slices, tidied
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 48, 6
@@ -118,7 +118,7 @@ _SIGNED_DDL = "doc_id long, text_hash long, n_shingles long, set_hash binary, si
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingles(t) for t in raw(b.column(1))]
         yield batch(
             _SIGNED, b.column(0), b.column(2), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
@@ -146,7 +146,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed pairs of rows (b, salt, a, text) in which each group (b, salt) starts with b itself (a null)."""
     now, base = None, None
-    for batch_ in batches:
+    for batch_ in slices(batches):
         found: tuple[list[int], list[int]] = ([], [])
         keys = zip(batch_.column(0).to_pylist(), batch_.column(1).to_pylist(), batch_.column(2).to_pylist(), raw(batch_.column(3)), strict=True)
         for b, salt, a, text in keys:
@@ -181,7 +181,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often shingles of each counter occur in the texts of rows (class_id, component, text)."""
     total = np.zeros(COUNTERS, np.int64)
-    for b in batches:
+    for b in slices(batches):
         for text in raw(b.column(2)):
             total += np.bincount((shingles(text) % _U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(total)
@@ -197,7 +197,7 @@ def _rarest(frequency, parts: int):
     """For each class and part the class's rarest shingles in it and their places in the order by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in _RARE]
             for key, component, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
                 own = shingles(text)

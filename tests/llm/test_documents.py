@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 from lexaloom.llm.tokens import public_path
-from lexaloom.llm import components, decontam, exact_dedup, langid, licenses, near_dup, packing, pii, token_store
+from lexaloom.llm import components, decontam, exact_dedup, langid, licenses, near_dup, packing, pii, token_store, work
 
 
 def by_id(df):
@@ -245,6 +246,21 @@ def test_decontaminate(spark, docs, corpus, items):
             assert (got[k] == t) if not hit else (brute_hits(got[k], items)[1] == 0)
 
 
+def test_decontamination_has_one_worker_in_a_task(spark, docs, items):
+    """Texts are scanned and cut by one Python worker: a second one beside it took the pipeline beyond an executor's memory."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plan = decontam.decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_slices_hold_few_rows():
+    made = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array([str(k) for k in range(1300)])], ["n", "t"])
+    parts = list(work.slices(iter([made, made.slice(0, 0), made.slice(5, 600)])))
+    assert [x.num_rows for x in parts] == [512, 512, 276, 512, 88]
+    assert [n for x in parts for n in x.column(0).to_pylist()] == [*range(1300), *range(5, 605)]
+    assert work.raw(parts[-1].column(1)) == [str(k).encode() for k in range(517, 605)]
+
+
 def test_token_store(spark, docs, corpus, tokenizer, no_docs, tmp_path):
     from tokenizers import Tokenizer
 
