@@ -14,7 +14,7 @@ from lexaloom.session import table
 
 def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts as wiki pages with front matter, links to the parts of the same brand before them, and lists."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", spread=4)
     folder = F.when(F.col("p_size") % 2 == 0, "entities").otherwise("concepts")
     slug = F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), F.lit("-"), (F.col("p_partkey") % 1000).cast("string"))
     kind = F.when(F.col("p_size") % 7 == 0, "source").when(F.col("p_size") % 2 == 0, "entity").otherwise("concept")

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts as pages part-K that link to part K-1 by identifier, to part K/2 by title and to a page that is not there."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", spread=4)
     k, half = F.col("p_partkey").cast("string"), F.floor(F.col("p_partkey") / 2).cast("string")
     near = lambda n: (F.col("p_partkey") + n).cast("string")
     kind = F.element_at(F.array(*map(F.lit, ["entity", "concept", "source"])), (1 + F.col("p_partkey") % 3).cast("int"))

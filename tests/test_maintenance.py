@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lexaloom.functions import markup as M
 from lexaloom.functions import paths as P
 from lexaloom.operators import evals, listing, matching, reviews, vectors
+from lexaloom.plans import maintenance
+from lexaloom.plans import upkeep as upkeep_plans
 
 
 def one(spark, f, *values):
@@ -83,3 +85,11 @@ def test_containing(spark):
     got = matching.containing(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(parts, "key int, part string"))
     want = {(i, k) for i, t in texts for k, p in parts if t and p and p in t}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_made_pages_are_dealt_out(spark, tmp_path):
+    """A small table of parts is one row group, read by one task: the work on its pages is not left to that task."""
+    spark.range(2000).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for pages in (maintenance.made_pages(spark, str(tmp_path)), upkeep_plans.linked_pages(spark, str(tmp_path))):
+        sizes = pages.rdd.glom().map(len).collect()
+        assert sum(sizes) == 2000 and sum(n > 0 for n in sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 600
