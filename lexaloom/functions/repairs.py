@@ -158,9 +158,22 @@ def repaired(content: Column) -> Column:
 
 
 def repair_steps(content: Column) -> Column:
-    """text, and rules: the names of those that changed it, in order; each rule's result is worked out once."""
-    state = F.struct(content.alias("text"), F.array().cast("array<string>").alias("rules"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), state, lambda s, _: reduce(lambda x, rule: _bound(x, *rule), RULES, s), lambda s: F.struct(s["text"].alias("text"), F.array_distinct(s["rules"]).alias("rules")))
+    """text, rules (the names of those that changed it, in order) and settled; each rule's result is worked out once.
+
+    A pass that changes nothing is the last one, as all later ones would do the
+    same; the text is then settled: mending it again changes nothing. Not
+    settled is a text that all PASSES passes have changed, so nothing is known.
+    """
+    state = F.struct(content.alias("text"), F.array().cast("array<string>").alias("rules"), F.lit(False).alias("settled"))
+
+    def gone_through(s: Column) -> Column:
+        after = reduce(lambda x, rule: _bound(x, *rule), RULES, s)
+        return _let(after, lambda x: F.struct(x["text"].alias("text"), x["rules"].alias("rules"), x["text"].eqNullSafe(s["text"]).alias("settled")))
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(PASSES)), state, lambda s, _: F.when(s["settled"], s).otherwise(gone_through(s)),
+        lambda s: F.struct(s["text"].alias("text"), F.array_distinct(s["rules"]).alias("rules"), s["settled"].alias("settled")),
+    )
 
 
 def _bound(state: Column, name: str, rule) -> Column:

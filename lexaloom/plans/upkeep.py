@@ -287,7 +287,7 @@ def repaired_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with damaged blocks, mended: the new text's SHA-256, the rules that took part, and that mending it again changes nothing."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    d = table(spark, sf_dir, "documents", spread=True).select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
     link = lambda n, mark: F.concat(F.lit(f"{mark}[[doc-"), (F.col("doc_id") + n).cast("string"), F.lit(f"]]{mark}"))
     fields = F.concat(F.lit("type: entity\nrelated: "), link(-1, ""), F.lit(", "), link(1, ""))
     good = F.concat(F.lit("---\ntype: entity\nrelated: ["), link(-1, '"'), F.lit(", "), link(1, '"'), F.lit("]\n---\n"))
@@ -296,5 +296,5 @@ def page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") == 0, block).when(F.col("k") == 1, F.regexp_replace(block, r"\A---", "---yaml")).when(F.col("k") == 2, F.concat(F.lit("```md\n"), block, F.lit("\n```\n")))
         .when(F.col("k") == 3, F.concat(F.lit("frontmatter:\n"), block)).when(F.col("k") == 4, F.concat(fields, F.lit("\n\n"), F.ltrim("t"))).otherwise(F.concat(good, F.lit("---\n"), F.col("t")))
     )
-    made = d.select("doc_id", repairs.repair_steps(page).alias("m")).select("doc_id", "m.text", "m.rules")
-    return made.select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.array_join("rules", ",").alias("rules"), (repairs.repaired(F.col("text")) == F.col("text")).alias("settled"))
+    made = d.select("doc_id", repairs.repair_steps(page).alias("m")).select("doc_id", "m.text", "m.rules", "m.settled")
+    return made.select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.array_join("rules", ",").alias("rules"), (F.col("settled") | (repairs.repaired(F.col("text")) == F.col("text"))).alias("settled"))

@@ -64,3 +64,12 @@ def test_source_fragments(spark):
     ]
     df = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(rows)], "k int, s array<string>")
     assert [r["x"] for r in df.select("k", repairs.whole_sources(F.col("s")).alias("x")).orderBy("k").collect()] == [w for _, w in rows]
+
+
+def test_a_pass_without_changes_settles(spark):
+    """Settled texts are those that mending again leaves as they are, found without going through the rules again."""
+    texts = ["---yaml\ntype: entity\nrelated: [[a]], [[b]]\n---\nbody", "body", "", "frontmatter:\n---\ntype: entity\n---\nx", "```md\n---\ntype: entity\n---\nx\n```\n"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", repairs.repair_steps(F.col("t")).alias("m"))
+    rows = df.select("t", "m.*", repairs.repaired(F.col("m.text")).alias("again")).collect()
+    assert all(r["settled"] and r["again"] == r["text"] for r in rows)
+    assert [bool(r["rules"]) for r in rows] == [True, False, False, True, True, False]
