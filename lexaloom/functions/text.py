@@ -228,8 +228,8 @@ def _arabic_score(text: Column, letters: list[tuple[str, int]], words: list[str]
     return out
 
 
-def _latin(low: Column, words: Column) -> Column:
-    """The first language whose marks low (lower-cased) has; words are its distinct ASCII words."""
+def _latin(low: Column, other: Column, words: Column) -> Column:
+    """The first language whose marks low (lower-cased) has; other is low without ASCII, where all letters that mark a language are, and words are its ASCII words that mark one."""
     out = F.when(F.lit(False), F.lit(""))
     for name, letters, marks in LATIN:
         plain = [w for w in marks.split("|") if w.isascii() and w]
@@ -237,7 +237,7 @@ def _latin(low: Column, words: Column) -> Column:
         found = F.arrays_overlap(words, F.array(*map(F.lit, plain))) if plain else F.lit(not marks)
         for w in accented:
             found = found | (F.contains(low, F.lit(w)) & low.rlike(f"{_EDGE}{w}{_EDGE}"))
-        out = out.when(low.rlike(letters) & found if letters else found, F.lit(name))
+        out = out.when(other.rlike(letters) & found if letters else found, F.lit(name))
     return out.otherwise(F.lit("English"))
 
 
@@ -261,7 +261,10 @@ def detect_language(text: Column) -> Column:
         return F.when(rest == "", F.lit(None).cast("string")).when(both, F.lit("Japanese")).otherwise(once(most, lambda m: F.when(m["n"] >= 2, named(m))))
 
     def by_words(s: Column) -> Column:
-        return once(F.struct(s["low"].alias("low"), F.array_distinct(F.split(s["low"], "[^a-z0-9_]+")).alias("words")), lambda x: _latin(x["low"], x["words"]))
+        marks = sorted({w for _, _, m in LATIN for w in m.split("|") if w.isascii() and w})
+        words = F.array_intersect(F.split(s["low"], "[^a-z0-9_]+"), F.array(*map(F.lit, marks)))
+        other = F.regexp_replace(s["low"], r"[\x00-\x7F]+", "")
+        return once(F.struct(s["low"].alias("low"), other.alias("other"), words.alias("words")), lambda x: _latin(x["low"], x["other"], x["words"]))
 
     parts = F.struct(F.regexp_replace(text, r"[\x00-\x{036F}]+", "").alias("rest"), F.lower(text).alias("low"))
     return F.when(text.isNotNull(), once(parts, lambda s: F.coalesce(by_script(s), by_words(s)))).otherwise(F.lit("English"))

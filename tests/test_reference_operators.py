@@ -319,3 +319,14 @@ def test_chunks_of_fences_and_sentences():
     assert all(chunk.startswith("Sentence") for chunk, *_ in made)
     tables = "text\n| a | b |\n|---|---|\n| 1 | 2 |\n | c |\n| alone |\n"
     assert [w for *_, w in chunking.atoms(tables, 0)] == [False, True, False, False]
+
+
+def test_marks_of_latin_languages(spark):
+    """Letters that mark a language are looked for in what is left of a text without ASCII, and its words are those that mark one."""
+    assert all(not any(c.isascii() for c in letters.strip("[]")) for _, letters, _ in T.LATIN)
+    texts = [f"{a} {b} xyz" for letters in ["ğ", "ą", "ě", "ő", "ñ", "å", "ö", "ã", ""] for a in [letters] for b in ["und", "le", "bir", "och", "og", "ja", "unden", "för", "é", "que", "na"]]
+    low = F.col("t")
+    words = F.array_distinct(F.split(low, "[^a-z0-9_]+"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(T.detect_language(low).alias("x"), T._latin(low, low, words).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got) and len({r["x"] for r in got}) > 8
