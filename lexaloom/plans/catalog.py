@@ -36,9 +36,9 @@ def query(sql: str | None = None):
     return add
 
 
-def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wiki_pages(spark: SparkSession, sf_dir: str, spread: int = False) -> DataFrame:
     """documents as pages: path, title, file_name, content."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread)
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
     return d.select(
         F.concat(F.lit("wiki/"), "source", F.lit("/"), name).alias("path"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
@@ -707,5 +707,5 @@ def link_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "benchmark")
     title = F.regexp_extract("text", r"([\p{L}\p{N}]+ [\p{L}\p{N}]+)", 1)
     targets = item.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("slug"), title.alias("title"))
-    done = linking.link_pages(wiki_pages(spark, sf_dir), targets)
+    done = linking.link_pages(wiki_pages(spark, sf_dir, spread=True), targets)
     return done.select("path", "n_added", F.sha2("content", 256).alias("content_sha256"))
