@@ -477,7 +477,7 @@ _ARABIC_SCORE = lambda marks: " + ".join(
     FROM d LEFT JOIN best USING (doc_id)"""
 )
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", T.detect_language(F.col("text")).alias("language"))
+    return table(spark, sf_dir, "documents", spread=4).select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
 @query(
@@ -707,5 +707,5 @@ def link_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "benchmark")
     title = F.regexp_extract("text", r"([\p{L}\p{N}]+ [\p{L}\p{N}]+)", 1)
     targets = item.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("slug"), title.alias("title"))
-    done = linking.link_pages(wiki_pages(spark, sf_dir, spread=True), targets)
+    done = linking.link_pages(wiki_pages(spark, sf_dir, spread=4), targets)
     return done.select("path", "n_added", F.sha2("content", 256).alias("content_sha256"))

@@ -287,7 +287,7 @@ def repaired_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with damaged blocks, mended: the new text's SHA-256, the rules that took part, and that mending it again changes nothing."""
-    d = table(spark, sf_dir, "documents", spread=True).select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    d = table(spark, sf_dir, "documents", spread=4).select("doc_id", (F.col("doc_id") % 6).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
     link = lambda n, mark: F.concat(F.lit(f"{mark}[[doc-"), (F.col("doc_id") + n).cast("string"), F.lit(f"]]{mark}"))
     fields = F.concat(F.lit("type: entity\nrelated: "), link(-1, ""), F.lit(", "), link(1, ""))
     good = F.concat(F.lit("---\ntype: entity\nrelated: ["), link(-1, '"'), F.lit(", "), link(1, '"'), F.lit("]\n---\n"))
