@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import materialize
+from .work import few, materialize
 
 #: Edges that a task holds at a time (16 bytes each).
 SLICE = 1 << 20
@@ -65,11 +65,12 @@ def components(edges: DataFrame) -> DataFrame:
     The number of rounds grows with the logarithm of the longest path at most.
     Edges are made distinct in each round and written to the shared folder. The
     joins are on edges made distinct and can be split where one node has very
-    many neighbours.
+    many neighbours. No step has more than twice the rows of edges.
     """
+    most = 2 * edges.count()
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
-        now = materialize(now.mapInArrow(_contracted, "u long, v long"), "contracted")
+        now = materialize(few(now, most).mapInArrow(_contracted, "u long, v long"), "contracted")
         tops = now.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("most"))
         inner = now.select(F.col("v").alias("u")).distinct().withColumn("inner", F.lit(True))
         if not tops.join(inner, "u", "left").where("v <> most OR inner").take(1):
@@ -77,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", most)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = small.select("e.u", "e.v").where("u <> v").distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import batch, materialize, raw, sieve, slices, tidied
+from .work import TASK_TEXTS, batch, few, materialize, raw, sieve, slices, tidied
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 48, 6
@@ -135,12 +135,12 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and signatures allow the threshold."""
+def estimated(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b), of which there are at most so many, of classes whose sizes and signatures allow the threshold."""
     own = classes.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     other = classes.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
     wide = pairs.join(own, "a").join(other, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
-    return wide.mapInArrow(_estimates, "a long, b long")
+    return few(wide, most).mapInArrow(_estimates, "a long, b long")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,18 +163,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; texts has class_id and text.
+def confirmed(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b), of which there are at most so many, whose whole sets are similar enough; texts has class_id and text.
 
     Many pairs may share one b: they are dealt into groups of about SALT_ROWS, each with one copy of b's text.
     """
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"))
-    salted = materialize(salted, "salted")
+    salted = materialize(salted, "salted", most)
     members = salted.join(texts, salted["a"] == texts["class_id"]).select("b", "salt", F.col("a").alias("a"), "text")
     firsts = salted.select("b", "salt").distinct().join(texts, F.col("b") == texts["class_id"])
     firsts = firsts.select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
-    rows = members.unionByName(firsts).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    rows = few(members.unionByName(firsts).repartition("b", "salt"), 2 * most, TASK_TEXTS).sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     return rows.mapInArrow(tidied(_confirm), "a long, b long")
 
 
@@ -182,8 +182,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often shingles of each counter occur in the texts of rows (class_id, component, text)."""
     total = np.zeros(COUNTERS, np.int64)
     for b in slices(batches):
-        for text in raw(b.column(2)):
-            total += np.bincount((shingles(text) % _U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        own = [(shingles(text) % _U64(COUNTERS)).astype(np.int64) for text in raw(b.column(2))]
+        at, n = np.unique(np.concatenate(own), return_counts=True)
+        total[at] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
 
@@ -259,23 +260,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leftover_links(bands: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links between classes of different components, among the classes of bands that hold several components."""
     members = bands.select("first", "class_id").distinct().join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    members = materialize(members.withColumn("component", F.coalesce("component", "class_id")), "members")
+    n = bands.count()
+    members = materialize(members.withColumn("component", F.coalesce("component", "class_id")), "members", n)
     mixed = members.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("first")
-    apart = members.join(materialize(mixed, "mixed"), "first").select("class_id", "component").distinct()
-    apart = materialize(apart.join(classes.select("class_id", "doc_id", "text_hash", "n_shingles"), "class_id"), "apart")
+    apart = members.join(materialize(mixed, "mixed", n), "first").select("class_id", "component").distinct()
+    apart = materialize(apart.join(classes.select("class_id", "doc_id", "text_hash", "n_shingles"), "class_id"), "apart", n)
     rare = apart.agg(F.sum(F.floor(F.col("n_shingles") / 4) + 1)).first()[0]
     if not rare:
         return apart.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
-    texts = _texts(docs, apart)
-    rows = texts.join(apart.select("class_id", "component"), "class_id").select("class_id", "component", "text")
+    n = apart.count()
+    texts = _texts(docs, apart, n)
+    rows = few(texts.join(apart.select("class_id", "component"), "class_id").select("class_id", "component", "text"), n, TASK_TEXTS)
     counted = rows.mapInArrow(tidied(_count), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(COUNTERS, np.int64)
     frequency[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
     parts = -(-rare // PART_SHINGLES)
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
     found = rows.mapInArrow(tidied(_rarest(shared, parts)), "part int, class_id long, component long, n long, found binary, places binary")
-    pairs = found.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(_meet), "a long, b long").distinct()
-    return confirmed(materialize(estimated(materialize(pairs, "meetings"), classes), "likely"), texts)
+    dealt = few(found.repartition("part"), parts, 1).sortWithinPartitions("part")
+    pairs = materialize(dealt.mapInArrow(tidied(_meet), "a long, b long").distinct(), "meetings")
+    likely = materialize(estimated(pairs, classes, pairs.count()), "likely")
+    return confirmed(likely, texts, likely.count())
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -285,21 +290,21 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class_id and text of the wanted classes (class_id, doc_id, text_hash), written once.
+def _texts(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """class_id and text of the wanted classes (class_id, doc_id, text_hash), of which there are at most so many, written once.
 
     A filter keeps most other texts from being shuffled; the join behind it is exact.
     """
-    wanted = wanted.select("class_id", "doc_id", "text_hash").distinct()
+    wanted = materialize(wanted.select("class_id", "doc_id", "text_hash").distinct(), "wanted", most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     own = own.where(sieve(wanted, "doc_id")(F.col("doc_id"))).withColumn("text_hash", F.xxhash64("text"))
-    return materialize(own.join(wanted, ["doc_id", "text_hash"]).select("class_id", "text").dropDuplicates(["class_id"]), "texts")
+    return materialize(own.join(wanted, ["doc_id", "text_hash"]).select("class_id", "text").dropDuplicates(["class_id"]), "texts", most, TASK_TEXTS)
 
 
-def _one_document(full: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of one doc_id that has several texts."""
+def _one_document(full: DataFrame, grouped: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id that has several texts; full has n rows at most."""
     several = full.groupBy("doc_id").agg(F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most")
-    several = materialize(several.select("doc_id", "least"), "several")
+    several = materialize(several.select("doc_id", "least"), "several", n)
     of = lambda name, key: grouped.select(F.col("set_hash").alias(key), F.col("class_id").alias(name))
     each = full.select("doc_id", "set_hash").join(several, "doc_id").distinct()
     return each.join(of("a", "set_hash"), "set_hash").join(of("b", "least"), "least").where("a <> b").select("a", "b").distinct()
@@ -316,35 +321,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidied(_sign), _SIGNED_DDL), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
+    full, n = signed.where("n_shingles > 0 and doc_id is not null"), signed.count()
     own = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("m"))
-    grouped = materialize(own.select("set_hash", F.monotonically_increasing_id().alias("class_id"), "m.doc_id", "m.text_hash", "m.n_shingles", "m.sig"), "classes")
+    grouped = materialize(own.select("set_hash", F.monotonically_increasing_id().alias("class_id"), "m.doc_id", "m.text_hash", "m.n_shingles", "m.sig"), "classes", n)
     classes = grouped.drop("set_hash")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))
     rows = classes.select("class_id", F.explode(keys).alias("band"))
     firsts = rows.groupBy("band").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last")
-    firsts = materialize(firsts.select("band", "first"), "firsts")
+    n_classes = classes.count()
+    firsts = materialize(firsts.select("band", "first"), "firsts", BANDS * n_classes)
     rows = rows.where(sieve(firsts, "band")(F.col("band")))
-    bands = materialize(rows.join(firsts, "band").select("band", "class_id", "first"), "bands")
+    bands = materialize(rows.join(firsts, "band").select("band", "class_id", "first"), "bands", BANDS * n_classes)
     stars = bands.where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()
-    stars = materialize(estimated(stars, classes), "stars")
+    stars = materialize(estimated(stars, classes, bands.count()), "stars")
+    n_stars = stars.count()
     wanted = stars.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    texts = _texts(docs, wanted.join(classes, "class_id"))
-    links = materialize(confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts).unionByName(_one_document(full, grouped)), "links")
-    comps = materialize(components(links), "components")
-    later = materialize(_apart(stars, comps), "later")
+    texts = _texts(docs, wanted.join(classes, "class_id"), min(n_classes, 2 * n_stars))
+    near = confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), texts, min(n_classes, n_stars))
+    links = materialize(near.unionByName(_one_document(full, grouped, n)), "links", n + n_classes)
+    comps = materialize(components(links), "components", n_classes)
+    later = materialize(_apart(stars, comps), "later", n_stars)
     if later.take(1):
-        links = links.unionByName(materialize(confirmed(later, texts), "links"))
-        comps = materialize(components(links), "components")
+        links = links.unionByName(materialize(confirmed(later, texts, later.count()), "links"))
+        comps = materialize(components(links), "components", n_classes)
     left = materialize(leftover_links(bands, classes, comps, docs), "leftover")
     if left.take(1):
         links = links.unionByName(left)
-        comps = materialize(components(links), "components")
+        comps = materialize(components(links), "components", n_classes)
     linked = grouped.select("set_hash", "class_id", "doc_id").join(comps.withColumnRenamed("node", "class_id"), "class_id")
-    least = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    least = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids", n_classes)
     named = linked.join(least, "component").select("set_hash", "component_id")
     of_class = grouped.select("set_hash", "doc_id").join(named, "set_hash", "left").select("set_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
-    of_class = materialize(of_class, "class-components")
+    of_class = materialize(of_class, "class-components", n_classes)
     out = signed.join(of_class, (signed["set_hash"] == of_class["set_hash"]) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))

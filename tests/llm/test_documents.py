@@ -120,6 +120,21 @@ def test_near_duplicates_that_the_smallest_does_not_link(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df).collect()} == want
 
 
+def test_few_rows_take_few_tasks(spark, tmp_path, monkeypatch):
+    """With many shuffle partitions that are not joined, tables of few rows are not written by a task for each."""
+    monkeypatch.setattr(work, "shared_dir", lambda _: str(tmp_path))
+    edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {c for _, c in components.components(edges).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [len([*path.glob("part-*")]) for path in tmp_path.iterdir()]
+    assert files and max(files) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_estimate_takes_chance_out():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
