@@ -82,8 +82,8 @@ class Pair:
         """A's ids of each unit with a space before it."""
         plain = [u for u in units if _VISIBLE.match(u)]
         if len(plain) == len(units):
-            return self.a._ids_of(plain)
-        found = iter(self.a._ids_of(plain))
+            return self.a.listed(plain)
+        found = iter(self.a.listed(plain))
         return [next(found) if _VISIBLE.match(u) else self.a._whole(" " + u) for u in units]
 
     def _ids_b(self, units: list[str]) -> list[bytes | None]:

@@ -5,8 +5,9 @@ before a visible character always starts a piece. Texts are therefore cut there
 into units, and Arrow lists the distinct units of a batch of texts: prose repeats
 its words, so a unit is encoded once and its ids are put in place by position.
 Latin letters are one piece, which the tokenizer's BPE model takes as it is, and
-so are the marks and the line end behind them; units of another form go through
-the whole tokenizer. Ids of pieces are kept between batches.
+so are the marks and the line end behind them; Arrow takes units apart into such
+pieces and lists the distinct ones. Units of another form go through the whole
+tokenizer. Ids of pieces are kept between batches.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _CUT = re.compile(" (?=[!-~¡-ᙿ])")
 _ODD = re.compile(" (?![!-~¡-ᙿ])")
 #: A word with marks behind it, and perhaps one more on the next line; these are letters in every version of Unicode.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", "[!-/:-@\\[-`{-~]*"
-_PIECES = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
+_PIECES = f"\\A(?P<first>{_LETTERS})(?P<marks>{_MARKS})(?:\n(?P<second>{_LETTERS})(?P<last>{_MARKS}))?\\z"
 
 
 def _bytes_of_units() -> dict[str, int]:
@@ -53,6 +54,18 @@ def _stretches(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
+def _gathered(data: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the coded pieces one after another; data has those of all pieces, sizes how many each has."""
+    starts = np.cumsum(sizes) - sizes
+    placed = [data[:0]]
+    for at in range(0, len(codes), PLACED):
+        own = codes[at : at + PLACED]
+        n = sizes[own]
+        ends = np.cumsum(n)
+        placed.append(data[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1])])
+    return np.concatenate(placed)
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library (byte-level BPE)."""
 
@@ -84,19 +97,23 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, before: str, word: str) -> bytes:
-        """The ids of letters, with a space or a line start before them."""
-        key = before + word
-        ids = self.young.get(key)
-        if ids is None:
-            ids = self.old.get(key)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of letters, each with the space or line end before them."""
+        found = [*map(self.young.get, words)]
+        old, packed, tokenize = self.old.get, self.packed, self.model.tokenize
+        for at, ids in enumerate(found):
+            if ids is not None:
+                continue
+            word = words[at]
+            ids = old(word)
             if ids is None:
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-                packed = self.packed
-                ids = b"".join([packed[t.id] for t in self.model.tokenize(shown if before else self.space + shown)])
+                own = word[1:]
+                shown = own if own.isascii() else own.encode().decode("latin-1").translate(self.shown)
+                ids = b"".join([packed[t.id] for t in tokenize(shown if word[0] == "\n" else self.space + shown)])
             if len(word) <= LONGEST_UNIT:
-                self.young[key] = ids
-        return ids
+                self.young[word] = ids
+            found[at] = ids
+        return found
 
     def _marks(self, marks: str) -> bytes:
         """The ids of marks alone."""
@@ -117,36 +134,69 @@ class Encoder:
             self.young[u] = data[4 * start : 4 * end]
             start = end
 
-    def _ids_of(self, units: list[str]) -> list[bytes]:
-        """The ids of distinct units, each preceded by its space."""
-        if len(self.young) > CACHE_UNITS:
-            self.old, self.young = self.young, {}
-        young, old, pieces = self.young, self.old, _PIECES.fullmatch
-        found = [*map(young.get, units)]
+    def _pieces(self, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units that are letters, marks and perhaps one more line, and how many each has."""
+        first, marks, second, last = (found.field(name) for name in ("first", "marks", "second", "last"))
+        more = np.flatnonzero(pc.not_equal(second, "").to_numpy(zero_copy_only=False))
+        after = pa.array(more)
+        led = lambda before, x: pc.binary_join_element_wise(pa.scalar(before, x.type), x, pa.scalar("", x.type))
+        words = pa.concat_arrays([led(" ", first), led("\n", second.take(after))]).dictionary_encode()
+        signs = pa.concat_arrays([marks, last.take(after)]).dictionary_encode()
+        pieces = [b"", self.line, *self._words(words.dictionary.to_pylist()), *map(self._marks, signs.dictionary.to_pylist())]
+        word = words.indices.to_numpy().astype(np.int64) + 2
+        sign = signs.indices.to_numpy().astype(np.int64) + 2 + len(words.dictionary)
+        n = len(found)
+        own = np.zeros((n, 5), np.int64)
+        own[:, 0], own[:, 1] = word[:n], sign[:n]
+        own[more, 2], own[more, 3], own[more, 4] = 1, word[n:], sign[n:]
+        sizes = np.array([len(x) for x in pieces], np.int64) // 4
+        return _gathered(np.frombuffer(b"".join(pieces), "<u4"), sizes, own.ravel()), sizes[own].sum(axis=1)
+
+    def _others(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units of any form, each preceded by its space."""
+        young, old = self.young, self.old
+        found: list[bytes | None] = []
         holes: list[int] = []
-        for at, ids in enumerate(found):
-            if ids is not None:
-                continue
-            u = units[at]
-            m = pieces(u) if self.direct and "<|" not in u else None
-            if m is not None:
-                first, marks, second, last = m.groups()
-                ids = self._word("", first) + self._marks(marks)
-                if second:
-                    ids += self.line + self._word("\n", second) + self._marks(last)
-                found[at] = ids
-            elif u in old:
-                found[at] = young[u] = old[u]
-            elif len(u) > LONGEST_UNIT:
-                found[at] = self._whole(" " + u)
-            else:
+        for at, u in enumerate(units):
+            ids = young.get(u)
+            if ids is None and u in old:
+                ids = young[u] = old[u]
+            elif ids is None and len(u) > LONGEST_UNIT:
+                ids = self._whole(" " + u)
+            elif ids is None:
                 holes.append(at)
+            found.append(ids)
         if holes:
             self._keep([units[at] for at in holes])
             for at in holes:
                 found[at] = young[units[at]]
         return found
 
+    def _ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct units, each preceded by its space, how many each has, and the order in which they stand."""
+        if len(self.young) > CACHE_UNITS:
+            self.old, self.young = self.young, {}
+        plain = np.zeros(len(units), bool)
+        if self.direct and len(units):
+            found = pc.extract_regex(units, _PIECES)
+            plain = pc.and_(pc.is_valid(found), pc.invert(pc.match_substring(units, "<|"))).to_numpy(zero_copy_only=False)
+        other, order = np.flatnonzero(~plain), np.argsort(~plain, kind="stable")
+        rest = self._others(units.take(pa.array(other)).to_pylist())
+        data, sizes = np.frombuffer(b"".join(rest), "<u4"), np.array([len(x) // 4 for x in rest], np.int64)
+        if plain.any():
+            made, n = self._pieces(found.filter(pa.array(plain)))
+            data, sizes = np.concatenate((made, data)), np.concatenate((n, sizes))
+        return data, sizes, order
+
+    def listed(self, units: list[str]) -> list[bytes]:
+        """The ids of each of distinct units, preceded by its space."""
+        data, sizes, order = self._ids_of(pa.array(units, pa.large_string()))
+        ends, packed = 4 * np.cumsum(sizes), data.tobytes()
+        out = [b""] * len(units)
+        for at, start, end in zip(order.tolist(), (ends - 4 * sizes).tolist(), ends.tolist(), strict=True):
+            out[at] = packed[start:end]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers.
 
@@ -184,22 +234,15 @@ class Encoder:
         first = [f.ids for f in self.tokenizer.encode_batch_fast(units.take(pa.array(codes[heads])).to_pylist(), add_special_tokens=False)]
         inner = np.ones(len(codes), bool)
         inner[heads] = False
-        used = np.unique(codes[inner])
-        kept = self._ids_of(units.take(pa.array(used)).to_pylist())
+        used = np.flatnonzero(np.bincount(codes[inner], minlength=len(units)))
+        data, sizes, order_of = self._ids_of(units.take(pa.array(used)))
         place = np.zeros(len(units), np.int64)
-        place[used] = np.arange(len(used))
+        place[used[order_of]] = np.arange(len(used))
         codes = place[codes]
         codes[heads] = len(used) + np.arange(len(heads))
-        sizes = np.array([len(x) // 4 for x in kept] + [len(f) for f in first], np.int64)
-        data = np.concatenate((np.frombuffer(b"".join(kept), "<u4"), np.array([i for f in first for i in f], "<u4")))
-        starts = np.cumsum(sizes) - sizes
-        placed = []
-        for at in range(0, len(codes), PLACED):
-            own = codes[at : at + PLACED]
-            n = sizes[own]
-            ends = np.cumsum(n)
-            placed.append(data[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1])])
-        ids = np.concatenate(placed) if placed else data
+        sizes = np.concatenate((sizes, np.array([len(f) for f in first], np.int64)))
+        data = np.concatenate((data, np.array([i for f in first for i in f], "<u4")))
+        ids = _gathered(data, sizes, codes)
         ends = np.add.reduceat(sizes[codes], heads).cumsum() if len(heads) else heads
         out: list[np.ndarray] = [ids[:0]] * len(texts)
         for text, start, end in zip(order.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):

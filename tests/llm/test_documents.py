@@ -515,6 +515,21 @@ def test_pii_documents(docs, corpus, no_docs, spark):
     assert Counter(r["kinds"] for r in rows) == {"phone": 2, "": 1}
 
 
+def test_encoder_takes_each_piece_of_units_once(tokenizer, monkeypatch):
+    """A word with many marks behind it, or many words with one, are no Python call each."""
+    from lexaloom.llm import tokens
+
+    asked = []
+    monkeypatch.setattr(tokens.Encoder, "_marks", lambda self, x, f=tokens.Encoder._marks: asked.append(x) or f(self, x))
+    texts = [" ".join(f"{a}{b}{m}" for a in ("th", "é", "Wor") for b in ("ing", "ç", "ed") for m in ("", ",", "...", '".', "\nthe", ",\nç;", "<|", "\n\n", "7")) + end for end in ("", " x", " <|endoftext|>")]
+    own = tokens.Encoder(tokenizer)
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len({*asked})
+    units = ["the", "naïve,", "a.\nb;", "漢字", "<|endoftext|>", "x" * 70]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.listed(units)] == [own.tokenizer.encode(f" {u}", add_special_tokens=False).ids for u in units]
+
+
 def test_encoder_gives_the_ids_of_the_library(tokenizer, monkeypatch):
     """Random texts of hard pieces, whole and cut into stretches."""
     import random
