@@ -93,13 +93,20 @@ def first_seen(results: DataFrame, each: int = 5) -> DataFrame:
     return first.select("url", "f.query", "f.rank")
 
 
+#: Rows that a task of candidates sorts, unless one key has more.
+TASK_ROWS = 1 << 19
+
+
 def candidates(ranked: DataFrame, most: int = 30) -> DataFrame:
     """key, slug and place of at most ``most`` candidates of each key; ranked: key, tier, rank, slug.
 
-    A slug counts once, at its first place: lower tiers first, then rank.
+    A slug counts once, at its first place: lower tiers first, then rank. Rows
+    are dealt out by key once, to more tasks the more rows there are.
     """
-    first = ranked.groupBy("key", "slug").agg(F.min(F.struct("tier", "rank")).alias("f"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("f", "slug"))
+    tasks = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranked.count() // TASK_ROWS))
+    again = F.row_number().over(Window.partitionBy("key", "slug").orderBy("tier", "rank"))
+    first = ranked.repartition(tasks, "key").withColumn("again", again).where(F.col("again") == 1)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("tier", "rank", "slug"))
     return first.withColumn("place", place).where(F.col("place") <= most).select("key", "slug", "place")
 
 

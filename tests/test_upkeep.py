@@ -73,3 +73,17 @@ def test_citations_queue_and_paths(spark):
     groups = spark.createDataFrame([(["b", "A"],), (["a", "B"],), (["c", "d"],), (["e"],)], "slugs array<string>")
     assert [r["slugs"] for r in upkeep.unsuppressed(groups, spark.createDataFrame([(["D", "C"],)], "slugs array<string>")).collect()][0] in (["b", "A"], ["a", "B"])
     assert upkeep.display_weights(spark.createDataFrame([(1, 2, 0.5)], "a int, b int, weight double")).first()["size"] == 2.25
+
+
+def test_candidates_are_dealt_to_more_tasks_the_more_rows_there_are(spark, monkeypatch):
+    monkeypatch.setattr(upkeep, "TASK_ROWS", 20)
+    rows = [(k % 13, (k * 7) % 3, k * 5 % 101, k % 17) for k in range(400)]
+    got = upkeep.candidates(spark.createDataFrame(rows, "key long, tier int, rank long, slug long"), 4)
+    want = set()
+    for key in range(13):
+        first = {}
+        for _, tier, rank, slug in (r for r in rows if r[0] == key):
+            first[slug] = min(first.get(slug, (9, 0, 0)), (tier, rank, slug))
+        want |= {(key, slug, at + 1) for at, (_, _, slug) in enumerate(sorted(first.values())[:4])}
+    assert {tuple(r) for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 20
