@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexaloom.functions import text as T
 from lexaloom.operators import changes, chunking, dedup, graph, linking, matching, neighbours, quality, relatedness, retrieval
 from lexaloom.plans import maintenance, upkeep
-from lexaloom.session import cut_statistics, shared_path, table
+from lexaloom.session import cut_statistics, dealt, shared_path, table, tasks_for
 from lexaloom.sources import media
 from lexaloom.sources import pages as page_sources
 from lexaloom.streaming import feed, ingestion, registry
@@ -184,11 +184,22 @@ _UNDIRECTED = f"(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b F
 _COUNTS = f"(SELECT node, count(*) AS n_links FROM (SELECT src AS node FROM {_EDGES} UNION ALL SELECT dst FROM {_EDGES}) GROUP BY node)"
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many tasks want the rows of lineitem, and so the edges that are made of them."""
+    return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct directed edges from each part of an order to the next one."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-    return lines.where("dst IS NOT NULL AND src <> dst").distinct()
+    w, tasks = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"), line_tasks(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = dealt(lines, tasks, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return dealt(lines.where("dst IS NOT NULL AND src <> dst"), tasks, "src", "dst").distinct()
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pairs of parts that an edge joins."""
+    return graph.undirected(part_edges(spark, sf_dir), line_tasks(spark, sf_dir))
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +214,8 @@ def part_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(w).alias("dst")).where("dst IS NOT NULL")
 
 
-def counted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = graph.link_counts(part_edges(spark, sf_dir)).withColumnRenamed("node", "id")
+def counted_nodes(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    counts = graph.link_counts(part_edges(spark, sf_dir) if edges is None else edges).withColumnRenamed("node", "id")
     return part_nodes(spark, sf_dir).join(counts, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
 
 
@@ -310,7 +321,7 @@ def top_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM n LEFT JOIN i USING (community) GROUP BY community"""
 )
 def community_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cohesion(part_nodes(spark, sf_dir), graph.undirected(part_edges(spark, sf_dir)))
+    return graph.cohesion(part_nodes(spark, sf_dir), part_pairs(spark, sf_dir), line_tasks(spark, sf_dir))
 
 
 @query(
@@ -328,7 +339,7 @@ def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM {_UNDIRECTED} e JOIN n x ON x.id = a JOIN n y ON y.id = b, m) WHERE score >= 3 ORDER BY score DESC, a, b LIMIT 5"""
 )
 def surprising_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.undirected(part_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    edges = part_pairs(spark, sf_dir).withColumn("weight", F.lit(1.0))
     return graph.surprising(counted_nodes(spark, sf_dir), edges)
 
 
@@ -343,7 +354,10 @@ def surprising_links(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT 3, 'bridge', CAST(id AS BIGINT), CAST(k AS DOUBLE) FROM br) ORDER BY o, value, subject LIMIT 8"""
 )
 def knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.gaps(counted_nodes(spark, sf_dir), graph.undirected(part_edges(spark, sf_dir)))
+    """Edges and their pairs are written, as several branches read them."""
+    tasks = line_tasks(spark, sf_dir)
+    edges = cut_statistics(part_edges(spark, sf_dir))
+    return graph.gaps(counted_nodes(spark, sf_dir, edges), cut_statistics(graph.undirected(edges, tasks)), tasks=tasks)
 
 
 @query(
@@ -351,7 +365,7 @@ def knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b FROM {_UNDIRECTED} WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)"""
 )
 def graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.visible(counted_nodes(spark, sf_dir), graph.undirected(part_edges(spark, sf_dir)), ["query"], 60)[1].select("a", "b")
+    return graph.visible(counted_nodes(spark, sf_dir), part_pairs(spark, sf_dir), ["query"], 60)[1].select("a", "b")
 
 
 @query(f"SELECT id, label, type FROM {_NODES} WHERE contains(lower(label || ' ' || id || ' ' || type), 'gear') AND contains(lower(label || ' ' || id || ' ' || type), '7')")
@@ -361,7 +375,7 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.undirected(part_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    edges = part_pairs(spark, sf_dir).withColumn("weight", F.lit(1.0))
     return graph.communities(edges)
 
 
