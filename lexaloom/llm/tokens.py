@@ -26,6 +26,8 @@ CACHE_UNITS = 200_000
 LONGEST_UNIT = 64
 #: Characters that are cut together, and units whose ids are put in place together.
 TOGETHER, PLACED = 1 << 23, 1 << 19
+#: Words whose tokens are held together; few enough not to call for garbage collection.
+MODEL_WORDS = 1 << 8
 
 #: Where a text may be cut, and a space where it may not.
 _CUT = re.compile(" (?=[!-~¡-ᙿ])")
@@ -54,6 +56,11 @@ def _stretches(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
+def _strings(found: pa.Array) -> list[str]:
+    """The strings of an array without nulls; by way of an object array, as a scalar for each one takes longer."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
 def _gathered(data: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The ids of the coded pieces one after another; data has those of all pieces, sizes how many each has."""
     starts = np.cumsum(sizes) - sizes
@@ -81,7 +88,6 @@ class Encoder:
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
-        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
         self.shown = {b: c for c, b in alphabet.items()}  # for str.translate of bytes read as Latin-1
         self.space = self.shown[32]
         with open(path, encoding="utf-8") as f:
@@ -97,22 +103,34 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _shown(self, word: str) -> str:
+        """Letters with the space before them (a line end before them is a piece of its own) in the byte-level alphabet."""
+        shown = word[1:].encode().decode("latin-1").translate(self.shown)
+        return shown if word[0] == "\n" else self.space + shown
+
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of letters, each with the space or line end before them."""
-        found = [*map(self.young.get, words)]
-        old, packed, tokenize = self.old.get, self.packed, self.model.tokenize
+        young, old, space, shown = self.young, self.old, self.space, self._shown
+        found = [*map(young.get, words)]
+        new: list[int] = []
         for at, ids in enumerate(found):
-            if ids is not None:
-                continue
-            word = words[at]
-            ids = old(word)
             if ids is None:
-                own = word[1:]
-                shown = own if own.isascii() else own.encode().decode("latin-1").translate(self.shown)
-                ids = b"".join([packed[t.id] for t in tokenize(shown if word[0] == "\n" else self.space + shown)])
-            if len(word) <= LONGEST_UNIT:
-                self.young[word] = ids
-            found[at] = ids
+                word = words[at]
+                ids = old.get(word)
+                if ids is None:
+                    new.append(at)
+                else:
+                    found[at] = young[word] = ids
+        for first in range(0, len(new), MODEL_WORDS):
+            own = [words[at] for at in new[first : first + MODEL_WORDS]]
+            made = [*map(self.model.tokenize, [space + w[1:] if w[0] == " " and w.isascii() else shown(w) for w in own])]
+            data, start = np.array([t.id for x in made for t in x], "<u4").tobytes(), 0
+            for at, word, x in zip(new[first : first + MODEL_WORDS], own, made, strict=True):
+                end = start + 4 * len(x)
+                ids = found[at] = data[start:end]
+                start = end
+                if len(word) <= LONGEST_UNIT:
+                    young[word] = ids
         return found
 
     def _marks(self, marks: str) -> bytes:
@@ -142,7 +160,7 @@ class Encoder:
         led = lambda before, x: pc.binary_join_element_wise(pa.scalar(before, x.type), x, pa.scalar("", x.type))
         words = pa.concat_arrays([led(" ", first), led("\n", second.take(after))]).dictionary_encode()
         signs = pa.concat_arrays([marks, last.take(after)]).dictionary_encode()
-        pieces = [b"", self.line, *self._words(words.dictionary.to_pylist()), *map(self._marks, signs.dictionary.to_pylist())]
+        pieces = [b"", self.line, *self._words(_strings(words.dictionary)), *map(self._marks, _strings(signs.dictionary))]
         word = words.indices.to_numpy().astype(np.int64) + 2
         sign = signs.indices.to_numpy().astype(np.int64) + 2 + len(words.dictionary)
         n = len(found)
@@ -181,7 +199,7 @@ class Encoder:
             found = pc.extract_regex(units, _PIECES)
             plain = pc.and_(pc.is_valid(found), pc.invert(pc.match_substring(units, "<|"))).to_numpy(zero_copy_only=False)
         other, order = np.flatnonzero(~plain), np.argsort(~plain, kind="stable")
-        rest = self._others(units.take(pa.array(other)).to_pylist())
+        rest = self._others(_strings(units.take(pa.array(other))))
         data, sizes = np.frombuffer(b"".join(rest), "<u4"), np.array([len(x) // 4 for x in rest], np.int64)
         if plain.any():
             made, n = self._pieces(found.filter(pa.array(plain)))
@@ -231,7 +249,7 @@ class Encoder:
         cut = pa.concat_arrays([plain.flatten(), pa.array([u for x in other for u in x], pa.large_string())]).dictionary_encode()
         codes, units = cut.indices.to_numpy().astype(np.int64), cut.dictionary
         heads = np.cumsum(counts) - counts
-        first = [f.ids for f in self.tokenizer.encode_batch_fast(units.take(pa.array(codes[heads])).to_pylist(), add_special_tokens=False)]
+        first = [f.ids for f in self.tokenizer.encode_batch_fast(_strings(units.take(pa.array(codes[heads]))), add_special_tokens=False)]
         inner = np.ones(len(codes), bool)
         inner[heads] = False
         used = np.flatnonzero(np.bincount(codes[inner], minlength=len(units)))
